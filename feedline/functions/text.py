@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 # White space as the feeds' text rules count it (all Unicode
 # white space and the four ASCII separators).
-_SPACE = r"[\s\x1c-\x1f]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The decimal float grammar of the feeds, underscores allowed
 # between digits, plus the special values.
@@ -25,7 +29,7 @@ TRUE_LITERALS = ("1", "true", "True")
 
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def first_text(*leaves: Column) -> Column:
@@ -34,11 +38,8 @@ def first_text(*leaves: Column) -> Column:
     Every leaf holds all occurrences of one tag in document order.  Where two
     different aliases occur in one element, the alias named first wins.
     """
-    empty = F.array().cast("array<string>")
-    texts = [F.coalesce(leaf, empty) for leaf in leaves]
-    merged = texts[0] if len(texts) == 1 else F.concat(*texts)
-    kept = F.filter(F.transform(merged, strip), lambda t: t != "")
-    return F.get(kept, F.lit(0))
+    found = [strip(F.get(F.filter(leaf, lambda t: strip(t) != ""), F.lit(0))) for leaf in leaves]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
 def to_number(col: Column) -> Column:
@@ -47,13 +48,17 @@ def to_number(col: Column) -> Column:
     A bare cast also takes ``1d`` or ``0x1p3`` and refuses ``1_000``, so the
     grammar is checked first.
     """
-    text = strip(col)
-    negative = text.startswith("-")
+    return number_of(strip(col))
+
+
+def number_of(text: Column) -> Column:
+    """:func:`to_number` of text already trimmed."""
+    plain = F.when(text.contains("_"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
     return (
-        F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+        F.when(text.rlike(_FLOAT), plain.try_cast("double"))
         .when(
             text.rlike(_INFINITE),
-            F.when(negative, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
+            F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
         )
         .when(text.rlike(_NOT_A_NUMBER), F.lit(float("nan")))
     )
@@ -61,7 +66,7 @@ def to_number(col: Column) -> Column:
 
 def to_bool(col: Column) -> Column:
     """True for a true literal, false for any other text, null for null."""
-    return F.when(col.isNotNull(), strip(col).isin(*TRUE_LITERALS))
+    return strip(col).isin(*TRUE_LITERALS)
 
 
 def iso_ts(col: Column) -> Column:

@@ -179,8 +179,8 @@ def extract_blocks(pages: DataFrame, key: str, html: str, spec: dict) -> DataFra
             ),
         )
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(chosen)), lambda x: x["text"]), "")
-        parts = F.slice(F.split(joined, _SEPARATOR), F.lit(2), F.lit(2**31 - 1))
-        return F.transform(parts, strip)
+        parts = F.split(joined, _SEPARATOR)
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip)
 
     texts = []
     for name, field in fields.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedline.functions.text import first_text, iso_ts, to_bool, to_number, typed_ts
+from feedline.functions.text import first_text, iso_ts, number_of, to_bool, typed_ts
 
 # Output name, accepted tags, kind of value.
 PRICE_FIELDS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -35,14 +35,14 @@ PRICE_COLUMNS = ("superProvider", "storeId", *PRICE_FIELDS)
 # Item elements looked for below the container.
 ITEM_TAGS = ("Item", "Product")
 
-_KINDS = {"text": lambda c: c, "number": to_number, "bool": to_bool, "time": iso_ts}
+_KINDS = {"text": lambda c: c, "number": number_of, "bool": to_bool, "time": iso_ts}
 
 _CORRUPT = "_corrupt"
 
 
-def price_columns(texts: dict[str, Column]) -> list[Column]:
-    """The item columns of a price record from the text of each field."""
-    return [_KINDS[kind](texts[name]).alias(name) for name, (_, kind) in PRICE_FIELDS.items()]
+def price_columns() -> list[Column]:
+    """The item columns of a price record, from text columns of the same names."""
+    return [_KINDS[kind](F.col(name)).alias(name) for name, (_, kind) in PRICE_FIELDS.items()]
 
 
 def join_arrays(*arrays: Column) -> Column:
@@ -118,11 +118,18 @@ def parse_prices(
             F.when(F.col("ok"), join_arrays(*children))
         ).alias("pos", "item"),
     ).where(F.col("pos").isNotNull())
-    texts = {
-        name: first_text(*[F.col(f"item.{tag}") for tag in tags])
-        for name, (tags, _) in PRICE_FIELDS.items()
-    }
-    return items.select(*keep, "pos", "superProvider", "storeId", *price_columns(texts))
+    # Texts first, values second: the values look at their text several times.
+    texts = items.select(
+        *keep,
+        "pos",
+        "superProvider",
+        "storeId",
+        *[
+            first_text(*[F.col(f"item.{tag}") for tag in tags]).alias(name)
+            for name, (tags, _) in PRICE_FIELDS.items()
+        ],
+    )
+    return texts.select(*keep, "pos", "superProvider", "storeId", *price_columns())
 
 
 def with_typed_times(prices: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedline.functions.text import first_text, iso_ts_hour, to_number
+from feedline.functions.text import first_text, iso_ts_hour, number_of
 from feedline.operators.prices import join_arrays, parsed_documents
 
 # Fields a promotion or group states for its items.
@@ -50,33 +50,38 @@ def promotion_schema() -> str:
 
 
 def inherit(*levels: Column) -> Column:
-    """Number stated at the nearest level that has text.
+    """Text stated at the nearest of several levels, nearest first.
 
-    The levels are texts, nearest first.  The text is chosen before it is
-    read, so a non-numeric text at a near level hides a number further up.
+    The text is chosen before it is read as a number, so a non-numeric text
+    at a near level hides a number further up.
     """
-    return to_number(F.coalesce(*levels))
+    return F.coalesce(*levels)
 
 
-def _items(group: Column, promotion: Column) -> Column:
-    """Item records of one group, its and the promotion's values pushed down."""
+def _item_texts(group: Column, promotion: Column) -> Column:
+    """Texts of one group's items, the group's and the promotion's pushed down."""
     container = F.get(group["PromotionItems"], F.lit(0))
     listed = join_arrays(*[container[tag] for tag in PROMOTION_ITEM_TAGS])
     return F.transform(
         listed,
         lambda item: F.struct(
             first_text(item["ItemCode"]).alias("itemCode"),
-            to_number(first_text(item["ItemType"])).alias("itemType"),
+            first_text(item["ItemType"]).alias("itemType"),
             *[
-                inherit(
-                    first_text(item[tag]), first_text(group[tag]), first_text(promotion[tag])
-                ).alias(name)
+                inherit(first_text(item[tag]), first_text(group[tag]), first_text(promotion[tag])).alias(name)
                 for name, tag in INHERITED.items()
             ],
         ),
     )
 
 
+def _item_record(texts: Column) -> Column:
+    return F.struct(
+        texts["itemCode"].alias("itemCode"),
+        *[number_of(texts[name]).alias(name) for name in ("itemType", *INHERITED)],
+    )
+
+
 def parse_promotions(
     raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
 ) -> DataFrame:
@@ -104,35 +109,37 @@ def parse_promotions(
     stated = F.flatten(
         F.filter(F.transform(p["Groups"], lambda g: g["Group"]), lambda g: g.isNotNull())
     )
-    shaped = promotions.select(
+    groups = F.when(F.size(stated) > 0, stated).otherwise(F.array(own))
+
+    def text(*tags: str) -> Column:
+        return first_text(*[p[tag] for tag in tags])
+
+    # Texts first, values second: the values look at their text several times.
+    texts = promotions.select(
         *keep,
         "pos",
+        text("PromotionID").alias("promotionId"),
         "providerId",
         "storeId",
-        "p",
-        F.when(F.size(stated) > 0, stated).otherwise(F.array(own)).alias("groups"),
+        text("PromotionDescription").alias("description"),
+        text("PromotionStartDateTime", "PromotionStartDate").alias("_start"),
+        text("PromotionStartHour").alias("_start_hour"),
+        text("PromotionEndDateTime", "PromotionEndDate").alias("_end"),
+        text("PromotionEndHour").alias("_end_hour"),
+        text("PromotionUpdateTime", "PromotionUpdateDate").alias("_update"),
+        F.flatten(F.transform(groups, lambda g: _item_texts(g, p))).alias("_items"),
     )
-    p = F.col("p")
-
-    def text(tag: str) -> Column:
-        return first_text(p[tag])
-
-    return shaped.select(
+    return texts.select(
         *keep,
         "pos",
-        text("PromotionID").alias("promotionId"),
+        "promotionId",
         "providerId",
         "storeId",
-        text("PromotionDescription").alias("description"),
-        iso_ts_hour(
-            first_text(p["PromotionStartDateTime"], p["PromotionStartDate"]),
-            text("PromotionStartHour"),
-        ).alias("startTime"),
-        iso_ts_hour(
-            first_text(p["PromotionEndDateTime"], p["PromotionEndDate"]), text("PromotionEndHour")
-        ).alias("endTime"),
-        iso_ts_hour(first_text(p["PromotionUpdateTime"], p["PromotionUpdateDate"])).alias("updateTime"),
-        F.flatten(F.transform("groups", lambda g: _items(g, p))).alias("items"),
+        "description",
+        iso_ts_hour(F.col("_start"), F.col("_start_hour")).alias("startTime"),
+        iso_ts_hour(F.col("_end"), F.col("_end_hour")).alias("endTime"),
+        iso_ts_hour(F.col("_update")).alias("updateTime"),
+        F.transform("_items", _item_record).alias("items"),
     )
 
 

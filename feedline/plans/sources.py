@@ -41,7 +41,7 @@ def sniffed(spark, sf_dir):
     )
 
 
-def _responses(spark, sf_dir):
+def responses(spark, sf_dir):
     """Offset-paged listing responses over the events."""
     entry = F.struct(
         "event_id", F.struct(F.col("event_type").alias("type"), F.concat(F.lit("PriceFull"), R.text("event_id")).alias("fname")).alias("e")
@@ -69,7 +69,7 @@ def _responses(spark, sf_dir):
     FROM events""",
 )
 def json_listing(spark, sf_dir):
-    return listings.read_json_listing(_responses(spark, sf_dir), "body", keep=("response",))
+    return listings.read_json_listing(responses(spark, sf_dir), "body", keep=("response",))
 
 
 @query(

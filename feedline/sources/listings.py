@@ -80,6 +80,9 @@ def read_prices_csv(spark: SparkSession, path: str, **options: str) -> DataFrame
         found = [F.array(F.col(f"`{have[t.lower()]}`")) for t in tags if t.lower() in have]
         return first_text(*found) if found else F.lit(None).cast("string")
 
-    header = [leaf("ChainId").alias("superProvider"), leaf("StoreId").alias("storeId")]
-    texts = {name: leaf(*tags) for name, (tags, _) in PRICE_FIELDS.items()}
-    return rows.select(*header, *price_columns(texts))
+    texts = rows.select(
+        leaf("ChainId").alias("superProvider"),
+        leaf("StoreId").alias("storeId"),
+        *[leaf(*tags).alias(name) for name, (tags, _) in PRICE_FIELDS.items()],
+    )
+    return texts.select("superProvider", "storeId", *price_columns())
