@@ -12,19 +12,24 @@ POSITIVE = ("good", "great", "love", "happy", "best", "beautiful", "hope", "joy"
 NEGATIVE = ("bad", "worst", "hate", "sad", "evil", "fear", "pain", "wrong", "lost", "false")
 
 
+# A run without white space, and the part of it from its first to its last
+# letter or digit.
+_WORD = r"(?U)\S+"
+_TOKEN = r"(?U)[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
+
+
 def words(text: Column) -> Column:
     """White-space separated words, punctuation kept."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words without surrounding punctuation."""
-    bare = F.transform(words(text), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    return F.filter(bare, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
+    return F.regexp_count(text, F.lit(_WORD)).cast("bigint")
 
 
 def longest_word(text: Column) -> Column:
@@ -38,10 +43,9 @@ def sentiment_score(
     text: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE
 ) -> Column:
     """Positive minus negative lexicon hits."""
-    listed = tokens(text)
-    good = F.size(F.filter(listed, lambda w: w.isin(*positive)))
-    bad = F.size(F.filter(listed, lambda w: w.isin(*negative)))
-    return (good - bad).cast("bigint")
+    hits = F.filter(tokens(text), lambda t: t.isin(*positive, *negative))
+    scored = F.aggregate(hits, F.lit(0), lambda n, t: n + F.when(t.isin(*positive), 1).otherwise(-1))
+    return scored.cast("bigint")
 
 
 def text_hash(text: Column) -> Column:

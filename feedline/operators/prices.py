@@ -71,13 +71,12 @@ def parse_xml(doc: Column, schema: str, mode: str = "PERMISSIVE") -> Column:
 def well_formed(doc: Column, parsed: Column) -> Column:
     """The whole text is one document: it parsed, and ends with its root element."""
     root = F.regexp_extract(doc, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<([^\s/>!?]+)", 1)
-    last = F.regexp_extract(doc, r"(?s)</([^\s>]+)\s*>(?:\s|<!--.*?-->)*+$", 1)
+    # The closing tag is nearly always the very end; only else search for it.
+    at_end = F.regexp_extract(F.right(doc, F.lit(200)), r"</([^\s<>]+)\s*>\s*$", 1)
+    before_comments = F.regexp_extract(doc, r"(?s)</([^\s>]+)\s*>(?:\s|<!--.*?-->)*+$", 1)
     empty_root = doc.rlike(r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*+<[^<>]*/>\s*$")
-    return (
-        doc.isNotNull()
-        & parsed[_CORRUPT].isNull()
-        & ((root != "") & (root == last) | empty_root)
-    )
+    closed = F.when(root == "", False).when(root == at_end, True).when(root == before_comments, True)
+    return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root)
 
 
 def parsed_documents(
@@ -93,6 +92,16 @@ def quarantine(raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, .
     return parsed_documents(raw, schema, doc, keep).where(~F.col("ok")).select(*keep)
 
 
+def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFrame:
+    """One row per element of an array column, with its position.
+
+    Outer and filtered afterwards: a plain explode lets the optimizer infer a
+    size check, which would compute the array a second time.
+    """
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def parse_prices(
     raw: DataFrame,
     doc: str = "doc",
@@ -109,15 +118,14 @@ def parse_prices(
     documents = parsed_documents(raw, price_schema(item_tags), doc, keep, mode)
     container = F.get(F.col("x.Items"), F.lit(0))
     children = [container[tag] for tag in item_tags]
-    items = documents.select(
+    # Only the header texts travel with each item, never the whole document.
+    listed = documents.select(
         *keep,
         first_text(F.col("x.ChainId")).alias("superProvider"),
         first_text(F.col("x.StoreId")).alias("storeId"),
-        # Outer, so that no size check is inferred that would parse again.
-        F.posexplode_outer(
-            F.when(F.col("ok"), join_arrays(*children))
-        ).alias("pos", "item"),
-    ).where(F.col("pos").isNotNull())
+        F.when(F.col("ok"), join_arrays(*children)).alias("_items"),
+    )
+    items = exploded(listed, "_items", "item")
     # Texts first, values second: the values look at their text several times.
     texts = items.select(
         *keep,

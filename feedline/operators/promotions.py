@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedline.functions.text import first_text, iso_ts_hour, number_of
-from feedline.operators.prices import join_arrays, parsed_documents
+from feedline.operators.prices import exploded, join_arrays, parsed_documents
 
 # Fields a promotion or group states for its items.
 INHERITED = {
@@ -58,19 +58,23 @@ def inherit(*levels: Column) -> Column:
     return F.coalesce(*levels)
 
 
-def _item_texts(group: Column, promotion: Column) -> Column:
-    """Texts of one group's items, the group's and the promotion's pushed down."""
+def _group_texts(group: Column) -> Column:
+    """One group with its stated texts over the promotion's (columns ``_p_…``)."""
     container = F.get(group["PromotionItems"], F.lit(0))
-    listed = join_arrays(*[container[tag] for tag in PROMOTION_ITEM_TAGS])
+    return F.struct(
+        *[inherit(first_text(group[tag]), F.col(f"_p_{name}")).alias(name) for name, tag in INHERITED.items()],
+        join_arrays(*[container[tag] for tag in PROMOTION_ITEM_TAGS]).alias("items"),
+    )
+
+
+def _item_texts(group: Column) -> Column:
+    """Texts of one group's items, what the levels above state pushed down."""
     return F.transform(
-        listed,
+        group["items"],
         lambda item: F.struct(
             first_text(item["ItemCode"]).alias("itemCode"),
             first_text(item["ItemType"]).alias("itemType"),
-            *[
-                inherit(first_text(item[tag]), first_text(group[tag]), first_text(promotion[tag])).alias(name)
-                for name, tag in INHERITED.items()
-            ],
+            *[inherit(first_text(item[tag]), group[name]).alias(name) for name, tag in INHERITED.items()],
         ),
     )
 
@@ -93,14 +97,14 @@ def parse_promotions(
     """
     documents = parsed_documents(raw, promotion_schema(), doc, keep, mode)
     below = F.flatten(F.transform(F.col("x.Promotions"), lambda p: p["Promotion"]))
-    promotions = documents.select(
+    # Only the header texts travel with each promotion, never the whole document.
+    listed = documents.select(
         *keep,
         first_text(F.col("x.ChainID")).alias("providerId"),
         first_text(F.col("x.StoreID")).alias("storeId"),
-        F.posexplode_outer(
-            F.when(F.col("ok"), join_arrays(below, F.col("x.Promotion")))
-        ).alias("pos", "p"),
-    ).where(F.col("pos").isNotNull())
+        F.when(F.col("ok"), join_arrays(below, F.col("x.Promotion"))).alias("_promotions"),
+    )
+    promotions = exploded(listed, "_promotions", "p")
 
     p = F.col("p")
     own = F.struct(
@@ -114,8 +118,11 @@ def parse_promotions(
     def text(*tags: str) -> Column:
         return first_text(*[p[tag] for tag in tags])
 
+    levelled = promotions.select(
+        "*", *[text(tag).alias(f"_p_{name}") for name, tag in INHERITED.items()], groups.alias("_groups")
+    )
     # Texts first, values second: the values look at their text several times.
-    texts = promotions.select(
+    texts = levelled.select(
         *keep,
         "pos",
         text("PromotionID").alias("promotionId"),
@@ -127,7 +134,7 @@ def parse_promotions(
         text("PromotionEndDateTime", "PromotionEndDate").alias("_end"),
         text("PromotionEndHour").alias("_end_hour"),
         text("PromotionUpdateTime", "PromotionUpdateDate").alias("_update"),
-        F.flatten(F.transform(groups, lambda g: _item_texts(g, p))).alias("_items"),
+        F.flatten(F.transform(F.transform("_groups", _group_texts), _item_texts)).alias("_items"),
     )
     return texts.select(
         *keep,
@@ -146,6 +153,4 @@ def parse_promotions(
 def promotion_items(promotions: DataFrame) -> DataFrame:
     """One row per promotion item with the promotion's columns; none for an empty promotion."""
     rest = [c for c in promotions.columns if c != "items"]
-    # Outer, so that no size check is inferred that would build the items twice.
-    exploded = promotions.select(*rest, F.explode_outer("items").alias("_item"))
-    return exploded.where(F.col("_item").isNotNull()).select(*rest, "_item.*")
+    return exploded(promotions.select(*rest, "items"), "items", "_item", "_at").select(*rest, "_item.*")

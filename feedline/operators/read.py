@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedline.functions.enrich import tokens
@@ -64,25 +65,23 @@ def _query_tokens(query: str) -> list[str]:
     return sorted({word for word in bare if word})
 
 
-def _hits(listed: Column, wanted: list[str]) -> Column:
-    return F.size(F.filter(listed, lambda t: t.isin(*wanted))).cast("bigint")
-
-
 def search(quotes: DataFrame, query: str, limit: int | None = PAGE_SIZE, text: str = "text") -> DataFrame:
     """Quotes that hold every query word, most hits first, then by id."""
     wanted = _query_tokens(query)
     if not wanted:
         return quotes.where(F.lit(False)).withColumn("hits", F.lit(0).cast("bigint"))
-    # A cheap look for the raw words first; only rows that pass are tokenised.
+    # A cheap look for the raw letters first; only what passes is matched by word.
     lowered = F.lower(F.col(text))
-    matching = quotes
-    for word in wanted:
-        matching = matching.where(lowered.contains(word))
-    listed = matching.withColumn("_tokens", tokens(F.col(text)))
-    for word in wanted:
-        listed = listed.where(F.array_contains("_tokens", word))
-    ranked = listed.withColumn("hits", _hits(F.col("_tokens"), wanted)).drop("_tokens")
-    ordered = ranked.orderBy(F.desc("hits"), "id")
+    near = reduce(lambda a, b: a & b, [lowered.contains(word) for word in wanted])
+    listed = quotes.where(near).withColumn("_tokens", tokens(F.col(text)))
+    each = [F.array_contains("_tokens", word) for word in wanted]
+    hits = F.size(F.filter("_tokens", lambda t: t.isin(*wanted))).cast("bigint")
+    # As a generated column, so that the filter does not list the words again.
+    ranked = listed.withColumn(
+        "hits", F.explode_outer(F.array(F.when(reduce(lambda a, b: a & b, each), hits)))
+    )
+    found = ranked.where(F.col("hits").isNotNull()).drop("_tokens")
+    ordered = found.orderBy(F.desc("hits"), "id")
     return ordered if limit is None else ordered.limit(limit)
 
 

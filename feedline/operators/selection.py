@@ -118,35 +118,34 @@ def page_cut(
       (undated counts as old); never by date where there is no mark,
     * after page ``cap``.
 
-    The copies of a link collapse before any shuffle; what is left per link is
-    at most one row per page, and what is left per source one row per page.
+    The copies of a link collapse before the shuffle, and what is left per
+    source is one row per page.
     """
     capped = listing.where(F.col("page").between(1, cap))
-    linked = capped.groupBy("source", key, "page").agg(F.max("file_date").alias("file_date"))
-    by_link = Window.partitionBy("source", key)
-    first_seen = linked.withColumn("_first", F.min("page").over(by_link))
-
-    pages = (
-        _marked(first_seen, checkpoint)
+    first_seen = capped.groupBy("source", key).agg(F.min("page").alias("page"))
+    unseen = first_seen.select("source", "page").distinct()
+    old = (
+        _marked(capped.select("source", "page", "file_date"), checkpoint)
         .groupBy("source", "page")
         .agg(
-            F.bool_or(F.col("_first") == F.col("page")).alias("_unseen"),
-            F.bool_and(F.coalesce(F.coalesce("file_date", F.lit("")) <= F.col("_mark"), F.lit(False))).alias("_old"),
+            F.bool_and(
+                F.coalesce(F.coalesce("file_date", F.lit("")) <= F.col("_mark"), F.lit(False))
+            ).alias("_old")
         )
     )
     in_order = Window.partitionBy("source").orderBy("page")
-    reached = pages.where("_unseen").withColumn("_at", F.row_number().over(in_order))
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     walked = (
-        reached.where(F.col("_at") == F.col("page"))
+        unseen.join(old, ["source", "page"])
+        .withColumn("_at", F.row_number().over(in_order))
+        .where(F.col("_at") == F.col("page"))
         .withColumn("_stopped", F.coalesce(F.bool_or("_old").over(before), F.lit(False)))
         .where(~F.col("_stopped"))
         .select("source", "page")
     )
     # A link is gathered on its first page, with all its copies there.
-    gathered = first_seen.where(F.col("_first") == F.col("page")).select("source", key, "page")
-    kept = gathered.join(walked, ["source", "page"], "left_semi")
-    return capped.join(kept, ["source", key, "page"], "left_semi")
+    gathered = first_seen.join(walked, ["source", "page"], "left_semi")
+    return capped.join(gathered, ["source", key, "page"], "left_semi")
 
 
 def completeness(totals: DataFrame) -> DataFrame:
@@ -179,11 +178,9 @@ def refresh_links(links: DataFrame, relisting: DataFrame, now: Column) -> DataFr
         ["name", "category", "page"],
         ["pos"],
     ).drop("pos")
-    in_category = dedup_last(
-        relisting.select("name", "category", "page", "pos", F.col("href").alias("_in_category")),
-        ["name", "category"],
-        ["page", "pos"],
-    ).drop("page", "pos")
+    # The last row of a category is the last row of its last page.
+    last = dedup_last(on_page, ["name", "category"], ["page"])
+    in_category = last.select("name", "category", F.col("_on_page").alias("_in_category"))
     judged = links.select("name", "category", "page", "href", is_fresh(F.col("href"), now).alias("_fresh"))
     found = judged.join(on_page, ["name", "category", "page"], "left").join(
         in_category, ["name", "category"], "left"

@@ -209,8 +209,9 @@ def page_cut(spark, sf_dir):
     paged = listed.where(filters.has_prefix(F.col("fname"))).select("source", "page", "href", "file_date", "pos")
     kind = F.substring("source", 2, 9).cast("int") % 3
     shown = paged.where(~((kind == 0) & (F.col("page") == 3)) & ~((kind == 1) & (F.col("page") == 4)))
-    again = paged.where((kind == 0) & (F.col("page") == 2)).withColumn("page", F.lit(3))
-    cut = selection.page_cut(shown.union(again), stored_marks(spark, sf_dir), cap=6)
+    repeated = F.when((kind == 0) & (F.col("page") == 2), F.array(F.lit(2), F.lit(3)))
+    pages = shown.select("source", "href", "file_date", "pos", F.explode(F.coalesce(repeated, F.array("page"))).alias("page"))
+    cut = selection.page_cut(pages, stored_marks(spark, sf_dir), cap=6)
     return cut.select("source", "page", "href", "pos")
 
 
