@@ -104,7 +104,7 @@ def test_marks_are_broadcast_by_size(spark, plan, tmp_path):
 
     path = str(tmp_path / "m")
     marks.save_checkpoint(frame(spark, [("a", "1")], MARKS), path)
-    rows = spark.range(100_000).select(F.lit("a").alias("source"), F.col("id").cast("string").alias("file_date"))
+    rows = spark.range(100_000).select((F.col("id") % 3).cast("string").alias("source"), F.col("id").cast("string").alias("file_date"))
     shown = plan(selection.new_links(rows, marks.load_checkpoint(spark, path)), "simple")
     assert "BroadcastHashJoin" in shown and "Exchange hashpartitioning" not in shown
 
