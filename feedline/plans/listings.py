@@ -68,14 +68,14 @@ def file_name(spark, sf_dir):
 
 @query(
     "lst_05_host_filter",
-    rf"""
-    SELECT page_id, {_ROOT} || {E.unescaped('h')} AS link
-    FROM (SELECT page_id, url, {_ANCHORS} AS h FROM pages)
-    WHERE regexp_extract(url, '^https?://([^/?#]+)', 1) = 'blog.tionsh.example.net'""",
+    f"""
+    SELECT page_id, 'https://cdn1.example.net:8443' || {E.unescaped('h')} AS link
+    FROM (SELECT page_id, {_ANCHORS} AS h FROM pages) WHERE page_id % 3 = 1""",
 )
 def host_filter(spark, sf_dir):
-    found = links.extract_links(R.table(spark, sf_dir, "pages"), base=F.col("url"), keep=("page_id",))
-    return found.where(filters.on_host(F.col("link"), "blog.tionsh.example.net")).select("page_id", "link")
+    base = F.concat(F.lit("https://cdn"), R.text(F.col("page_id") % 3), F.lit(".example.net:8443/list"))
+    found = links.extract_links(R.table(spark, sf_dir, "pages"), base=base, keep=("page_id",))
+    return found.where(filters.on_host(F.col("link"), "cdn1.example.net:8443")).select("page_id", "link")
 
 
 @query(
