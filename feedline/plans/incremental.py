@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedline.functions import dates, urls
-from feedline.operators import dedup, filters, selection
+from feedline.operators import cycle, dedup, filters, selection
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
 from feedline.plans.registry import query
+from feedline.session import new_scratch
 from feedline.sources import listings
-from feedline.sources.marks import clean_marks
+from feedline.sources.marks import clean_marks, load_checkpoint
 
 
 def dated_listing(spark, sf_dir):
@@ -322,3 +323,25 @@ def plan_cycle(spark, sf_dir):
     fresh, marks = selection.plan_cycle(early, stored_marks(spark, sf_dir))
     counts = fresh.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return marks.join(counts, "source", "left").select("source", "mark", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_new"))
+
+
+@query(
+    "inc_15_run_cycle",
+    f"""
+    WITH {E.LISTING},
+    wanted AS (SELECT * FROM listing WHERE fname NOT LIKE 'Stores%'),
+    m1 AS (SELECT source, max(file_date) AS mark FROM wanted WHERE year < 1998 GROUP BY source),
+    n1 AS (SELECT source, count(*) AS n FROM wanted WHERE year < 1998 GROUP BY source),
+    n2 AS (SELECT source, count(*) AS n FROM wanted JOIN m1 USING (source) WHERE file_date > mark GROUP BY source),
+    m2 AS (SELECT source, max(file_date) AS mark FROM wanted GROUP BY source)
+    SELECT source, m2.mark, n1.n + coalesce(n2.n, 0) AS n_links
+    FROM m2 JOIN n1 USING (source) LEFT JOIN n2 USING (source)""",
+)
+def run_cycle(spark, sf_dir):
+    listed = R.listing(spark, sf_dir)
+    marks, out = new_scratch(spark, "marks"), new_scratch(spark, "links")
+    style = cycle.STYLES["paged_html"]
+    cycle.run_cycle(listed.where(F.col("year") < 1998), style, marks, out, "1")
+    cycle.run_cycle(listed, style, marks, out, "2")
+    counted = spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n_links"))
+    return load_checkpoint(spark, marks).join(counted, "source")

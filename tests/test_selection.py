@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from feedline.operators import blocks, dedup, filters, links, load, read, selection
+from feedline.operators import blocks, cycle, dedup, filters, links, load, read, selection
 
 LISTING = "source STRING, page INT, pos INT, href STRING, file_date STRING"
 MARKS = "source STRING, mark STRING"
@@ -209,3 +209,39 @@ def test_reads(spark, plan):
         assert "TakeOrderedAndProject" in plan(df, "simple")
     assert [tuple(r)[0] for r in read.search(quotes, "TEXT 7").select("id").collect()] == [7]
     assert read.search(quotes, "...").count() == 0
+
+
+def test_styles(spark):
+    rows = [
+        ("a", "https://h/d/PriceFull1-20240101-000000.gz", "PriceFull1-20240101-000000.gz", None, 2),
+        ("a", "https://h/20240105-000000/Stores1.gz?v=20240102-000000", "Stores1.gz", "PRICEFULL", 4),
+        ("a", "https://h/d/PromoFull-20240103.gz", "PromoFull-20240103.gz", "x", 3),
+    ]
+    listed = frame(spark, rows, "source STRING, href STRING, fname STRING, file_type STRING, category INT")
+    want = {
+        "paged_html": ["20240101000000", None],
+        "paged_json": ["20240101000000", None],
+        "signed_html": ["20240101000000", None],
+        "table_html": ["20240101000000", "20240102000000", None],
+        "day_pages": ["20240101000000", None, None],
+        "catalog_json": ["20240101000000", None, "20240103000000"],
+    }
+    for name, dates in want.items():
+        assert [r.file_date for r in cycle.prepare_listing(listed, cycle.STYLES[name]).collect()] == dates, name
+
+
+def test_failed_write_keeps_the_marks(spark, tmp_path):
+    from feedline.sources.marks import load_checkpoint
+
+    marks, out = str(tmp_path / "m"), str(tmp_path / "o")
+    listed = frame(spark, [("a", "https://h/PriceFull-20240101-000000.gz")], "source STRING, href STRING")
+    style = cycle.STYLES["paged_html"]
+    broken = listed.withColumn("href", F.when(F.col("source") == "a", F.raise_error(F.lit("gone"))).cast("string"))
+    with pytest.raises(Exception):
+        cycle.run_cycle(broken, style, marks, out, "1")
+    assert load_checkpoint(spark, marks).count() == 0
+    for _ in range(2):
+        cycle.run_cycle(listed, style, marks, out, "1")
+    assert dict(load_checkpoint(spark, marks).collect()) == {"a": "20240101000000"}
+    assert cycle.run_cycle(listed, style, marks, out, "2").count() == 0
+    assert spark.read.parquet(out).count() == 1
