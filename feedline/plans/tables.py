@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from feedline.functions import enrich
 from feedline.functions.text import iso_ts
-from feedline.operators import load, read
+from feedline.operators import load, prices, read
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
+from feedline.plans.feeds import price_feed
 from feedline.plans.registry import query
 
 
@@ -291,3 +292,21 @@ def get_product(spark, sf_dir):
 def list_prices(spark, sf_dir):
     page = read.list_prices(current_prices(spark, sf_dir), chain="c2", store="7", limit=None)
     return page.select("superProvider", "storeId", "itemCode", "price", "updateTime")
+
+
+@query(
+    "qry_11_store_prices_from_feed",
+    f"""
+    WITH {E.OFFERS}
+    SELECT '72900' || s_nationkey AS "superProvider", '00007' AS "storeId",
+           lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS "itemCode", p_name AS "itemName", l_extendedprice AS price,
+           strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS "updateTime"
+    FROM offers WHERE l_suppkey = 7 ORDER BY "itemCode\"""",
+)
+def store_prices_from_feed(spark, sf_dir):
+    """From stored feed files over the prices table to one store's list."""
+    records = prices.parse_prices(price_feed(spark, sf_dir), keep=("file",))
+    # The feed is delivered twice; the table stays the same.
+    table = load.upsert(records, records, load.PRICE_KEY, load.PRICE_ORDER)
+    page = read.list_prices(table, store="00007", limit=None)
+    return page.select("superProvider", "storeId", "itemCode", "itemName", "price", "updateTime")

@@ -74,18 +74,34 @@ def load_stream(
     return rows.writeStream.foreachBatch(append_log(path, keys, order)).option("checkpointLocation", state)
 
 
-def current_view(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """One current row per key over all batches in the log."""
-    return dedup_last(spark.read.parquet(path).drop("batch_id"), keys, order)
+def current_view(
+    spark: SparkSession, path: str, keys: list[str], order: list[str], snapshots: str | None = None
+) -> DataFrame:
+    """One current row per key over the log.
+
+    With ``snapshots`` the newest one stands for the batches it covers, and
+    only the later batches of the log are read.
+    """
+    log = spark.read.parquet(path)
+    if snapshots is None:
+        return dedup_last(log.drop("batch_id"), keys, order)
+    kept = spark.read.parquet(snapshots)
+    upto = kept.agg(F.max("upto")).first()[0]
+    base = kept.where(F.col("upto") == upto).drop("upto")
+    later = log.where(F.col("batch_id") > upto).drop("batch_id")
+    return dedup_last(base.unionByName(later), keys, order)
 
 
-def compact(spark: SparkSession, path: str, snapshot: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Write the current view to a new snapshot folder and read it back.
+def compact(spark: SparkSession, path: str, snapshots: str, keys: list[str], order: list[str]) -> int:
+    """Write a snapshot of the batches logged so far; returns the last batch it covers.
 
-    The log stays as it is; readers move to the snapshot once it is complete.
+    The log stays as it is, so a reader is never without one of the two.
     """
-    current_view(spark, path, keys, order).write.mode("errorifexists").parquet(snapshot)
-    return spark.read.parquet(snapshot)
+    log = spark.read.parquet(path)
+    upto = log.agg(F.max("batch_id")).first()[0]
+    covered = log.where(F.col("batch_id") <= upto).drop("batch_id")
+    dedup_last(covered, keys, order).write.mode("overwrite").parquet(f"{snapshots.rstrip('/')}/upto={upto}")
+    return upto
 
 
 def drop_redelivered(

@@ -28,7 +28,7 @@ def test_promotion_stream(spark, tmp_path):
     assert [r.promotionId for r in spark.read.parquet(out).collect()] == ["1"]
 
 
-def test_replayed_batch_replaces_itself(spark, tmp_path):
+def test_replayed_batch_replaces_itself(spark, plan, tmp_path):
     log = str(tmp_path / "log")
     write = feeds.append_log(log, ["k"], ["at"])
     first = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k STRING, at INT")
@@ -41,8 +41,14 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     after = sorted(map(tuple, feeds.current_view(spark, log, ["k"], ["at"]).collect()))
     assert before == after == [("a", 2), ("b", 3)]
     assert spark.read.parquet(log).count() == 3
-    snapshot = feeds.compact(spark, log, str(tmp_path / "snap"), ["k"], ["at"])
-    assert sorted(map(tuple, snapshot.collect())) == after
+    snapshots = str(tmp_path / "snap")
+    assert feeds.compact(spark, log, snapshots, ["k"], ["at"]) == 1
+    write(spark.createDataFrame([("c", 1), ("a", 9)], "k STRING, at INT"), 2)
+    view = feeds.current_view(spark, log, ["k"], ["at"], snapshots)
+    whole = feeds.current_view(spark, log, ["k"], ["at"])
+    assert sorted(map(tuple, view.collect())) == [("a", 9), ("b", 3), ("c", 1)] == sorted(map(tuple, whole.collect()))
+    # Only the batch after the snapshot is read from the log.
+    assert "PartitionFilters: [isnotnull(batch_id" in plan(view, "simple")
 
 
 def test_redelivery_makes_no_row(spark, tmp_path):
