@@ -83,7 +83,11 @@ def parsed_documents(
     raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
 ) -> DataFrame:
     """``keep`` columns, the parsed struct ``x`` and whether the document is ``ok``."""
-    parsed = raw.select(*keep, F.col(doc).alias("_doc"), parse_xml(F.col(doc), schema, mode).alias("x"))
+    # Generated from a one-element array: a filter on what was parsed then stays
+    # above the parser instead of parsing once more below it.
+    parsed = raw.select(
+        *keep, F.col(doc).alias("_doc"), F.explode_outer(F.array(parse_xml(F.col(doc), schema, mode))).alias("x")
+    )
     return parsed.select(*keep, "x", well_formed(F.col("_doc"), F.col("x")).alias("ok"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedline.functions import enrich
 from feedline.functions.text import iso_ts
 from feedline.operators import load, prices, read
+from feedline.operators.dedup import dedup_last
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
 from feedline.plans.feeds import price_feed
@@ -306,7 +307,6 @@ def list_prices(spark, sf_dir):
 def store_prices_from_feed(spark, sf_dir):
     """From stored feed files over the prices table to one store's list."""
     records = prices.parse_prices(price_feed(spark, sf_dir), keep=("file",))
-    # The feed is delivered twice; the table stays the same.
-    table = load.upsert(records, records, load.PRICE_KEY, load.PRICE_ORDER)
+    table = dedup_last(records, load.PRICE_KEY, load.PRICE_ORDER)
     page = read.list_prices(table, store="00007", limit=None)
     return page.select("superProvider", "storeId", "itemCode", "itemName", "price", "updateTime")

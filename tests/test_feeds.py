@@ -77,7 +77,9 @@ def test_promotions(spark):
 
 
 def test_one_parse_per_document(spark, plan):
-    for df in (prices.parse_prices(docs(spark, DRIFTED)), promotions.promotion_items(promotions.parse_promotions(docs(spark, FLAT)))):
+    rows = prices.parse_prices(docs(spark, DRIFTED))
+    items = promotions.promotion_items(promotions.parse_promotions(docs(spark, FLAT)))
+    for df in (rows, rows.where("storeId = '1' and price > 2"), items, items.where("storeId = '1'")):
         optimized = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
         assert optimized.count("from_xml(") == 1
         # The parsed document does not travel with the exploded rows.
