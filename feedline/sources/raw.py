@@ -37,7 +37,7 @@ def gunzip(content: pd.Series) -> pd.Series:
 
 def document_text(content: Column, charset: str = "UTF-8") -> Column:
     """Text of a raw feed file, without a byte order mark."""
-    return F.regexp_replace(F.decode(gunzip(content), charset), "^﻿", "")
+    return F.regexp_replace(F.decode(gunzip(content), charset), "^\ufeff", "")
 
 
 def read_raw(
