@@ -210,7 +210,7 @@ def matches(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_set("spans")).alias("spans"),
         F.flatten(F.collect_set("items")).alias("items"),
-        F.max("longest").alias("longest"),
+        F.max_by("longest", F.struct("longest.words", -F.col("longest.at"))).alias("longest"),
     )
     ids = keyed(docs, doc_id=doc_id, text=text, keep=False)
     return ids.join(merged, same_document(ids, merged)).select(ids["doc_id"], ids["text_key"], "n_words", "spans", "items", "longest")

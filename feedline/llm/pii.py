@@ -4,8 +4,9 @@ Each kind's pattern cuts a text into gaps and matches, leftmost and without
 overlap.  The pairs become rows, and running sums of their lengths give the
 places, so a text with many matches costs no more than its matches.  Validators
 then drop matches that fail (Luhn for cards, mod 97 for IBANs, digit and part
-limits for phones and addresses).  A context word close by raises the score;
-kinds that are weak without it need it to pass.
+limits for phones and addresses).  A context word close by, in the text up to
+the neighbouring matches of the kind, raises the score; kinds that are weak
+without it need it to pass.
 
 Patterns start at the first character of a run and give nothing back, so long
 runs cost linear time.  Places are code points, ends exclusive.

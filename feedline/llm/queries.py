@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedline.llm import bpe, decontam, langid, licenses, media, pii, simhash, token_counts, warc
+from feedline.llm import bpe, decontam, katz, langid, licenses, media, pii, simhash, token_counts, warc
 from feedline.llm.common import load, uri
 from feedline.session import new_scratch
 
@@ -33,6 +33,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(load(spark, sf_dir, "documents")))
 
 
+@query("op2_katz_backoff")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score under the model learned from four fifths of the documents."""
+    docs = load(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    model = katz.fit(docs.filter("NOT held_out"))
+    found = katz.score(docs, model, keep=("doc_id", "held_out"))
+    return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 @query("op3_chunked_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and the bytes they decode to."""
