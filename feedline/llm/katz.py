@@ -53,7 +53,7 @@ from feedline.session import new_scratch
 START, END = np.uint64(0), np.uint64(1)
 LOW = 5
 FIT = 10
-SLICE = 12 << 20
+SLICE = 8 << 20
 RUN = 1 << 16
 HOT = 8
 SAMPLE_ROWS = 20_000
@@ -126,9 +126,11 @@ def spread(word: np.ndarray, context: np.ndarray, hot: np.ndarray, buckets: int)
 
 def in_buckets(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its rows, in the given order within."""
+    if not len(order):
+        return
     order = order[np.argsort(bucket[order], kind="stable")]
     ordered = bucket[order]
-    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else []
+    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         yield int(ordered[a]), order[a:b]
 
@@ -280,7 +282,7 @@ def fit(docs: DataFrame, *, text: str = "text", buckets: int | None = None) -> M
         merged, "bucket int, run int, word array<long>, context array<long>, n array<long>"
     )
     pairs.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
+    pairs = spark.read.schema(pairs.schema).parquet(f"{folder}/pairs")
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of counts (kind 1: words, 2: pairs) and partial totals of hot words (kind 0)."""
@@ -298,7 +300,7 @@ def fit(docs: DataFrame, *, text: str = "text", buckets: int | None = None) -> M
 
     table = pairs.select("word", "n").mapInArrow(histogram, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     table.write.parquet(f"{folder}/counts")
-    table = spark.read.parquet(f"{folder}/counts")
+    table = spark.read.schema(table.schema).parquet(f"{folder}/counts")
     totals = {r["key"]: r["n"] for r in table.filter("kind = 0").collect()}
     hot_counts = np.array([totals.get(w, 0) for w in hot.astype(np.int64).tolist()], np.int64)
     small = {(r["kind"], r["key"]): r["n"] for r in table.filter((F.col("kind") > 0) & (F.col("key") <= FIT)).collect()}
@@ -424,15 +426,19 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
             )
             number += 1
 
-    sent = rows.mapInArrow(blocks, f"{BLOCKS}, kept array<{row_type}>").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = rows.mapInArrow(blocks, f"{BLOCKS}, kept array<{row_type}>")
+    sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     out = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("block", pa.binary())])
+    wide = f"{BLOCKS}, kept array<{row_type}>"
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums for each text (bucket -1), and what backs off by bucket of its context."""
+        """Sums for each text (bucket -1), what backs off by bucket of its context, and the rows themselves."""
         model, number, table = shared.value, None, None
         for batch in batches:
-            for row in batch.select(["bucket", "slice", "block"]).to_pylist():
+            kind = batch.schema.field("kept").type
+            for at, row in enumerate(batch.select(["bucket", "slice", "block"]).to_pylist()):
                 if row["bucket"] < 0:
+                    yield batch.slice(at, 1)
                     continue
                 if row["bucket"] != number:
                     number = row["bucket"]
@@ -451,8 +457,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
                     rows.append((b, packed(context[back][at], doc[back][at], n[back][at])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _ in rows], pa.int32()), pa.array([row["slice"]] * len(rows), pa.int64())]
-                    + [pa.array([x for _, x in rows], pa.binary())],
-                    schema=out,
+                    + [pa.array([x for _, x in rows], pa.binary()), pa.nulls(len(rows), kind)],
+                    ["bucket", "slice", "block", "kept"],
                 )
 
     def handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,10 +483,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
                     [pa.array([-1], pa.int32()), pa.array([row["slice"]], pa.int64()), pa.array([block], pa.binary())], schema=out
                 )
 
-    evaluated = sent.mapInArrow(seen, BLOCKS)
-    backed = evaluated.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(handed, BLOCKS)
-    parts = evaluated.filter("bucket < 0").unionByName(backed).select("slice", "block", F.lit(None).cast(f"array<{row_type}>").alias("kept"))
-    parts = parts.unionByName(sent.filter("bucket < 0").select("slice", "block", "kept"))
+    evaluated = sent.mapInArrow(seen, wide)
+    backed = evaluated.filter("bucket >= 0").drop("kept").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    backed = backed.mapInArrow(handed, BLOCKS).withColumn("kept", F.lit(None).cast(f"array<{row_type}>"))
+    parts = evaluated.filter("bucket < 0").unionByName(backed).select("slice", "block", "kept")
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def summed(key: tuple, group: pa.Table) -> pa.Table:

@@ -6,9 +6,10 @@ into tar shards in the shared folder under the SHA-256 of their text; rows carry
 digest, shard, offset and length.  Metadata columns come from range reads of the
 image header alone; payloads from range reads of the whole image.
 
-A task writes each shard under a name of its own, and only the index that Spark
-commits names it, so a repeated task leaves at worst a file nobody refers to.
-Copies are dropped before the shuffle, so a hot text travels once for each task.
+A task writes the payloads of its own rows, each once, under shard names of its
+own, and only the index that Spark commits names them, so a repeated task leaves
+at worst a file nobody refers to.  Payloads never travel: where several tasks
+hold copies of a text, the index keeps the first place and the others are unused.
 
 Null texts are empty and are stored as one row of blanks.  Rows are independent
 and equal texts share everything but their id.
@@ -34,7 +35,7 @@ from feedline.session import new_scratch
 
 WIDTH = 192
 SHARD_BYTES = 64 << 20
-LEVEL = 4
+LEVEL = 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 # Signature, length, type and body of the first chunk.
 HEADER_BYTES = 29
@@ -97,38 +98,28 @@ INDEX_DDL = "digest string, shard string, offset long, length long"
 
 def write_shards(docs: DataFrame, folder: str, *, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store every distinct text below ``folder``; the index is ``digest``, ``shard``, ``offset``, ``length``."""
-    schema = pa.schema([("digest", pa.string()), ("image", pa.binary())])
 
-    def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(folder)
+        store.create_dir(base)
         seen: set[bytes] = set()
+        out, name, at = None, "", 0
         for part in slices(batches, "text"):
             rows = []
             for body in utf8(part, "text"):
-                key = hashlib.sha256(body).digest()
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((key.hex(), to_png(payload_of(body))))
-            if rows:
-                yield as_batch(schema, *map(list, zip(*rows, strict=True)))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base)
-        seen: set[str] = set()
-        out, name, at, rows = None, "", 0, []
-        for part in slices(batches, "image"):
-            for digest, image in zip(part.column("digest").to_pylist(), part.column("image").to_pylist(), strict=True):
-                if digest in seen:
+                key = hashlib.sha256(body)
+                if key.digest() in seen:
                     continue
-                seen.add(digest)
+                seen.add(key.digest())
                 if out is None:
                     name = f"{uuid.uuid4().hex}.tar"
                     out, at = store.open_output_stream(f"{base}/{name}", compression=None), 0
-                entry = tarfile.TarInfo(f"{digest}.png")
+                image = to_png(payload_of(body))
+                entry = tarfile.TarInfo(f"{key.hexdigest()}.png")
                 entry.size = len(image)
                 head = entry.tobuf(tarfile.USTAR_FORMAT)
                 out.write(head + image + bytes(-len(image) % 512))
-                rows.append((digest, name, at + len(head), len(image)))
+                rows.append((key.hexdigest(), name, at + len(head), len(image)))
                 at += len(head) + len(image) + -len(image) % 512
                 if at >= shard_bytes:
                     out.write(bytes(1024))
@@ -136,13 +127,13 @@ def write_shards(docs: DataFrame, folder: str, *, text: str = "text", shard_byte
                     out = None
             if rows:
                 yield as_batch(INDEX, *map(list, zip(*rows, strict=True)))
-                rows = []
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
-    encoded = docs.select(F.col(text).alias("text")).mapInArrow(images, "digest string, image binary")
-    return stored(encoded.repartition("digest").mapInArrow(packed, INDEX_DDL), "media-index")
+    entries = stored(docs.select(F.col(text).alias("text")).mapInArrow(packed, INDEX_DDL), "media-entries")
+    place = F.min(F.struct("shard", "offset", "length")).alias("place")
+    return entries.groupBy("digest").agg(place).select("digest", "place.*")
 
 
 def ranges(index: DataFrame, folder: str, size: int | None, read, schema: pa.Schema, ddl: str) -> DataFrame:
