@@ -27,30 +27,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedline.llm.common import LOWER, slices, stored, utf8
+from feedline.llm.common import LOWER, keyed, slices, stored, utf8
 
 WORDS = 3
 RADIUS = 2
 SEED = 42
+# Text whose shingles, 64 bytes each as bits, are at hand at once.
+SLICE = 1 << 20
 
 
 def fingerprint_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
-    hashes, counts, digest = [], [], xxhash.xxh64_intdigest
+    hashes, digest = [], xxhash.xxh64_intdigest
     for text in texts:
         tokens = text.translate(LOWER).split()
         if len(tokens) >= words:
             shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
         else:
             shingles = [b" ".join(tokens)] if tokens else []
-        before = len(hashes)
-        hashes.extend([digest(s, SEED) for s in shingles])
-        counts.append(len(hashes) - before)
-    sizes = np.array(counts, np.int64)
+        hashes.append(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+    sizes = np.array([len(h) for h in hashes], np.int64)
     prints = np.zeros(len(texts), np.uint64)
     filled = np.flatnonzero(sizes)
     if len(filled):
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        bits = np.unpackbits(np.concatenate(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         begins = (np.cumsum(sizes) - sizes)[filled]
         sums = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
         set_bits = (2 * sums > sizes[filled, None]).astype(np.uint8)
@@ -59,28 +59,16 @@ def fingerprint_of(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``print``, the fingerprint as a signed long."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """``doc_id``, ``text_key`` (hash of the text) and ``print``, the fingerprint as a signed long."""
+    rows = keyed(docs, doc_id=doc_id, text=text)
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             prints = pa.array(fingerprint_of(utf8(part, "text"), words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints], ["doc_id", "print"])
+            columns = [part.column("doc_id"), part.column("text_key"), prints]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "print"])
 
-    return rows.mapInArrow(printed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long")
-
-
-def with_fingerprints(docs: DataFrame, column: str, *, text: str = "text", words: int = WORDS) -> DataFrame:
-    """The documents with their fingerprint as a signed long in ``column``."""
-    names = docs.columns
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            prints = pa.array(fingerprint_of(utf8(part, text), words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), prints], [*names, column])
-
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(printed, f"{ddl}`{column}` long")
+    return rows.mapInArrow(printed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, print long")
 
 
 def ball(half: int) -> list[int]:
@@ -142,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS
 ) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hexadecimal digits), ``print``, ``root`` and ``component_id`` of every row.
+    """``doc_id``, ``text_key``, ``fingerprint`` (16 hexadecimal digits), ``root`` and ``component_id`` of every row.
 
     ``root`` is the smallest fingerprint of the component and tells components
     apart even where ids are null or repeated.
@@ -157,5 +145,5 @@ def near_duplicates(
     members = rooted.select("print", "root").join(least, "root")
     hexadecimal = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return prints.join(members, "print").select(
-        "doc_id", hexadecimal.alias("fingerprint"), "print", "root", "component_id"
+        "doc_id", "text_key", hexadecimal.alias("fingerprint"), "root", "component_id"
     )
