@@ -31,6 +31,10 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
 
 
+# Windows-1252 for 128-159; what it leaves undefined stays as it is.
+_C1 = [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]
+
+
 def unescape(col: Column) -> Column:
     """Decode character references, named or numeric."""
     names = F.create_map(*[F.lit(x) for x in chain.from_iterable(
@@ -40,7 +44,11 @@ def unescape(col: Column) -> Column:
     def decode(piece: Column) -> Column:
         decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
         hexa = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        digits = F.when(decimal != "", F.hex(decimal.try_cast("bigint"))).when(hexa != "", hexa)
+        stated = F.when(decimal != "", decimal.try_cast("bigint")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("bigint"))
+        # As in HTML5: 128-159 are read as windows-1252, what is no character becomes U+FFFD.
+        none = (stated == 0) | stated.between(0xD800, 0xDFFF) | (stated > 0x10FFFF)
+        code = F.coalesce(F.try_element_at(F.array(*[F.lit(c) for c in _C1]), (stated - 127).cast("int")), stated)
+        digits = F.hex(F.when(none, F.lit(0xFFFD)).when(stated.between(128, 159), code).otherwise(stated))
         return F.coalesce(
             F.when(
                 piece.startswith("&#"),

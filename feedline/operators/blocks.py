@@ -73,7 +73,7 @@ def extract_blocks(pages: DataFrame, key: str, html: str, spec: dict) -> DataFra
     text.
     """
     block, fields = spec["block"], spec["fields"]
-    tokens = page_tokens(pages, key, html, block.get("class"))
+    tokens = page_tokens(pages, key, html)
     tagged = tokens.select(
         key,
         "pos",
@@ -90,7 +90,7 @@ def extract_blocks(pages: DataFrame, key: str, html: str, spec: dict) -> DataFra
         "closes",
         opens.alias("opens"),
         (opens & hollow).alias("hollow"),
-        F.when(opens & F.col("token").contains("class"), markup.class_tokens(F.col("token")))
+        F.when(opens & F.lower("token").contains("class"), markup.class_tokens(F.col("token")))
         .otherwise(F.array().cast("array<string>"))
         .alias("classes"),
         F.when(F.col("tag") == "", strip(markup.unescape(F.col("token")))).alias("text"),

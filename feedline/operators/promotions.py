@@ -96,7 +96,9 @@ def parse_promotions(
     its own single group.  ``items`` is never null.
     """
     documents = parsed_documents(raw, promotion_schema(), doc, keep, mode)
-    below = F.flatten(F.transform(F.col("x.Promotions"), lambda p: p["Promotion"]))
+    # An element without promotions has a null list; it must not empty the others.
+    held = F.transform(F.col("x.Promotions"), lambda p: p["Promotion"])
+    below = F.flatten(F.filter(held, lambda p: p.isNotNull()))
     # Only the header texts travel with each promotion, never the whole document.
     listed = documents.select(
         *keep,

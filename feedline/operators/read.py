@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from feedline.functions.enrich import tokens
 
-PAGE_SIZE = 20
-
 
 def _page(df: DataFrame, order: list[str], limit: int | None, offset: int) -> DataFrame:
     """A sorted page; with a limit Spark keeps only limit + offset rows per task."""
@@ -25,7 +23,7 @@ def list_quotes(
     quotes: DataFrame,
     author: str | None = None,
     tag: str | None = None,
-    limit: int | None = PAGE_SIZE,
+    limit: int | None = None,
     offset: int = 0,
     after: int | None = None,
 ) -> DataFrame:
@@ -65,7 +63,7 @@ def _query_tokens(query: str) -> list[str]:
     return sorted({word for word in bare if word})
 
 
-def search(quotes: DataFrame, query: str, limit: int | None = PAGE_SIZE, text: str = "text") -> DataFrame:
+def search(quotes: DataFrame, query: str, limit: int | None = None, text: str = "text") -> DataFrame:
     """Quotes that hold every query word, most hits first, then by id."""
     wanted = _query_tokens(query)
     if not wanted:
@@ -95,7 +93,7 @@ def inverted_index(quotes: DataFrame, text: str = "text") -> DataFrame:
     return occurrences.groupBy("token", "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def search_index(index: DataFrame, query: str, limit: int | None = PAGE_SIZE) -> DataFrame:
+def search_index(index: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """:func:`search` over a stored index: ``id, hits``."""
     wanted = _query_tokens(query)
     found = (
@@ -134,7 +132,7 @@ def list_prices(
     chain: str | None = None,
     store: str | None = None,
     item: str | None = None,
-    limit: int | None = PAGE_SIZE,
+    limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
     """Current prices filtered by any part of their key, sorted by it."""

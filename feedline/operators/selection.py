@@ -21,9 +21,6 @@ from feedline.functions.urls import is_fresh
 from feedline.operators.dedup import dedup_last
 from feedline.operators.links import extract_links
 
-# Fixed value: most pages of a newest-first listing looked at in one run.
-PAGE_CAP = 50
-
 
 def newest_mark(listing: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``source, mark``: the highest file date per source, null without any.
@@ -106,7 +103,7 @@ def expand_days(
 
 
 def page_cut(
-    listing: DataFrame, checkpoint: DataFrame, cap: int = PAGE_CAP, key: str = "href"
+    listing: DataFrame, checkpoint: DataFrame, cap: int | None = None, key: str = "href"
 ) -> DataFrame:
     """Rows a newest-first paging run would gather, link copies of later pages left out.
 
@@ -116,12 +113,14 @@ def page_cut(
     * before the first page without an unseen link (or without any link),
     * after the first page whose links are all dated at or before the mark
       (undated counts as old); never by date where there is no mark,
-    * after page ``cap``.
+    * after page ``cap``, if one is given.
 
     The copies of a link collapse before the shuffle, and what is left per
     source is one row per page.
     """
-    capped = listing.where(F.col("page").between(1, cap))
+    capped = listing.where(F.col("page") >= 1)
+    if cap is not None:
+        capped = capped.where(F.col("page") <= cap)
     first_seen = capped.groupBy("source", key).agg(F.min("page").alias("page"))
     unseen = first_seen.select("source", "page").distinct()
     old = (
@@ -154,9 +153,11 @@ def completeness(totals: DataFrame) -> DataFrame:
     ``totals`` has ``source, n_rows, reported``, one row per response.
     """
     summed = totals.groupBy("source").agg(
-        F.sum("n_rows").alias("n_rows"), F.coalesce(F.max("reported"), F.lit(0)).cast("bigint").alias("reported")
+        F.sum("n_rows").alias("n_rows"),
+        # One total that cannot be read leaves the source's open.
+        F.when(F.count("*") == F.count("reported"), F.max("reported")).cast("bigint").alias("reported"),
     )
-    return summed.withColumn("complete", F.col("n_rows") >= F.col("reported"))
+    return summed.withColumn("complete", F.coalesce(F.col("n_rows") >= F.col("reported"), F.lit(False)))
 
 
 def skip_rejected(rows: DataFrame, answers: DataFrame, on: str = "source", rejected: int = 400) -> DataFrame:

@@ -39,11 +39,10 @@ def newest_mark(spark, sf_dir):
     f"""
     WITH {E.LISTING}, {E.MARKS}
     SELECT source, greatest(max(file_date), any_value(mark)) AS mark
-    FROM marks LEFT JOIN (SELECT * FROM listing WHERE year < 1998) USING (source) GROUP BY source""",
+    FROM marks LEFT JOIN listing USING (source) GROUP BY source""",
 )
 def newest_mark_kept(spark, sf_dir):
-    early = dated_listing(spark, sf_dir).where(F.col("year") < 1998)
-    return selection.newest_mark_kept(early, stored_marks(spark, sf_dir))
+    return selection.newest_mark_kept(dated_listing(spark, sf_dir), stored_marks(spark, sf_dir))
 
 
 @query(
@@ -312,15 +311,13 @@ def union_sources(spark, sf_dir):
     "inc_15_plan_cycle",
     f"""
     WITH {E.LISTING}, {E.MARKS},
-    early AS (SELECT * FROM listing WHERE year < 1999),
     s AS (SELECT source, max(file_date) AS newest, count(*) FILTER (mark IS NULL OR file_date > mark) AS n
-          FROM early JOIN marks USING (source) GROUP BY source)
+          FROM listing JOIN marks USING (source) GROUP BY source)
     SELECT source, CASE WHEN n > 0 THEN coalesce(newest, mark) ELSE mark END AS mark, coalesce(n, 0) AS n_new
     FROM marks LEFT JOIN s USING (source)""",
 )
 def plan_cycle(spark, sf_dir):
-    early = dated_listing(spark, sf_dir).where(F.col("year") < 1999)
-    fresh, marks = selection.plan_cycle(early, stored_marks(spark, sf_dir))
+    fresh, marks = selection.plan_cycle(dated_listing(spark, sf_dir), stored_marks(spark, sf_dir))
     counts = fresh.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return marks.join(counts, "source", "left").select("source", "mark", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_new"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedline.functions.text import first_text
+from feedline.functions.text import first_text, strip
 from feedline.operators.prices import PRICE_FIELDS, price_columns
 
-PAGED_SCHEMA = "aaData ARRAY<STRUCT<type STRING, fname STRING>>, iTotalRecords BIGINT"
+PAGED_SCHEMA = "aaData ARRAY<STRUCT<type STRING, fname STRING>>, iTotalRecords STRING"
 
 # Where a catalog response may hold its list.
 WRAPPERS = ("files", "data", "items", "result")
@@ -32,16 +32,41 @@ def listing_totals(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -
     return parsed.select(
         *keep,
         F.coalesce(F.size("r.aaData"), F.lit(0)).cast("bigint").alias("n_rows"),
-        F.col("r.iTotalRecords").alias("reported"),
+        # A total that is missing is 0; one that is no number is null, and its listing not complete.
+        F.when(F.col("r.iTotalRecords").isNull(), F.lit(0))
+        .otherwise(F.trim("r.iTotalRecords").try_cast("bigint"))
+        .cast("bigint")
+        .alias("reported"),
     )
 
 
-def read_catalog_entries(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def read_catalog_entries(responses: DataFrame, col: str, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """One row per entry of a catalog response, bare list or wrapped.
 
     Elements that are not objects are dropped.  A response that is neither a
-    list nor an object with a list under a known key raises.
+    list nor an object with a list under a known key gives no entry and is in
+    ``odd_catalogs``; with ``strict`` it raises.
     """
+    members = _members(responses, col, keep)
+    if strict:
+        odd = F.raise_error(F.lit("unexpected catalog response")).cast("array<string>")
+        members = members.withColumn("_members", F.coalesce("_members", odd))
+    entries = members.select(*keep, F.posexplode("_members").alias("pos", "member"))
+    return entries.where(F.ltrim("member").startswith("{")).select(
+        *keep,
+        "pos",
+        strip(F.get_json_object("member", "$.fileName")).alias("fname"),
+        F.get_json_object("member", "$.fileType").alias("file_type"),
+    )
+
+
+def odd_catalogs(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The responses that hold no list of entries: ``keep`` and the response."""
+    return _members(responses, col, (*keep, col)).where(F.col("_members").isNull()).select(*keep, col)
+
+
+def _members(responses: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and ``_members``, the raw entries of each response; null where it has no list."""
     text = F.ltrim(F.col(col))
     # Elements stay raw text first, so one odd member cannot null the list.
     bare = F.when(text.startswith("["), F.from_json(col, "ARRAY<STRING>"))
@@ -52,18 +77,7 @@ def read_catalog_entries(responses: DataFrame, col: str, keep: tuple[str, ...] =
         held = F.col(f"_wrapped.{name}")
         return F.when(F.ltrim(held).startswith("["), F.from_json(held, "ARRAY<STRING>"))
 
-    members = F.coalesce(
-        F.col("_bare"),
-        *[as_list(w) for w in WRAPPERS],
-        F.raise_error(F.lit("unexpected catalog response")).cast("array<string>"),
-    )
-    entries = listed.select(*keep, F.posexplode(members).alias("pos", "member"))
-    return entries.where(F.ltrim("member").startswith("{")).select(
-        *keep,
-        "pos",
-        F.get_json_object("member", "$.fileName").alias("fname"),
-        F.get_json_object("member", "$.fileType").alias("file_type"),
-    )
+    return listed.select(*keep, F.coalesce("_bare", *[as_list(w) for w in WRAPPERS]).alias("_members"))
 
 
 def read_prices_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,41 @@ RAW_SCHEMA = T.StructType(
 _GZIP_MAGIC = b"\x1f\x8b"
 
 
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+
+
+def _text(raw: bytes | None, charset: str | None) -> tuple[str | None, str | None]:
+    """Text of a file, gunzipped if it is gzip, and what is wrong with it if it has none."""
+    if raw is None:
+        return None, "no content"
+    try:
+        body = gzip.decompress(raw) if bytes(raw[:2]) == _GZIP_MAGIC else bytes(raw)
+    except (OSError, EOFError, zlib.error) as bad:
+        return None, f"gzip: {bad}"
+    declared = _DECLARED.match(body[:200])
+    marked = next((name for mark, name in _MARKS if body.startswith(mark)), None)
+    name = marked or charset or (declared.group(1).decode() if declared else "utf-8")
+    try:
+        return body.decode(name).removeprefix("\ufeff"), None
+    except (LookupError, UnicodeError) as bad:
+        return None, f"charset: {bad}"
+
+
+@F.pandas_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
+def _decoded(content: pd.Series, charset: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_text(raw, name) for raw, name in zip(content, charset, strict=True)], columns=["doc", "error"])
+
+
+def decoded(content: Column, charset: str | None = None) -> Column:
+    """``doc`` and ``error`` of a raw feed file; a damaged one has no ``doc``.
+
+    The charset is that of the byte order mark, else the one given, else the
+    one its XML declaration names, else UTF-8.
+    """
+    return _decoded(content, F.lit(charset).cast("string"))
+
+
 @F.pandas_udf(T.BinaryType())
 def gunzip(content: pd.Series) -> pd.Series:
     """Gunzip what is gzipped, pass the rest through.
@@ -35,9 +72,9 @@ def gunzip(content: pd.Series) -> pd.Series:
     )
 
 
-def document_text(content: Column, charset: str = "UTF-8") -> Column:
-    """Text of a raw feed file, without a byte order mark."""
-    return F.regexp_replace(F.decode(gunzip(content), charset), "^\ufeff", "")
+def document_text(content: Column, charset: str | None = None) -> Column:
+    """Text of a raw feed file, without a byte order mark; null where it cannot be read (see ``decoded``)."""
+    return decoded(content, charset)["doc"]
 
 
 def read_raw(

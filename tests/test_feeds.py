@@ -120,7 +120,7 @@ def test_catalog_wrappers(spark):
     assert [(r.fname, r.file_type) for r in found.collect()] == [("a", None), ("b", "T")]
     for bad in ('{"other":[]}', '"text"', "nonsense"):
         with pytest.raises(Exception):
-            listings.read_catalog_entries(spark.createDataFrame([(bad,)], "body STRING"), "body").collect()
+            listings.read_catalog_entries(spark.createDataFrame([(bad,)], "body STRING"), "body", strict=True).collect()
 
 
 def test_checkpoint_store(spark, tmp_path):
@@ -137,3 +137,46 @@ def test_checkpoint_store(spark, tmp_path):
 def test_raw_object_keys(spark):
     df = spark.createDataFrame([("s", "f"), ("", "f"), (None, "f")], "s STRING, f STRING")
     assert [r[0] for r in df.select(raw.object_key(F.col("s"), F.col("f"))).collect()] == ["s/f", "f", "f"]
+
+
+def test_damaged_and_foreign_files_do_not_end_the_job(spark):
+    import gzip
+
+    from feedline.sources.raw import decoded
+
+    text = '<?xml version="1.0" encoding="{0}"?><Root><StoreId>שלום</StoreId></Root>'
+    rows = [
+        (1, gzip.compress(b"<Root/>" * 50)[:20]),
+        (2, text.format("windows-1255").encode("windows-1255")),
+        (3, text.format("ISO-8859-8").encode("iso-8859-8")),
+        (4, text.format("utf-16").encode("utf-16")),
+        (5, gzip.compress(b"\xef\xbb\xbf" + text.format("utf-8").encode())),
+        (6, b"\xff\xfa\xff"),
+        (7, None),
+        (8, text.format("no-such-charset").encode()),
+    ]
+    found = spark.createDataFrame(rows, "id INT, content BINARY").select("id", decoded("content").alias("d")).collect()
+    docs = {r["id"]: r["d"]["doc"] for r in found}
+    assert all("שלום" in docs[n] and docs[n].startswith("<?xml") for n in (2, 3, 4, 5))
+    errors = {r["id"]: r["d"]["error"].split(":")[0] for r in found if r["d"]["doc"] is None}
+    assert errors == {1: "gzip", 6: "charset", 7: "no content", 8: "charset"}
+
+
+def test_odd_catalogs_and_totals(spark):
+    rows = [("a", '[{"fileName": " x.gz "}]'), ("b", '{"other": 1}'), ("c", "oops")]
+    df = spark.createDataFrame(rows, "source STRING, body STRING")
+    assert [r["fname"] for r in listings.read_catalog_entries(df, "body", keep=("source",)).collect()] == ["x.gz"]
+    assert {r["source"] for r in listings.odd_catalogs(df, "body", keep=("source",)).collect()} == {"b", "c"}
+    pages = [("a", '{"aaData": [{"fname": "x"}], "iTotalRecords": "2000"}'), ("b", '{"aaData": []}')]
+    pages += [("c", '{"aaData": [], "iTotalRecords": "many"}'), ("d", '{"aaData": [{"fname": "x"}], "iTotalRecords": 1}')]
+    totals = listings.listing_totals(spark.createDataFrame(pages, "source STRING, body STRING"), "body", keep=("source",))
+    from feedline.operators.selection import completeness
+
+    assert {r["source"]: r["complete"] for r in completeness(totals).collect()} == {"a": False, "b": True, "c": False, "d": True}
+
+
+def test_character_references_that_are_none(spark):
+    from feedline.functions.markup import unescape
+
+    rows = spark.createDataFrame([("&#9999999;|&#xD800;|&#0;|&#128;|&#xe9;|&#129;",)], "t STRING")
+    assert rows.select(unescape(rows.t)).first()[0] == "\ufffd|\ufffd|\ufffd|€|é|\x81"

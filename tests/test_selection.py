@@ -205,7 +205,7 @@ def test_reads(spark, plan):
     assert [r.id for r in read.list_quotes(quotes, author="a1", tag="x", limit=2, offset=1).collect()] == [7, 13]
     assert [r.id for r in read.list_quotes(quotes, limit=2, after=4).collect()] == [5, 6]
     assert [tuple(r) for r in read.top_authors(quotes, 2).collect()] == [("a1", 10), ("a2", 10)]
-    for df in (read.top_authors(quotes), read.list_quotes(quotes, offset=5)):
+    for df in (read.top_authors(quotes), read.list_quotes(quotes, limit=20, offset=5)):
         assert "TakeOrderedAndProject" in plan(df, "simple")
     assert [tuple(r)[0] for r in read.search(quotes, "TEXT 7").select("id").collect()] == [7]
     assert read.search(quotes, "...").count() == 0
