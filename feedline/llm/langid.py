@@ -209,12 +209,13 @@ def sample(docs: DataFrame, *, text: str, lang: str, per_class: int, windows: in
     evenly over the whole text; a shorter text is repeated up to one window.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # One row for each label: as many as the network has outputs.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return []
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_class + 64) / r["n"]))])
     body = rows.filter("text IS NOT NULL AND text != ''").withColumn("order", F.xxhash64("text"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_class + 64) / F.col("n"))
-    near = body.join(counts, "lang").filter(
-        (F.col("order") / F.lit(2.0**64) + 0.5) <= share
-    )
+    near = body.filter(F.col("order") / F.lit(2.0**64) + 0.5 <= shares[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("lang", "text")
 

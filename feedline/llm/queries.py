@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedline.llm import bpe, decontam, katz, langid, licenses, media, pii, simhash, token_counts, warc
-from feedline.llm.common import load, uri
+from feedline.llm.common import load, stored, uri
 from feedline.session import new_scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_length_histogram")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every encoded length with its documents and suffix sums."""
-    return token_counts.suffix_sums(token_counts.length_histogram(load(spark, sf_dir, "documents")))
+    # The sums read the histogram twice; the texts are encoded once.
+    return token_counts.suffix_sums(stored(token_counts.length_histogram(load(spark, sf_dir, "documents")), "lengths"))
 
 
 @query("op2_katz_backoff")
