@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from feedline.functions.dates import file_date
 from feedline.functions.urls import file_name
 from feedline.operators import filters
-from feedline.operators.selection import plan_cycle
-from feedline.sources.marks import load_checkpoint, save_checkpoint
+from feedline.operators.selection import new_links, newest_mark
+from feedline.sources.marks import advance_checkpoint, load_checkpoint, save_checkpoint
+from feedline.session import new_scratch
 
 STYLES: dict[str, dict] = {
     "paged_html": {"wanted": "prefix", "date": "first", "date_on": "link", "regress": True},
@@ -57,17 +58,23 @@ def prepare_listing(listing: DataFrame, style: dict) -> DataFrame:
 def run_cycle(listing: DataFrame, style: dict, mark_path: str, out_path: str, batch_id: str) -> DataFrame:
     """Write the new links below ``batch_id``, then save the marks; returns the new links.
 
-    The marks move only after the links are stored, so a failed run is redone
-    whole, and the redone run replaces its own batch.  Without a new link
-    nothing is written and no mark moves.  Each cycle takes a fresh batch id.
+    The listing is computed once, into a scratch table.  The marks come from
+    that stored batch: a new link is dated after its source's mark, so the
+    newest stored date is the newest listed one, and no mark passes a link that
+    was not stored.  They move only after the links are stored, so a failed run
+    is redone whole, and the redone run replaces its own batch.  Without a new
+    link the batch stays as it is and no mark moves.  Each cycle takes a fresh
+    batch id.
     """
     spark = listing.sparkSession
-    prepared = prepare_listing(listing, style)
     marks = load_checkpoint(spark, mark_path)
-    fresh, after = plan_cycle(prepared, marks, style["regress"])
-    if fresh.isEmpty():
-        return fresh
+    fresh = new_links(prepare_listing(listing, style), marks)
+    scratch = new_scratch(spark, "cycle")
+    fresh.write.parquet(scratch)
+    batch = spark.read.schema(fresh.schema).parquet(scratch)
+    if batch.isEmpty():
+        return batch
     target = f"{out_path.rstrip('/')}/batch_id={batch_id}"
-    fresh.write.mode("overwrite").parquet(target)
-    save_checkpoint(after, mark_path)
-    return spark.read.parquet(target)
+    batch.write.mode("overwrite").parquet(target)
+    save_checkpoint(advance_checkpoint(marks, newest_mark(batch)), mark_path)
+    return spark.read.schema(fresh.schema).parquet(target)

@@ -68,15 +68,33 @@ def parse_xml(doc: Column, schema: str, mode: str = "PERMISSIVE") -> Column:
     return F.from_xml(doc, schema, {"mode": mode, "columnNameOfCorruptRecord": _CORRUPT})
 
 
+def _one_root(doc: Column, root: Column) -> Column:
+    """The root's tag closes for good only once, at its last occurrence; comments and CDATA do not count."""
+    hidden = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+    plain = F.when(doc.contains("<!"), F.regexp_replace(doc, hidden, "")).otherwise(doc)
+    tag = F.concat(F.lit(r"</?\Q"), root, F.lit(r"""\E(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>"""))
+
+    def step(state: Column, found: Column) -> Column:
+        change = F.when(found.startswith("</"), -1).when(found.endswith("/>"), 0).otherwise(1)
+        outside = state["seen"] & (state["depth"] <= 0)
+        return F.struct(
+            (state["depth"] + change).alias("depth"), F.lit(True).alias("seen"), (state["bad"] | outside).alias("bad")
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("seen"), F.lit(False).alias("bad"))
+    return F.aggregate(F.regexp_extract_all(plain, tag, F.lit(0)), start, step, lambda s: ~s["bad"] & (s["depth"] == 0))
+
+
 def well_formed(doc: Column, parsed: Column) -> Column:
-    """The whole text is one document: it parsed, and ends with its root element."""
+    """The whole text is one document: it parsed, and its root element ends once, at the end."""
     root = F.regexp_extract(doc, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<([^\s/>!?]+)", 1)
     # The closing tag is nearly always the very end; only else search for it.
     at_end = F.regexp_extract(F.right(doc, F.lit(200)), r"</([^\s<>]+)\s*>\s*$", 1)
     before_comments = F.regexp_extract(doc, r"(?s)</([^\s>]+)\s*>(?:\s|<!--.*?-->)*+$", 1)
     empty_root = doc.rlike(r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*+<[^<>]*/>\s*$")
     closed = F.when(root == "", False).when(root == at_end, True).when(root == before_comments, True)
-    return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root)
+    whole = F.when(root == "", F.lit(False)).otherwise(_one_root(doc, root))
+    return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root) & whole
 
 
 def parsed_documents(

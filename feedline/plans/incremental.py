@@ -142,14 +142,15 @@ def dedup_first(spark, sf_dir):
     f"""
     WITH {E.LISTING}
     SELECT source, category, fname, page, pos FROM (
-      SELECT *, row_number() OVER (PARTITION BY source, category, fname ORDER BY page DESC, pos DESC) AS rn
+      SELECT *, row_number() OVER (PARTITION BY source, fname ORDER BY category DESC, page DESC, pos DESC) AS rn
       FROM listing WHERE category IN (2, 4))
     WHERE rn = 1""",
 )
 def dedup_last(spark, sf_dir):
     listed = R.listing(spark, sf_dir).where(filters.full_snapshot(F.col("category")))
     rows = listed.select("source", "category", "fname", "page", "pos")
-    return dedup.dedup_last(rows, ["source", "category", "fname"], ["page", "pos"])
+    # Over all categories: the later category wins.
+    return dedup.dedup_last(rows, ["source", "fname"], ["category", "page", "pos"])
 
 
 # Links short enough to recur: what a listing repeats from page to page.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,23 +82,46 @@ def _members(responses: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame
     return listed.select(*keep, F.coalesce("_bare", *[as_list(w) for w in WRAPPERS]).alias("_members"))
 
 
+def _by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files below ``path`` by their header line; empty files have none.
+
+    Only each file's first split counts.  The list is the one a reader's file
+    listing holds as well: one entry for each file.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.monotonically_increasing_id().alias("n"), "_metadata.file_path", "_metadata.file_block_start"
+    )
+    starts = lines.where("file_block_start = 0 AND trim(value) <> ''")
+    headers = starts.groupBy("file_path").agg(F.min_by("value", "n").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in headers.toLocalIterator():
+        found.setdefault(row["header"].lstrip("\ufeff").rstrip("\r"), []).append(row["file_path"])
+    return found
+
+
 def read_prices_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Price records from CSV files whose headers are the feed's tag names.
 
     Everything is read as text, then goes through the same value rules as the
     XML feed.  Header names match in any case; ``ChainId`` and ``StoreId``
-    are columns of the file.
+    are columns of the file.  Files of one header are read together, so a file
+    with its columns in another order keeps them apart by name.
     """
-    rows = spark.read.options(header="true", inferSchema="false", **options).csv(path)
-    have = {c.strip().lower(): c for c in rows.columns}
 
-    def leaf(*tags: str):
-        found = [F.array(F.col(f"`{have[t.lower()]}`")) for t in tags if t.lower() in have]
-        return first_text(*found) if found else F.lit(None).cast("string")
+    def texts(files: list[str] | str) -> DataFrame:
+        rows = spark.read.options(header="true", inferSchema="false", **options).csv(files)
+        have = {c.strip().lstrip("\ufeff").lower(): c for c in rows.columns}
 
-    texts = rows.select(
-        leaf("ChainId").alias("superProvider"),
-        leaf("StoreId").alias("storeId"),
-        *[leaf(*tags).alias(name) for name, (tags, _) in PRICE_FIELDS.items()],
-    )
-    return texts.select("superProvider", "storeId", *price_columns())
+        def leaf(*tags: str):
+            found = [F.array(F.col(f"`{have[t.lower()]}`")) for t in tags if t.lower() in have]
+            return first_text(*found) if found else F.lit(None).cast("string")
+
+        return rows.select(
+            leaf("ChainId").alias("superProvider"),
+            leaf("StoreId").alias("storeId"),
+            *[leaf(*tags).alias(name) for name, (tags, _) in PRICE_FIELDS.items()],
+        )
+
+    parts = [texts(files) for files in _by_header(spark, path).values()] or [texts(path)]
+    joined = reduce(DataFrame.unionByName, parts)
+    return joined.select("superProvider", "storeId", *price_columns())

@@ -34,8 +34,9 @@ def test_price_document(spark):
 
 def test_rejected_documents(spark):
     whole = "<Root><Items><Item><ItemCode>1</ItemCode></Item></Items></Root>"
-    bad = [whole[:-5], whole + "<x>", "", "no xml", None, whole.replace("</Item>", "", 1)]
+    bad = [whole[:-5], whole + "<x>", "", "no xml", None, whole.replace("</Item>", "", 1), whole + "<more></Root>", whole + whole]
     good = [whole, "\n" + whole + "\n<!-- a --> ", "<Root/>", "<Root><Items/></Root>"]
+    good += ["<Root a='>'><!-- </Root> --><Root2/><Root><Root/></Root></Root>"]
     df = docs(spark, *good, *bad)
     assert prices.parse_prices(df, keep=("path",)).count() == 2
     rejected = {r.path for r in prices.quarantine(df, prices.price_schema(), keep=("path",)).collect()}
@@ -180,3 +181,16 @@ def test_character_references_that_are_none(spark):
 
     rows = spark.createDataFrame([("&#9999999;|&#xD800;|&#0;|&#128;|&#xe9;|&#129;",)], "t STRING")
     assert rows.select(unescape(rows.t)).first()[0] == "\ufffd|\ufffd|\ufffd|€|é|\x81"
+
+
+def test_csv_files_of_other_header_orders(spark, tmp_path):
+    from feedline.sources.listings import read_prices_csv
+
+    (tmp_path / "a.csv").write_text("ItemCode,ItemPrice,StoreId\n007,5.5,1\n")
+    (tmp_path / "b.csv").write_text("itemprice,ITEMCODE\n6.5,008\n7.5,009\n")
+    (tmp_path / "c.csv").write_text("ItemCode,ItemPrice,StoreId\n010,8.5,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = read_prices_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.itemCode, r.price, r.storeId) for r in rows) == [
+        ("007", 5.5, "1"), ("008", 6.5, None), ("009", 7.5, None), ("010", 8.5, "2")
+    ]
