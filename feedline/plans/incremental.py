@@ -105,14 +105,14 @@ def select_days(spark, sf_dir):
     "inc_06_expand_days",
     f"""
     WITH {_DAYS}
-    SELECT source, 'https://d.example.net/' || source || '/download/' || event_id || '.gz' AS link
+    SELECT source, 'https://d.example.net/' || source || '/download/' || event_id || '.GZ' AS link
     FROM chosen JOIN events ON event_type = source AND strftime(ts, '%Y%m%d') = day
     WHERE event_id % 4 <> 0""",
 )
 def expand_days(spark, sf_dir):
     days = selection.select_days(_day_pages(spark, sf_dir), _day_marks(spark, sf_dir), max_days=5)
     suffix = F.when(F.col("event_id") % 4 == 0, ".txt").otherwise(".GZ")
-    anchor = F.concat(F.lit('<a href="download/'), R.text("event_id"), F.lower(suffix), F.lit('">f</a>'))
+    anchor = F.concat(F.lit('<a href="download/'), R.text("event_id"), suffix, F.lit('">f</a>'))
     link = F.concat_ws("/", F.lit("https://d.example.net"), "event_type", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".html")))
     # Captures are cut by event range, so one busy day is several captures.
     captures = (
