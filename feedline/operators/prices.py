@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ PRICE_FIELDS: dict[str, tuple[tuple[str, ...], str]] = {
 
 PRICE_COLUMNS = ("superProvider", "storeId", *PRICE_FIELDS)
 
-# Item elements looked for below the container.
+# The usual tags of the container's children; any other child is an item too.
 ITEM_TAGS = ("Item", "Product")
 
+# Children under tags that a schema does not name, as texts.
+ANY = "xs_any"
+
 _KINDS = {"text": lambda c: c, "number": number_of, "bool": to_bool, "time": iso_ts}
 
 _CORRUPT = "_corrupt"
@@ -59,7 +64,7 @@ def price_schema(item_tags: tuple[str, ...] = ITEM_TAGS) -> str:
     """
     tags = [tag for accepted, _ in PRICE_FIELDS.values() for tag in accepted]
     item = "STRUCT<" + ", ".join(f"{tag}: ARRAY<STRING>" for tag in tags) + ">"
-    container = "STRUCT<" + ", ".join(f"{tag}: ARRAY<{item}>" for tag in item_tags) + ">"
+    container = "STRUCT<" + ", ".join(f"{tag}: ARRAY<{item}>" for tag in item_tags) + f", {ANY}: ARRAY<STRING>>"
     return f"ChainId ARRAY<STRING>, StoreId ARRAY<STRING>, Items ARRAY<{container}>, {_CORRUPT} STRING"
 
 
@@ -97,16 +102,62 @@ def well_formed(doc: Column, parsed: Column) -> Column:
     return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root) & whole
 
 
+def filled(*arrays: Column) -> Column:
+    """How many of the arrays hold something."""
+    return sum((F.when(F.size(a) > 0, 1).otherwise(0) for a in arrays), F.lit(0))
+
+
+def child_names(doc: Column, container: str) -> Column:
+    """Distinct lower-case local names of the children of the root's first ``container`` child."""
+    plain = F.regexp_replace(doc, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    tag = F.lit(r"""</?[^\s<>/!?][^\s<>/]*(?:[^<>"']|"[^"]*"|'[^']*')*+>""")
+
+    def step(state: Column, found: Column) -> Column:
+        closes, empty = found.startswith("</"), found.endswith("/>")
+        name = F.lower(F.regexp_extract(found, r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
+        depth, phase = state["depth"], state["phase"]
+        # 0: before the container, 1: in it, 2: after it.
+        enters = (phase == 0) & (depth == 1) & ~closes & (name == container)
+        leaves = (phase == 1) & (depth == 2) & closes
+        listed = (phase == 1) & (depth == 2) & ~closes
+        return F.struct(
+            (depth + F.when(closes, -1).when(empty, 0).otherwise(1)).alias("depth"),
+            F.when(leaves | (enters & empty), 2).when(enters, 1).otherwise(phase).alias("phase"),
+            F.when(listed, F.array_union(state["names"], F.array(name))).otherwise(state["names"]).alias("names"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.array().cast("array<string>").alias("names"))
+    return F.aggregate(F.regexp_extract_all(plain, tag, F.lit(0)), start, step, lambda s: s["names"])
+
+
+def renamed(doc: Column, *changes: tuple[Column, str]) -> Column:
+    """The document with every tag of some names, in any case, called otherwise; comments and CDATA stay as they are."""
+    tags = []
+    for names, to in changes:
+        quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+        tags.append((F.concat(F.lit(r"(?i)<(/?)(?:[^\s<>/:]+:)?(?:"), quoted, F.lit(r")(?=[\s/>])")), F.lit(f"<$1{to}")))
+
+    def swap(text: Column) -> Column:
+        return reduce(lambda t, change: F.regexp_replace(t, *change), tags, text)
+
+    piece = F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|.+?(?=<!\[CDATA\[|<!--|$)")
+    fixed = F.transform(
+        F.regexp_extract_all(doc, piece, F.lit(0)),
+        lambda t: F.when(t.startswith("<![CDATA[") | t.startswith("<!--"), t).otherwise(swap(t)),
+    )
+    return F.when(doc.contains("<!"), F.array_join(fixed, "")).otherwise(swap(doc))
+
+
 def parsed_documents(
     raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
 ) -> DataFrame:
-    """``keep`` columns, the parsed struct ``x`` and whether the document is ``ok``."""
+    """``keep`` columns, the parsed struct ``x``, whether the document is ``ok``, and its text ``_doc``."""
     # Generated from a one-element array: a filter on what was parsed then stays
     # above the parser instead of parsing once more below it.
     parsed = raw.select(
         *keep, F.col(doc).alias("_doc"), F.explode_outer(F.array(parse_xml(F.col(doc), schema, mode))).alias("x")
     )
-    return parsed.select(*keep, "x", well_formed(F.col("_doc"), F.col("x")).alias("ok"))
+    return parsed.select(*keep, "x", well_formed(F.col("_doc"), F.col("x")).alias("ok"), "_doc")
 
 
 def quarantine(raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -134,18 +185,38 @@ def parse_prices(
     """One row per item: ``keep`` columns, ``pos``, then the 18 record columns.
 
     A malformed document gives no rows (see :func:`quarantine`); with
-    ``mode="FAILFAST"`` it fails the query.  The items are those of the first
-    ``Items`` child of the root, whichever of ``item_tags`` they carry.
+    ``mode="FAILFAST"`` it fails the query.  The items are all children of the
+    first ``Items`` child of the root, in document order.
+
+    The parser groups children by tag.  Where that loses order or children
+    (several item tags, tags beyond ``item_tags``, two aliases of a field in one
+    item), and only there, the document is parsed again with one name for each.
     """
-    documents = parsed_documents(raw, price_schema(item_tags), doc, keep, mode)
+    schema = price_schema(item_tags)
+    documents = parsed_documents(raw, schema, doc, keep, mode)
     container = F.get(F.col("x.Items"), F.lit(0))
     children = [container[tag] for tag in item_tags]
+    aliases = [tags for tags, _ in PRICE_FIELDS.values() if len(tags) > 1]
+    # A field's tag hung directly on the container names fields elsewhere.
+    fixed = ["items", *(tag.lower() for tags, _ in PRICE_FIELDS.values() for tag in tags)]
+    others = F.filter(child_names(F.col("_doc"), "items"), lambda n: ~n.isin(*fixed))
+
+    def doubled(item: Column) -> Column:
+        found = [filled(*[item[tag] for tag in tags]) > 1 for tags in aliases]
+        return reduce(lambda a, b: a | b, found)
+
+    mixed = (filled(container[ANY]) > 0) | (filled(*children) > 1)
+    mixed |= F.coalesce(F.exists(join_arrays(*children), doubled), F.lit(False))
+    names = F.concat(F.array(*[F.lit(t) for t in item_tags]), others)
+    changes = [(F.array(*[F.lit(t) for t in tags]), tags[0]) for tags in aliases]
+    unified = renamed(F.col("_doc"), (names, item_tags[0]), *changes)
+    again = F.get(parse_xml(unified, schema, mode)["Items"], F.lit(0))[item_tags[0]]
     # Only the header texts travel with each item, never the whole document.
     listed = documents.select(
         *keep,
         first_text(F.col("x.ChainId")).alias("superProvider"),
         first_text(F.col("x.StoreId")).alias("storeId"),
-        F.when(F.col("ok"), join_arrays(*children)).alias("_items"),
+        F.when(F.col("ok") & mixed, again).when(F.col("ok"), join_arrays(*children)).alias("_items"),
     )
     items = exploded(listed, "_items", "item")
     # Texts first, values second: the values look at their text several times.
@@ -178,13 +249,14 @@ def item_losses(
     keep: tuple[str, ...] = (),
     item_tags: tuple[str, ...] = ITEM_TAGS,
 ) -> DataFrame:
-    """Audit: per document the children of its container and how many were read.
+    """Audit: per document the children of its container and how many carry one of ``item_tags``.
 
-    A difference means the feed uses an item tag that ``item_tags`` lacks.
+    A difference means the feed uses other item tags: all are read, but such
+    documents are parsed twice.
     """
-    documents = parsed_documents(raw.withColumn("_text", F.col(doc)), price_schema(item_tags), doc, (*keep, "_text"))
+    documents = parsed_documents(raw, price_schema(item_tags), doc, keep)
     lower = "translate(name(), 'ITEMS', 'items')"
-    count = F.xpath_int("_text", F.lit(f"count(/*/*[{lower}='items'][1]/*)"))
+    count = F.xpath_int("_doc", F.lit(f"count(/*/*[{lower}='items'][1]/*)"))
     read = sum(
         (F.coalesce(F.size(F.get(F.col("x.Items"), F.lit(0))[tag]), F.lit(0)) for tag in item_tags),
         F.lit(0),

@@ -150,6 +150,32 @@ def items_container(spark, sf_dir):
     return prices.parse_prices(docs, keep=("p_partkey",)).select("p_partkey", "itemCode")
 
 
+@query(
+    "prc_06_items_any_tag",
+    """
+    SELECT p_partkey, CAST(n - 1 AS INTEGER) AS pos, codes[n] AS "itemCode", CASE WHEN n = 1 THEN p_name END AS "itemName"
+    FROM (SELECT p_partkey, p_name, codes, unnest(range(1, len(codes) + 1)) AS n
+          FROM (SELECT p_partkey, p_name, CASE p_partkey % 3
+                  WHEN 0 THEN [CAST(p_partkey AS VARCHAR), 'b', 'c', 'd'] WHEN 1 THEN [CAST(p_partkey AS VARCHAR), 'd', 'b']
+                  ELSE [CAST(p_partkey AS VARCHAR), 'c'] END AS codes FROM part))""",
+)
+def items_any_tag(spark, sf_dir):
+    """Children of three tags mixed, and two names in one item in both orders."""
+    kind = F.col("p_partkey") % 3
+    right, wrong = R.escape(F.col("p_name")), F.lit("later")
+    named = F.when(F.col("p_partkey") % 2 == 0, F.concat(R.element("ItemNm", right), R.element("ItemName", wrong)))
+    named = named.otherwise(F.concat(R.element("ItemName", right), R.element("ITEMNM", wrong)))
+    first = F.concat(R.element("ItemCode", R.text("p_partkey")), named)
+    b, c, d = (R.element("ItemCode", code) for code in "bcd")
+    body = (
+        F.when(kind == 0, F.concat(R.element("Line", first), R.element("Item", b), R.element("LINE", c), R.element("Product", d)))
+        .when(kind == 1, F.concat(R.element("Product", first), R.element("Item", d), R.element("Product", b)))
+        .otherwise(F.concat(R.element("Row-2.a", first), F.lit("<!-- <Row> -->"), R.element("Row", c)))
+    )
+    docs = R.table(spark, sf_dir, "part").select("p_partkey", R.element("Root", R.element("Items", body)).alias("doc"))
+    return prices.parse_prices(docs, keep=("p_partkey",)).select("p_partkey", "pos", "itemCode", "itemName")
+
+
 @query("prc_07_price_records", f"WITH {E.OFFERS} SELECT {_RECORD} FROM offers")
 def price_records(spark, sf_dir):
     return prices.parse_prices(price_feed(spark, sf_dir)).select(*prices.PRICE_COLUMNS)
