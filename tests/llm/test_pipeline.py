@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from random import Random
 
 import corpus_pipeline
 import pytest
@@ -59,3 +60,34 @@ def test_repeated_rows_leave_one(spark, docs, folder):
 def test_no_documents(spark, none, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_near_copies_at_four_fifths(spark, none, folder):
+    """Copies with scattered changes go from 0.8 up, against brute force over all pairs; chains are followed."""
+    random = Random(11)
+    rows, n = [], 0
+    for _ in range(60):
+        words = [f"v{random.randrange(5000)}" for _ in range(200)]
+        for changes in (0, 1, 2, 3, 4, 7, 9):
+            copy = list(words)
+            for at in random.sample(range(200), changes):
+                copy[at] = f"c{random.randrange(10**6)}"
+            rows.append((n, " ".join(copy), "en", None, None, "x", "y", 1, 2))
+            n += 1
+    sets = {i: {tuple(t[k : k + 5]) for k in range(196)} for i, t in ((r[0], r[1].split()) for r in rows)}
+    root = {i: i for i in sets}
+    for a in range(n):
+        for b in range(a - a % 7, a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, none.schema).repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert kept == set(root.values()) and 60 < len(kept) < n
+
+
+def test_near_copies_of_awkward_rows(spark, docs, folder):
+    """12 and 13 are 0.64 alike, 18 to 20 0.97."""
+    kept = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id > 3"), folder)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 21]
