@@ -10,7 +10,7 @@ matrix.  Gates and candidates use ``x / (1 + |x|)``, which costs a fraction of
 the exponential forms.
 
 The sample: at most ``per_class`` documents of each label, those with the
-smallest text hashes, and ``windows`` windows of each.  Nothing of it depends on
+smallest text hashes, copies counted once, and ``windows`` windows of each.  Nothing of it depends on
 id or source.  Labels are the distinct labels of the training rows.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text
@@ -204,19 +204,20 @@ def label(net: Network, texts: list[bytes], *, span: int = SPAN) -> np.ndarray:
 def sample(docs: DataFrame, *, text: str, lang: str, per_class: int, windows: int, window: int) -> list[tuple[str, bytes]]:
     """(label, window) pairs of the documents with the smallest text hashes, ``per_class`` for each label at most.
 
-    A first pass counts labels without reading texts; the second drops by hash
-    all but about twice what is wanted before anything is sorted.  Windows lie
+    A first pass counts the distinct texts of each label by their hashes; the
+    second drops by hash all but about twice what is wanted before anything is
+    sorted.  Copies count once in both, so a label with any text keeps some.  Windows lie
     evenly over the whole text; a shorter text is repeated up to one window.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL")
+    body = rows.filter("text IS NOT NULL AND text != ''").withColumn("order", F.xxhash64("text"))
     # One row for each label: as many as the network has outputs.
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = body.select("lang", "order").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_class + 64) / r["n"]))])
-    body = rows.filter("text IS NOT NULL AND text != ''").withColumn("order", F.xxhash64("text"))
-    near = body.filter(F.col("order") / F.lit(2.0**64) + 0.5 <= shares[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    near = body.filter(F.col("order") / F.lit(2.0**64) + 0.5 <= shares[F.col("lang")]).dropDuplicates(["lang", "order"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
     chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,11 @@ def test_near_copies_of_awkward_rows(spark, docs, folder):
     """12 and 13 are 0.64 alike, 18 to 20 0.97."""
     kept = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id > 3"), folder)
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 21]
+
+
+def test_every_label_with_text_is_sampled(spark):
+    """A label of many copies, empty texts and few other texts keeps all of its distinct texts."""
+    rows = [(f"bonjour {i}", "fr") for i in range(20)] + [("copie", "fr")] * 4000 + [("", "fr"), (None, "fr")] * 2000
+    docs = spark.createDataFrame(rows + [("hello", "en"), ("", "xx")], "text string, lang string").repartition(3)
+    pairs = langid.sample(docs, text="text", lang="lang", per_class=30, windows=1, window=8)
+    assert [label for label, _ in pairs].count("fr") == 21 and {label for label, _ in pairs} == {"en", "fr"}
