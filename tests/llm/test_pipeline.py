@@ -5,6 +5,7 @@ from collections import Counter
 from random import Random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,28 @@ def test_every_label_with_text_is_sampled(spark):
     docs = spark.createDataFrame(rows + [("hello", "en"), ("", "xx")], "text string, lang string").repartition(3)
     pairs = langid.sample(docs, text="text", lang="lang", per_class=30, windows=1, window=8)
     assert [label for label, _ in pairs].count("fr") == 21 and {label for label, _ in pairs} == {"en", "fr"}
+
+
+def test_language_without_labels_keeps_texts(spark, docs, texts, folder):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, unlabelled, folder)
+    assert kept.columns == docs.columns
+    letters = sum(bool(re.search(r"[^\W\d_]", t or "")) for t in texts)
+    assert kept.count() == letters + 3
+
+
+def test_language_is_decided_by_the_probabilities(spark, docs, folder, monkeypatch):
+    """Bytes of ``q`` leave four labels at a quarter each, all others speak for the first."""
+    net = langid.Network(
+        ["a", "b", "c", "d"],
+        np.zeros((2, 3, 257, 1), np.float32),
+        np.zeros((2, 3, 1, 1), np.float32),
+        np.array([[9, 9], [0, 0], [0, 0], [0, 0]], np.float32),
+        np.zeros((4, 1), np.float32),
+    )
+    net.table[:, :2], net.table[:, 2] = 9, 9
+    net.table[:, 2, ord("q")] = 0
+    net.table[:, :, 256] = 0
+    monkeypatch.setattr(langid, "fit", lambda docs: net)
+    rows = spark.createDataFrame([(1, "q" * 90), (2, "a clean text"), (3, "?!")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, rows, folder).collect()] == [2]
