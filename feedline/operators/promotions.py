@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedline.functions.text import first_text, iso_ts_hour, number_of
-from feedline.operators.prices import exploded, join_arrays, parsed_documents
+from feedline.operators.prices import ANY, exploded, filled, join_arrays, parse_xml, parsed_documents, renamed
 
 # Fields a promotion or group states for its items.
 INHERITED = {
@@ -17,7 +17,7 @@ INHERITED = {
     "discountedPricePerMida": "DiscountedPricePerMida",
 }
 
-# Item elements below the container.
+# The usual tags of the container's children; any other child is an item too.
 PROMOTION_ITEM_TAGS = ("PromotionItem", "Item")
 
 _PROMOTION_TAGS = (
@@ -36,7 +36,8 @@ def promotion_schema() -> str:
     """Schema of a promotion document; promotions under the root or ``Promotions``."""
     levels = _leaves(*INHERITED.values())
     item = f"STRUCT<{_leaves('ItemCode', 'ItemType')}, {levels}>"
-    container = "STRUCT<" + ", ".join(f"{t}: ARRAY<{item}>" for t in PROMOTION_ITEM_TAGS) + ">"
+    container = "STRUCT<" + ", ".join(f"{t}: ARRAY<{item}>" for t in PROMOTION_ITEM_TAGS)
+    container += f", {ANY}: ARRAY<STRING>>"
     group = f"STRUCT<{levels}, PromotionItems: ARRAY<{container}>>"
     promotion = (
         f"STRUCT<{_leaves(*_PROMOTION_TAGS)}, {levels}, "
@@ -49,6 +50,69 @@ def promotion_schema() -> str:
     )
 
 
+_TAG = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+
+
+def _plain(doc: Column) -> Column:
+    """The document without comments, CDATA as escaped text."""
+    piece = F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|.+?(?=<!\[CDATA\[|<!--|$)")
+
+    def escaped(t: Column) -> Column:
+        text = F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+        return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    fixed = F.transform(
+        F.regexp_extract_all(doc, piece, F.lit(0)),
+        lambda t: F.when(t.startswith("<![CDATA["), escaped(t)).when(t.startswith("<!--"), "").otherwise(t),
+    )
+    return F.when(doc.contains("<!"), F.array_join(fixed, "")).otherwise(doc)
+
+
+def _item_names(plain: Column) -> Column:
+    """Distinct lower-case names of the children of every ``PromotionItems``."""
+
+    def step(state: Column, found: Column) -> Column:
+        closes, empty = found.startswith("</"), found.endswith("/>")
+        name = F.lower(F.regexp_extract(found, r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
+        depth, at = state["depth"], state["at"]
+        enters = (at < 0) & ~closes & ~empty & (name == "promotionitems")
+        leaves = closes & (depth - 1 == at)
+        listed = (at >= 0) & ~closes & (depth == at + 1)
+        return F.struct(
+            (depth + F.when(closes, -1).when(empty, 0).otherwise(1)).alias("depth"),
+            F.when(enters, depth).when(leaves, -1).otherwise(at).alias("at"),
+            F.when(listed, F.array_union(state["names"], F.array(name))).otherwise(state["names"]).alias("names"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("names"))
+    tags = F.regexp_extract_all(plain, F.lit(r"</?[^\s<>/!?][^\s<>/]*" + _TAG), F.lit(0))
+    return F.aggregate(tags, start, step, lambda s: s["names"])
+
+
+def _odd_items(promotion: Column) -> Column:
+    """Whether a container of the promotion holds foreign or several item tags."""
+    groups = join_arrays(F.flatten(F.filter(F.transform(promotion["Groups"], lambda g: g["Group"]), lambda g: g.isNotNull())))
+    held = F.flatten(F.filter(F.transform(groups, lambda g: g["PromotionItems"]), lambda c: c.isNotNull()))
+    containers = join_arrays(held, promotion["PromotionItems"])
+    return F.exists(
+        containers, lambda c: (filled(c[ANY]) > 0) | (filled(*[c[t] for t in PROMOTION_ITEM_TAGS]) > 1)
+    )
+
+
+def _read_again(doc: Column, mode: str) -> Column:
+    """The promotions of any depth in document order, their items under one tag."""
+    plain = _plain(doc)
+    whole = r"(?is)<promotion(?=[\s/>])(?:" + _TAG[:-1] + "(?<=/)>|" + _TAG + r".*?</promotion\s*>)"
+    found = F.array_join(F.regexp_extract_all(plain, F.lit(whole), F.lit(0)), "")
+    # A field's or a level's tag hung on a container names them elsewhere.
+    fixed = [*_PROMOTION_TAGS, *INHERITED.values(), "ItemCode", "ItemType", "Groups", "Group"]
+    fixed += ["Promotions", "Promotion", "PromotionItems"]
+    others = F.filter(_item_names(plain), lambda n: ~n.isin(*[tag.lower() for tag in fixed]))
+    names = F.concat(F.array(*[F.lit(t) for t in PROMOTION_ITEM_TAGS]), others)
+    flat = renamed(F.concat(F.lit("<Root>"), found, F.lit("</Root>")), (names, PROMOTION_ITEM_TAGS[0]))
+    return parse_xml(flat, promotion_schema(), mode)["Promotion"]
+
+
 def inherit(*levels: Column) -> Column:
     """Text stated at the nearest of several levels, nearest first.
 
@@ -91,7 +155,11 @@ def parse_promotions(
 ) -> DataFrame:
     """One row per promotion: ``keep`` columns, ``pos``, then the 8 record columns.
 
-    Promotions are looked for below the root and below its ``Promotions``.
+    Promotions are read at any depth below the root, and the items are all
+    children of ``PromotionItems``.  The parser knows promotions below the root
+    and its ``Promotions`` and two item tags; documents with others, or with
+    several that lose their order, and only those, are parsed once more.  Not
+    read are promotions inside a promotion.
     A promotion with groups ignores items hung directly on it; one without is
     its own single group.  ``items`` is never null.
     """
@@ -99,12 +167,19 @@ def parse_promotions(
     # An element without promotions has a null list; it must not empty the others.
     held = F.transform(F.col("x.Promotions"), lambda p: p["Promotion"])
     below = F.flatten(F.filter(held, lambda p: p.isNotNull()))
+    near = join_arrays(below, F.col("x.Promotion"))
+    opened = F.regexp_count(F.col("_doc"), F.lit(r"(?i)<promotion(?=[\s/>])"))
+    mixed = (opened != F.size(near)) | (filled(below, F.col("x.Promotion")) > 1)
+    mixed |= F.coalesce(F.exists(near, _odd_items), F.lit(False))
+    again = join_arrays(_read_again(F.col("_doc"), mode))
     # Only the header texts travel with each promotion, never the whole document.
     listed = documents.select(
         *keep,
         first_text(F.col("x.ChainID")).alias("providerId"),
         first_text(F.col("x.StoreID")).alias("storeId"),
-        F.when(F.col("ok"), join_arrays(below, F.col("x.Promotion"))).alias("_promotions"),
+        F.when(F.col("ok") & mixed, F.when(F.size(again) >= F.size(near), again).otherwise(near))
+        .when(F.col("ok"), near)
+        .alias("_promotions"),
     )
     promotions = exploded(listed, "_promotions", "p")
 

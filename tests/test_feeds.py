@@ -208,3 +208,17 @@ def test_csv_files_of_other_header_orders(spark, tmp_path):
     assert sorted((r.itemCode, r.price, r.storeId) for r in rows) == [
         ("007", 5.5, "1"), ("008", 6.5, None), ("009", 7.5, None), ("010", 8.5, "2")
     ]
+
+
+def test_promotions_at_any_depth_and_items_under_any_tag(spark):
+    wrapped = """<Root><ChainID>C</ChainID><Envelope><Promotions a='>'><Promotion><PromotionID>1</PromotionID>
+    <PromotionDescription><![CDATA[<b> & </Promotion>]]></PromotionDescription><Groups><Group><PromotionItems>
+    <Line><ItemCode>a</ItemCode></Line><!-- <Line/> --><PromotionItem><ItemCode>b</ItemCode></PromotionItem><Item><ItemCode>c</ItemCode></Item>
+    </PromotionItems></Group></Groups></Promotion><PROMOTION/></Promotions></Envelope>
+    <Promotion><PromotionID>2</PromotionID><PromotionItems><Row><ItemCode>d</ItemCode><MinQty>3</MinQty></Row></PromotionItems></Promotion></Root>"""
+    plain = "<Root><Promotion><PromotionID>3</PromotionID><PromotionItems><Line><ItemCode>e</ItemCode></Line></PromotionItems></Promotion></Root>"
+    rows = promotions.parse_promotions(docs(spark, wrapped, plain), keep=("path",)).orderBy("path", "pos").collect()
+    assert [(r.promotionId, r.providerId, [i.itemCode for i in r["items"]]) for r in rows] == [
+        ("1", "C", ["a", "b", "c"]), (None, "C", []), ("2", "C", ["d"]), ("3", None, ["e"]),
+    ]
+    assert rows[0].description == "<b> & </Promotion>" and rows[2]["items"][0].minQty == 3
