@@ -212,6 +212,6 @@ def merge_detail(summary: DataFrame, detail: DataFrame, key: str) -> DataFrame:
     return joined.select(*kept, *added)
 
 
-def first_pages(rows: DataFrame, last: int = 5, page: str = "page") -> DataFrame:
+def first_pages(rows: DataFrame, last: int, page: str = "page") -> DataFrame:
     """Only the first pages of a paged listing."""
     return rows.where(F.col(page) <= last)

@@ -245,3 +245,12 @@ def test_failed_write_keeps_the_marks(spark, tmp_path):
     assert dict(load_checkpoint(spark, marks).collect()) == {"a": "20240101000000"}
     assert cycle.run_cycle(listed, style, marks, out, "2").count() == 0
     assert spark.read.parquet(out).count() == 1
+
+
+def test_first_pages_has_no_default_limit(spark):
+    from feedline.operators import blocks
+
+    rows = spark.range(1, 9).withColumnRenamed("id", "page")
+    with pytest.raises(TypeError):
+        blocks.first_pages(rows)
+    assert blocks.first_pages(rows, 7).count() == 7
