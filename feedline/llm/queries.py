@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedline.llm import bpe, decontam, katz, langid, licenses, media, pii, simhash, token_counts, warc
+from feedline.llm import balltree, bpe, decontam, feast, katz, langid, licenses, media, pieces, pii, simhash, token_counts, warc
 from feedline.llm.common import load, stored, uri
 from feedline.session import new_scratch
 
@@ -172,3 +172,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         warc.page_of("refers_to", kind).alias("refers_to"),
     )
+
+
+@query("op11_chunk_table")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text and what they decode to."""
+    coded = pieces.decode(pieces.encode(load(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKING = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS t FROM documents WHERE text IS NOT NULL),
+filled AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM docs WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM filled),
+counts AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM filled)
+  GROUP BY r, doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+items AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+weights AS (
+  SELECT item_id, term, repeats * CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM items JOIN df USING (term), total),
+scores AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * n_docs) // all_terms))))) AS BIGINT) AS score
+  FROM weights JOIN counts USING (term), total GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op12_ball_tree", RANKING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    counted = balltree.term_counts(load(spark, sf_dir, "documents"))
+    return balltree.search(counted, load(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op13_feast_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's components, whitened, and how far it lies from the mean."""
+    found = feast.whiten(load(spark, sf_dir, "embeddings"), components=32)
+    return found.select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
