@@ -222,7 +222,7 @@ def vectors():
     spread = rng.random(40) * 3
     rows = [(n, [float(c) for c in np.float32(rng.standard_normal(40) * spread)]) for n in range(300)]
     rows += [(n, rows[0][1]) for n in range(300, 400)]  # a hot vector
-    return rows + [(5, rows[9][1]), (None, rows[3][1])]
+    return rows + [(5, rows[5][1]), (None, rows[3][1])]
 
 
 def test_whitening_equals_a_dense_decomposition(spark, vectors):
