@@ -286,3 +286,24 @@ def predict(docs: DataFrame, net: Network | None, *, text: str = "text", keep: t
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     rows = docs.select(*[F.col(f"`{c}`") for c in names], *body, letters)
     return rows.mapInArrow(labelled, f"{ddl}lang_pred string, score double")
+
+
+def labeller(net: Network):
+    """A function of a text column: the likeliest ``label`` and its mean probability ``score``; null is empty.
+
+    Only the text goes to Python, whatever other columns the rows have.
+    """
+
+    @F.arrow_udf("label string, score double")
+    def labelled(texts: pa.Array) -> pa.Array:
+        names, scores = [], []
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        for part in slices(iter([batch]), "text"):
+            mean = label(net, utf8(part, "text"))
+            best = mean.argmax(axis=1)
+            names += [net.labels[b] for b in best]
+            scores.append(np.minimum(mean[np.arange(len(best)), best], 1.0))
+        score = np.concatenate(scores) if scores else np.empty(0)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["label", "score"])
+
+    return labelled

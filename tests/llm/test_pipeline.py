@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedline.llm import langid, simhash
+from feedline.llm import langid, nearcopies
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +21,24 @@ def folder(spark, docs, texts, tmp_path_factory):
     return path
 
 
+def shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {()}
+
+
+def first_ids(rows):
+    """The smallest id of each group of texts that are 0.8 alike or more, by all pairs."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    group = list(range(len(sets)))
+    for a, (_, x) in enumerate(sets):
+        for b, (_, y) in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    groups = [[i for g, (i, _) in zip(group, sets, strict=True) if g == root and i is not None] for root in set(group)]
+    return [min(ids, default=None) for ids in groups]
+
+
 def test_stages_in_turn(spark, docs, folder, monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 5)
     before, names = docs, docs.columns
@@ -36,9 +54,7 @@ def test_stages_in_turn(spark, docs, folder, monkeypatch):
             gone = {r["doc_id"] for r in before.collect() if not re.search(r"[^\W\d_]", r["text"] or "")}
             assert set(new) == set(old) - gone
         if name == "near_duplicates":
-            groups = simhash.near_duplicates(before).select("root", "component_id").distinct().collect()
-            assert sum(new.values()) == len(groups)
-            assert set(new) == {r["component_id"] for r in groups}
+            assert new == Counter(first_ids([(r["doc_id"], r["text"]) for r in before.collect()]))
             assert new[9] == 0 and new[8] == 1 and new[20] == 0 and new[18] == 1
         if name == "decontaminated":
             assert new[18] == 0 and sum((old - new).values()) <= 2
@@ -75,17 +91,66 @@ def test_near_copies_at_four_fifths(spark, none, folder):
                 copy[at] = f"c{random.randrange(10**6)}"
             rows.append((n, " ".join(copy), "en", None, None, "x", "y", 1, 2))
             n += 1
-    sets = {i: {tuple(t[k : k + 5]) for k in range(196)} for i, t in ((r[0], r[1].split()) for r in rows)}
-    root = {i: i for i in sets}
-    for a in range(n):
-        for b in range(a - a % 7, a):
-            both = len(sets[a] & sets[b])
-            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
-                low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
     docs = spark.createDataFrame(rows, none.schema).repartition(3)
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
-    assert kept == set(root.values()) and 60 < len(kept) < n
+    assert kept == set(first_ids([(r[0], r[1]) for r in rows])) and 60 < len(kept) < n
+
+
+def template_rows(random, n, own):
+    shared = [f"t{i}" for i in range(400)]
+    return [(i, " ".join([f"o{i}x{random.randrange(10**9)}" for _ in range(own)] + shared)) for i in range(n)]
+
+
+def test_texts_on_one_template_make_few_pairs(spark, monkeypatch):
+    """Below 0.8 a shared template is not even looked at; the pairs grow with the texts, not with their square."""
+    sizes, verify = [], nearcopies.verified
+
+    def counted(pairs, *args, **names):
+        sizes[-1] += pairs.count()
+        return verify(pairs, *args, **names)
+
+    monkeypatch.setattr(nearcopies, "verified", counted)
+    for n in (200, 400):
+        sizes.append(0)
+        rows = template_rows(Random(n), n, 66)  # 0.75 alike
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert nearcopies.links(docs) is None
+    assert sizes[0] <= 200 and sizes[1] <= 400
+
+
+def test_a_group_of_near_copies_is_not_paired_all_with_all(spark, monkeypatch):
+    sizes, verify = [], nearcopies.verified
+
+    def counted(pairs, *args, **names):
+        sizes.append(pairs.count())
+        return verify(pairs, *args, **names)
+
+    monkeypatch.setattr(nearcopies, "verified", counted)
+    rows = template_rows(Random(5), 300, 9)  # 0.95 alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = nearcopies.near_copies(docs)
+    assert groups.select("root").distinct().count() == 1
+    assert sum(sizes) < 10 * 300
+
+
+def test_order_of_shingles_changes_no_result(spark, docs, monkeypatch):
+    rows = [(r["doc_id"], r["text_key"], r["component_id"]) for r in nearcopies.near_copies(docs).collect()]
+    monkeypatch.setattr(nearcopies, "COMMON", 3)
+    monkeypatch.setattr(nearcopies, "AT_LEAST", 1)
+    monkeypatch.setattr(nearcopies, "ROUNDS", 0)
+    again = [(r["doc_id"], r["text_key"], r["component_id"]) for r in nearcopies.near_copies(docs).collect()]
+    assert Counter(rows) == Counter(again)
+
+
+def test_columns_of_the_stages_own_names_stay(spark, docs, folder, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 5)
+    names = {c: F.lit(f"my {c}") for c in ("score", "lang_pred", "guess", "key", "__key", "__letters", "root")}
+    more = docs.withColumns(names)
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated, corpus_pipeline.private):
+        kept = stage(spark, more, folder)
+        assert kept.columns == more.columns
+        row = kept.filter("doc_id = 21").first()
+        assert all(row[c] == f"my {c}" for c in names)
 
 
 def test_near_copies_of_awkward_rows(spark, docs, folder):
