@@ -59,7 +59,7 @@ def term_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             tallies = [Counter(t.translate(_PLAIN).split()) for t in utf8(part, "text")]
             ends = pa.array(np.cumsum([0, *map(len, tallies)]), pa.int32())
             terms = pa.array([t for tally in tallies for t in tally], pa.binary()).cast(pa.string())
@@ -247,7 +247,7 @@ def search(
                     held.clear()
 
             kind = None
-            step = max(1, limit // 8)
+            step = max(1, limit // 16)
             for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
                 kind = part.schema.field("doc_id").type
                 more = vectors_of(part, block, n_docs, all_terms)

@@ -216,7 +216,7 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 @query("op12_ball_tree", RANKING)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
-    counted = balltree.term_counts(load(spark, sf_dir, "documents"))
+    counted = stored(balltree.term_counts(load(spark, sf_dir, "documents")), "terms")
     return balltree.search(counted, load(spark, sf_dir, "benchmark"), k=20)
 
 
