@@ -112,17 +112,13 @@ def merge(
 
 
 def sweep(spark: SparkSession, path: str, grace: float) -> list[str]:
-    """Delete data folders that no version younger than ``grace`` seconds, nor the newest, names; returns them."""
+    """Delete the data folders that no version of the last ``grace`` seconds, nor the one before, names; returns them.
+
+    Merges that take longer than ``grace`` must not run meanwhile: what they wrote is not named yet.
+    """
     base = path.rstrip("/")
-    known = versions.numbers(spark, path)
-    now = max((versions.modified(spark, f"{base}/versions/{n:010d}") for n in known), default=0.0)
-    named: set[str] = set()
-    for n in known:
-        file = f"{base}/versions/{n:010d}"
-        if n == max(known) or now - versions.modified(spark, file) < grace:
-            content = versions._content(spark, file)
-            named |= set((content or {}).get("folders", {}).values())
-    gone = [f"{base}/data/{name}" for name in versions.children(spark, f"{base}/data") if f"{base}/data/{name}" not in named]
+    named = {f for content in versions.since(spark, path, grace) for f in content["folders"].values()}
+    gone = [f for name in versions.children(spark, f"{base}/data") if (f := f"{base}/data/{name}") not in named]
     for folder in gone:
         versions.remove(spark, folder)
     return gone

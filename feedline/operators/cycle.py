@@ -19,7 +19,7 @@ from feedline.functions.dates import file_date
 from feedline.functions.urls import file_name
 from feedline.operators import filters
 from feedline.operators.selection import new_links, newest_mark
-from feedline.sources.marks import advance_checkpoint, load_checkpoint, save_checkpoint
+from feedline.sources.marks import commit_checkpoint, load_checkpoint
 from feedline.session import new_scratch
 
 STYLES: dict[str, dict] = {
@@ -76,5 +76,5 @@ def run_cycle(listing: DataFrame, style: dict, mark_path: str, out_path: str, ba
         return batch
     target = f"{out_path.rstrip('/')}/batch_id={batch_id}"
     batch.write.mode("overwrite").parquet(target)
-    save_checkpoint(advance_checkpoint(marks, newest_mark(batch)), mark_path)
+    commit_checkpoint(newest_mark(batch), mark_path)
     return spark.read.schema(fresh.schema).parquet(target)

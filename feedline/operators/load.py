@@ -14,6 +14,25 @@ PRICE_ORDER = ["updateTime", "file", "pos"]
 PRODUCT_COLUMNS = ("itemName", "itemDescription", "manufactureName", "manufactureCountry")
 
 
+def message_outcomes(messages: DataFrame, schema: str, keys: list[str], col: str = "value") -> DataFrame:
+    """Messages as typed rows with a ``reason``, from one parse.
+
+    A message is rejected when it is no JSON object or lacks part of its natural
+    key: its typed columns are null, ``reason`` says why, and the column ``message``
+    has the raw text.  Both are null, but for the typed columns, where it is loaded.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = messages.withColumn("_m", F.from_json(col, f"{schema}, _corrupt STRING", options))
+    reason = F.when(F.col("_m").isNull() | F.col("_m._corrupt").isNotNull(), "no JSON object")
+    for key in keys:
+        blank = F.coalesce(F.col(f"_m.{key}").cast("string"), F.lit("")) == ""
+        reason = reason.when(blank, f"no {key}")
+    told = parsed.withColumn("reason", reason)
+    read = F.when(F.col("reason").isNull(), F.col("_m"))
+    raw = F.when(F.col("reason").isNotNull(), F.col(col))
+    return told.select(read.alias("_m"), "reason", raw.alias("message")).select("_m.*", "reason", "message").drop("_corrupt")
+
+
 def decode_messages(
     messages: DataFrame, schema: str, keys: list[str], col: str = "value"
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedline.functions.text import first_text, iso_ts, number_of, to_bool, typed_ts
+from feedline.functions.unify import unified_prices
 
 # Output name, accepted tags, kind of value.
 PRICE_FIELDS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -98,7 +100,11 @@ def well_formed(doc: Column, parsed: Column) -> Column:
     before_comments = F.regexp_extract(doc, r"(?s)</([^\s>]+)\s*>(?:\s|<!--.*?-->)*+$", 1)
     empty_root = doc.rlike(r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*+<[^<>]*/>\s*$")
     closed = F.when(root == "", False).when(root == at_end, True).when(root == before_comments, True)
-    whole = F.when(root == "", F.lit(False)).otherwise(_one_root(doc, root))
+    # Nearly always the root's name is closed once, at the very end; only else follow its tags.
+    last = F.substring(doc, F.instr(doc, F.concat(F.lit("</"), root)), F.length(doc))
+    opened = ~doc.rlike(r"""(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<(?:[^<>"']|"[^"]*"|'[^']*')*+(?<=/)>""")
+    plain = (root == at_end) & opened & last.rlike(r"^</[^\s<>]+\s*>\s*$")
+    whole = F.when(root == "", F.lit(False)).when(plain, F.lit(True)).otherwise(_one_root(doc, root))
     return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root) & whole
 
 
@@ -107,62 +113,36 @@ def filled(*arrays: Column) -> Column:
     return sum((F.when(F.size(a) > 0, 1).otherwise(0) for a in arrays), F.lit(0))
 
 
-def child_names(doc: Column, container: str) -> Column:
-    """Distinct lower-case local names of the children of the root's first ``container`` child."""
-    plain = F.regexp_replace(doc, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
-    tag = F.lit(r"""</?[^\s<>/!?][^\s<>/]*(?:[^<>"']|"[^"]*"|'[^']*')*+>""")
-
-    def step(state: Column, found: Column) -> Column:
-        closes, empty = found.startswith("</"), found.endswith("/>")
-        name = F.lower(F.regexp_extract(found, r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
-        depth, phase = state["depth"], state["phase"]
-        # 0: before the container, 1: in it, 2: after it.
-        enters = (phase == 0) & (depth == 1) & ~closes & (name == container)
-        leaves = (phase == 1) & (depth == 2) & closes
-        listed = (phase == 1) & (depth == 2) & ~closes
-        return F.struct(
-            (depth + F.when(closes, -1).when(empty, 0).otherwise(1)).alias("depth"),
-            F.when(leaves | (enters & empty), 2).when(enters, 1).otherwise(phase).alias("phase"),
-            F.when(listed, F.array_union(state["names"], F.array(name))).otherwise(state["names"]).alias("names"),
-        )
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.array().cast("array<string>").alias("names"))
-    return F.aggregate(F.regexp_extract_all(plain, tag, F.lit(0)), start, step, lambda s: s["names"])
-
-
-def renamed(doc: Column, *changes: tuple[Column, str]) -> Column:
-    """The document with every tag of some names, in any case, called otherwise; comments and CDATA stay as they are."""
-    tags = []
-    for names, to in changes:
-        quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
-        tags.append((F.concat(F.lit(r"(?i)<(/?)(?:[^\s<>/:]+:)?(?:"), quoted, F.lit(r")(?=[\s/>])")), F.lit(f"<$1{to}")))
-
-    def swap(text: Column) -> Column:
-        return reduce(lambda t, change: F.regexp_replace(t, *change), tags, text)
-
-    piece = F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|.+?(?=<!\[CDATA\[|<!--|$)")
-    fixed = F.transform(
-        F.regexp_extract_all(doc, piece, F.lit(0)),
-        lambda t: F.when(t.startswith("<![CDATA[") | t.startswith("<!--"), t).otherwise(swap(t)),
-    )
-    return F.when(doc.contains("<!"), F.array_join(fixed, "")).otherwise(swap(doc))
-
-
-def parsed_documents(
-    raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
+def read_documents(
+    raw: DataFrame,
+    schema: str,
+    odd: Callable[[Column, Column], Column],
+    unify: Callable[[Column], Column],
+    doc: str = "doc",
+    keep: tuple[str, ...] = (),
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """``keep`` columns, the parsed struct ``x``, whether the document is ``ok``, and its text ``_doc``."""
+    """``keep`` columns, the parsed document ``x`` and ``reason``, null for a document that was read.
+
+    A document for which ``odd(parsed, text)`` holds is written anew by ``unify`` and
+    parsed once more, no other is.  A rejected document has no ``x``.
+    """
     # Generated from a one-element array: a filter on what was parsed then stays
     # above the parser instead of parsing once more below it.
     parsed = raw.select(
         *keep, F.col(doc).alias("_doc"), F.explode_outer(F.array(parse_xml(F.col(doc), schema, mode))).alias("x")
     )
-    return parsed.select(*keep, "x", well_formed(F.col("_doc"), F.col("x")).alias("ok"), "_doc")
-
-
-def quarantine(raw: DataFrame, schema: str, doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The documents that are rejected whole, none of whose records are emitted."""
-    return parsed_documents(raw, schema, doc, keep).where(~F.col("ok")).select(*keep)
+    judged = parsed.select(*keep, "x", "_doc", well_formed(F.col("_doc"), F.col("x")).alias("_ok"))
+    again = F.when(F.col("_ok") & F.coalesce(odd(F.col("x"), F.col("_doc")), F.lit(False)), F.col("_doc"))
+    reason = F.when(F.col("_doc").isNull(), "no text").when(~F.col("_ok"), "not well-formed")
+    written = judged.select(*keep, "x", reason.alias("_reason"), unify(again).alias("_again"))
+    reread = F.explode_outer(F.array(parse_xml(F.col("_again.doc"), schema, mode))).alias("_y")
+    both = written.select(*keep, "x", "_reason", F.col("_again.error").alias("_error"), F.col("_again.doc").isNotNull().alias("_odd"), reread)
+    failed = F.when(F.col("_error").isNotNull(), F.concat(F.lit("second reading: "), F.col("_error")))
+    failed = failed.when(F.col("_odd") & F.col(f"_y.{_CORRUPT}").isNotNull(), "second reading: not parsed")
+    final = both.select(*keep, "x", "_odd", "_y", F.coalesce("_reason", failed).alias("reason"))
+    read = F.when(F.col("reason").isNull(), F.when(F.col("_odd"), F.col("_y")).otherwise(F.col("x")))
+    return final.select(*keep, read.alias("x"), "reason")
 
 
 def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFrame:
@@ -175,50 +155,47 @@ def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFram
     return df.select(*rest, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
-def parse_prices(
+def price_documents(
     raw: DataFrame,
     doc: str = "doc",
     keep: tuple[str, ...] = (),
     item_tags: tuple[str, ...] = ITEM_TAGS,
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """One row per item: ``keep`` columns, ``pos``, then the 18 record columns.
+    """One row per document: ``keep``, ``superProvider``, ``storeId``, ``_items`` and ``reason``.
 
-    A malformed document gives no rows (see :func:`quarantine`); with
-    ``mode="FAILFAST"`` it fails the query.  The items are all children of the
-    first ``Items`` child of the root, in document order.
-
-    The parser groups children by tag.  Where that loses order or children
-    (several item tags, tags beyond ``item_tags``, two aliases of a field in one
-    item), and only there, the document is parsed again with one name for each.
+    ``reason`` says why a document is rejected whole, and is null for the others.
+    The items are all children of the first ``Items`` child of the root, whatever
+    their tag, in document order; where that takes a second parse (several item tags,
+    tags beyond ``item_tags``, two aliases of a field in one item), and only there,
+    the document is parsed again with one name for each.
     """
-    schema = price_schema(item_tags)
-    documents = parsed_documents(raw, schema, doc, keep, mode)
-    container = F.get(F.col("x.Items"), F.lit(0))
-    children = [container[tag] for tag in item_tags]
     aliases = [tags for tags, _ in PRICE_FIELDS.values() if len(tags) > 1]
-    # A field's tag hung directly on the container names fields elsewhere.
-    fixed = ["items", *(tag.lower() for tags, _ in PRICE_FIELDS.values() for tag in tags)]
-    others = F.filter(child_names(F.col("_doc"), "items"), lambda n: ~n.isin(*fixed))
 
     def doubled(item: Column) -> Column:
         found = [filled(*[item[tag] for tag in tags]) > 1 for tags in aliases]
         return reduce(lambda a, b: a | b, found)
 
-    mixed = (filled(container[ANY]) > 0) | (filled(*children) > 1)
-    mixed |= F.coalesce(F.exists(join_arrays(*children), doubled), F.lit(False))
-    names = F.concat(F.array(*[F.lit(t) for t in item_tags]), others)
-    changes = [(F.array(*[F.lit(t) for t in tags]), tags[0]) for tags in aliases]
-    unified = renamed(F.col("_doc"), (names, item_tags[0]), *changes)
-    again = F.get(parse_xml(unified, schema, mode)["Items"], F.lit(0))[item_tags[0]]
-    # Only the header texts travel with each item, never the whole document.
-    listed = documents.select(
+    def odd(x: Column, _: Column) -> Column:
+        container = F.get(x["Items"], F.lit(0))
+        children = [container[tag] for tag in item_tags]
+        mixed = (filled(container[ANY]) > 0) | (filled(*children) > 1)
+        return mixed | F.coalesce(F.exists(join_arrays(*children), doubled), F.lit(False))
+
+    unify = unified_prices(item_tags[0], aliases)
+    documents = read_documents(raw, price_schema(item_tags), odd, unify, doc, keep, mode)
+    container = F.get(F.col("x.Items"), F.lit(0))
+    return documents.select(
         *keep,
         first_text(F.col("x.ChainId")).alias("superProvider"),
         first_text(F.col("x.StoreId")).alias("storeId"),
-        F.when(F.col("ok") & mixed, again).when(F.col("ok"), join_arrays(*children)).alias("_items"),
+        F.when(F.col("x").isNotNull(), join_arrays(*[container[tag] for tag in item_tags])).alias("_items"),
+        "reason",
     )
-    items = exploded(listed, "_items", "item")
+
+
+def _price_rows(items: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The record columns of exploded items."""
     # Texts first, values second: the values look at their text several times.
     texts = items.select(
         *keep,
@@ -233,32 +210,54 @@ def parse_prices(
     return texts.select(*keep, "pos", "superProvider", "storeId", *price_columns())
 
 
-def with_typed_times(prices: DataFrame) -> DataFrame:
-    """Add TIMESTAMP twins of the two time texts."""
-    return prices.withColumns(
-        {
-            "updateTs": typed_ts(F.col("updateTime")),
-            "lastSaleTs": typed_ts(F.col("lastSaleDateTime")),
-        }
-    )
-
-
-def item_losses(
+def parse_prices(
     raw: DataFrame,
     doc: str = "doc",
     keep: tuple[str, ...] = (),
     item_tags: tuple[str, ...] = ITEM_TAGS,
+    mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """Audit: per document the children of its container and how many carry one of ``item_tags``.
+    """One row per item: ``keep`` columns, ``pos``, then the 18 record columns.
 
-    A difference means the feed uses other item tags: all are read, but such
-    documents are parsed twice.
+    A rejected document gives no rows (see :func:`price_outcomes` for both from one
+    parse, :func:`quarantine` for the rejected ones alone); with ``mode="FAILFAST"``
+    it fails the query.
     """
-    documents = parsed_documents(raw, price_schema(item_tags), doc, keep)
-    lower = "translate(name(), 'ITEMS', 'items')"
-    count = F.xpath_int("_doc", F.lit(f"count(/*/*[{lower}='items'][1]/*)"))
-    read = sum(
-        (F.coalesce(F.size(F.get(F.col("x.Items"), F.lit(0))[tag]), F.lit(0)) for tag in item_tags),
-        F.lit(0),
+    # Only the header texts travel with each item, never the whole document.
+    listed = price_documents(raw, doc, keep, item_tags, mode).drop("reason")
+    return _price_rows(exploded(listed, "_items", "item"), keep)
+
+
+def price_outcomes(
+    raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), item_tags: tuple[str, ...] = ITEM_TAGS
+) -> DataFrame:
+    """The rows of :func:`parse_prices` and one row for each rejected document, from one parse.
+
+    ``reason`` tells them apart: null for an item, else why the document was rejected
+    (its record columns are null).
+    """
+    listed = price_documents(raw, doc, keep, item_tags)
+    rows = listed.select(*keep, "superProvider", "storeId", "reason", F.posexplode_outer("_items").alias("pos", "item"))
+    return _price_rows(rows.where("pos IS NOT NULL OR reason IS NOT NULL"), (*keep, "reason"))
+
+
+def quarantine(raw: DataFrame, schema: str | None = None, doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and ``reason`` of the documents that are rejected whole, none of whose records are emitted.
+
+    Price documents, unless the schema is that of promotions.
+    """
+    if schema is not None and schema != price_schema():
+        from feedline.operators.promotions import promotion_documents
+
+        return promotion_documents(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
+    return price_documents(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
+
+
+def with_typed_times(prices: DataFrame) -> DataFrame:
+    """Add TIMESTAMP twins of the two time texts."""
+    return prices.withColumns(
+        {
+            "updateTs": typed_ts(F.col("updateTime")),
+            "lastSaleTs": typed_ts(F.col("lastSaleDateTime")),
+        }
     )
-    return documents.where("ok").select(*keep, count.alias("n_children"), read.alias("n_read"))

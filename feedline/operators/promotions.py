@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedline.functions.text import first_text, iso_ts_hour, number_of
-from feedline.operators.prices import ANY, exploded, filled, join_arrays, parse_xml, parsed_documents, renamed
+from feedline.functions.unify import unified_promotions
+from feedline.operators.prices import ANY, exploded, filled, join_arrays, read_documents
 
 # Fields a promotion or group states for its items.
 INHERITED = {
@@ -28,6 +31,14 @@ _PROMOTION_TAGS = (
 )
 
 
+# Tags of one field; the first in the document counts.
+_ALIASES = (
+    ("PromotionStartDateTime", "PromotionStartDate"),
+    ("PromotionEndDateTime", "PromotionEndDate"),
+    ("PromotionUpdateTime", "PromotionUpdateDate"),
+)
+
+
 def _leaves(*tags: str) -> str:
     return ", ".join(f"{tag}: ARRAY<STRING>" for tag in tags)
 
@@ -50,45 +61,6 @@ def promotion_schema() -> str:
     )
 
 
-_TAG = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+>"""
-
-
-def _plain(doc: Column) -> Column:
-    """The document without comments, CDATA as escaped text."""
-    piece = F.lit(r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|.+?(?=<!\[CDATA\[|<!--|$)")
-
-    def escaped(t: Column) -> Column:
-        text = F.regexp_extract(t, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
-        return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-
-    fixed = F.transform(
-        F.regexp_extract_all(doc, piece, F.lit(0)),
-        lambda t: F.when(t.startswith("<![CDATA["), escaped(t)).when(t.startswith("<!--"), "").otherwise(t),
-    )
-    return F.when(doc.contains("<!"), F.array_join(fixed, "")).otherwise(doc)
-
-
-def _item_names(plain: Column) -> Column:
-    """Distinct lower-case names of the children of every ``PromotionItems``."""
-
-    def step(state: Column, found: Column) -> Column:
-        closes, empty = found.startswith("</"), found.endswith("/>")
-        name = F.lower(F.regexp_extract(found, r"^</?(?:[^\s<>/:]+:)?([^\s<>/:]+)", 1))
-        depth, at = state["depth"], state["at"]
-        enters = (at < 0) & ~closes & ~empty & (name == "promotionitems")
-        leaves = closes & (depth - 1 == at)
-        listed = (at >= 0) & ~closes & (depth == at + 1)
-        return F.struct(
-            (depth + F.when(closes, -1).when(empty, 0).otherwise(1)).alias("depth"),
-            F.when(enters, depth).when(leaves, -1).otherwise(at).alias("at"),
-            F.when(listed, F.array_union(state["names"], F.array(name))).otherwise(state["names"]).alias("names"),
-        )
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("names"))
-    tags = F.regexp_extract_all(plain, F.lit(r"</?[^\s<>/!?][^\s<>/]*" + _TAG), F.lit(0))
-    return F.aggregate(tags, start, step, lambda s: s["names"])
-
-
 def _odd_items(promotion: Column) -> Column:
     """Whether a container of the promotion holds foreign or several item tags."""
     groups = join_arrays(F.flatten(F.filter(F.transform(promotion["Groups"], lambda g: g["Group"]), lambda g: g.isNotNull())))
@@ -99,18 +71,10 @@ def _odd_items(promotion: Column) -> Column:
     )
 
 
-def _read_again(doc: Column, mode: str) -> Column:
-    """The promotions of any depth in document order, their items under one tag."""
-    plain = _plain(doc)
-    whole = r"(?is)<promotion(?=[\s/>])(?:" + _TAG[:-1] + "(?<=/)>|" + _TAG + r".*?</promotion\s*>)"
-    found = F.array_join(F.regexp_extract_all(plain, F.lit(whole), F.lit(0)), "")
-    # A field's or a level's tag hung on a container names them elsewhere.
-    fixed = [*_PROMOTION_TAGS, *INHERITED.values(), "ItemCode", "ItemType", "Groups", "Group"]
-    fixed += ["Promotions", "Promotion", "PromotionItems"]
-    others = F.filter(_item_names(plain), lambda n: ~n.isin(*[tag.lower() for tag in fixed]))
-    names = F.concat(F.array(*[F.lit(t) for t in PROMOTION_ITEM_TAGS]), others)
-    flat = renamed(F.concat(F.lit("<Root>"), found, F.lit("</Root>")), (names, PROMOTION_ITEM_TAGS[0]))
-    return parse_xml(flat, promotion_schema(), mode)["Promotion"]
+def _doubled(promotion: Column) -> Column:
+    """Whether the promotion states a field under two aliases."""
+    found = [filled(*[promotion[tag] for tag in tags]) > 1 for tags in _ALIASES]
+    return reduce(lambda a, b: a | b, found)
 
 
 def inherit(*levels: Column) -> Column:
@@ -150,39 +114,68 @@ def _item_record(texts: Column) -> Column:
     )
 
 
+def promotion_documents(
+    raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
+) -> DataFrame:
+    """One row per document: ``keep``, ``providerId``, ``storeId``, ``_promotions`` and ``reason``.
+
+    ``reason`` says why a document is rejected whole, and is null for the others.
+    Promotions are read at any depth, also inside each other, in the order they
+    begin, and their items are all children of the first ``PromotionItems``.  The
+    schema knows promotions below the root and its ``Promotions`` and two item tags;
+    documents with others, with several that lose their order, or with two aliases of
+    a field, and only those, are parsed once more.
+    """
+
+    def near(x: Column) -> tuple[Column, Column]:
+        # An element without promotions has a null list; it must not empty the others.
+        held = F.transform(x["Promotions"], lambda p: p["Promotion"])
+        below = F.flatten(F.filter(held, lambda p: p.isNotNull()))
+        return below, join_arrays(below, x["Promotion"])
+
+    def odd(x: Column, text: Column) -> Column:
+        below, listed = near(x)
+        opened = F.regexp_count(text, F.lit(r"(?i)<(?:[^\s<>/:]+:)?promotion(?=[\s/>])"))
+        mixed = (opened != F.size(listed)) | (filled(below, x["Promotion"]) > 1)
+        return mixed | F.coalesce(F.exists(listed, lambda p: _odd_items(p) | _doubled(p)), F.lit(False))
+
+    unify = unified_promotions(PROMOTION_ITEM_TAGS[0], list(_ALIASES))
+    documents = read_documents(raw, promotion_schema(), odd, unify, doc, keep, mode)
+    return documents.select(
+        *keep,
+        first_text(F.col("x.ChainID")).alias("providerId"),
+        first_text(F.col("x.StoreID")).alias("storeId"),
+        F.when(F.col("x").isNotNull(), near(F.col("x"))[1]).alias("_promotions"),
+        "reason",
+    )
+
+
 def parse_promotions(
     raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
 ) -> DataFrame:
     """One row per promotion: ``keep`` columns, ``pos``, then the 8 record columns.
 
-    Promotions are read at any depth below the root, and the items are all
-    children of ``PromotionItems``.  The parser knows promotions below the root
-    and its ``Promotions`` and two item tags; documents with others, or with
-    several that lose their order, and only those, are parsed once more.  Not
-    read are promotions inside a promotion.
     A promotion with groups ignores items hung directly on it; one without is
-    its own single group.  ``items`` is never null.
+    its own single group.  ``items`` is never null.  A rejected document gives no
+    rows (see :func:`promotion_outcomes`).
     """
-    documents = parsed_documents(raw, promotion_schema(), doc, keep, mode)
-    # An element without promotions has a null list; it must not empty the others.
-    held = F.transform(F.col("x.Promotions"), lambda p: p["Promotion"])
-    below = F.flatten(F.filter(held, lambda p: p.isNotNull()))
-    near = join_arrays(below, F.col("x.Promotion"))
-    opened = F.regexp_count(F.col("_doc"), F.lit(r"(?i)<promotion(?=[\s/>])"))
-    mixed = (opened != F.size(near)) | (filled(below, F.col("x.Promotion")) > 1)
-    mixed |= F.coalesce(F.exists(near, _odd_items), F.lit(False))
-    again = join_arrays(_read_again(F.col("_doc"), mode))
     # Only the header texts travel with each promotion, never the whole document.
-    listed = documents.select(
-        *keep,
-        first_text(F.col("x.ChainID")).alias("providerId"),
-        first_text(F.col("x.StoreID")).alias("storeId"),
-        F.when(F.col("ok") & mixed, F.when(F.size(again) >= F.size(near), again).otherwise(near))
-        .when(F.col("ok"), near)
-        .alias("_promotions"),
-    )
-    promotions = exploded(listed, "_promotions", "p")
+    listed = promotion_documents(raw, doc, keep, mode).drop("reason")
+    return _promotion_rows(exploded(listed, "_promotions", "p"), keep)
+
+
+def promotion_outcomes(raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of :func:`parse_promotions` and one row for each rejected document, from one parse.
+
+    ``reason`` is null for a promotion, else why the document was rejected.
+    """
+    listed = promotion_documents(raw, doc, keep)
+    rows = listed.select(*keep, "providerId", "storeId", "reason", F.posexplode_outer("_promotions").alias("pos", "p"))
+    return _promotion_rows(rows.where("pos IS NOT NULL OR reason IS NOT NULL"), (*keep, "reason"))
+
 
+def _promotion_rows(promotions: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The record columns of exploded promotions."""
     p = F.col("p")
     own = F.struct(
         *[p[tag].alias(tag) for tag in INHERITED.values()], p["PromotionItems"].alias("PromotionItems")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedline.functions.enrich import tokens
+from feedline.operators.buckets import BUCKETS, merge, read_keys
 
 
 def _page(df: DataFrame, order: list[str], limit: int | None, offset: int) -> DataFrame:
@@ -105,6 +106,20 @@ def search_index(index: DataFrame, query: str, limit: int | None = None) -> Data
     return ordered if limit is None else ordered.limit(limit)
 
 
+def update_index(quotes: DataFrame, path: str, text: str = "text", buckets: int = BUCKETS) -> int:
+    """Add a batch of quotes to the stored index at ``path``, made where there is none; returns its version.
+
+    A quote's text never changes under its id, so a batch that comes again changes
+    nothing.  Only the buckets of the batch's tokens are rewritten.
+    """
+    return merge(inverted_index(quotes, text), path, ["token", "id"], [], buckets=buckets, within=["token"])
+
+
+def search_stored(spark: SparkSession, path: str, query: str, limit: int | None = None) -> DataFrame:
+    """:func:`search_index` over the stored index; reads the buckets of the query's tokens only."""
+    return search_index(read_keys(spark, path, _query_tokens(query)), query, limit)
+
+
 def sentiment_by_lexicon(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, sentiment_score`` by a lexicon table ``word, weight`` of any size.
 

@@ -204,6 +204,45 @@ def malformed(spark, sf_dir):
     )
 
 
+@query(
+    "prc_06_items_under_field_names",
+    """
+    SELECT p_partkey // 100 AS bucket, CAST(row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS INTEGER) AS pos,
+           CAST(p_partkey AS VARCHAR) AS "itemCode", p_name AS "itemName"
+    FROM part""",
+)
+def items_under_field_names(spark, sf_dir):
+    kind = F.col("p_partkey") % 4
+    tag = F.when(kind == 0, "Quantity").when(kind == 1, "itemname").when(kind == 2, "Item").otherwise("Row")
+    name = R.escape(F.col("p_name"))
+    # The name under either alias; where under both, the first in the document counts.
+    fields = F.concat(
+        R.element("ItemCode", R.text("p_partkey")), R.element("ItemNm", name), F.when(kind == 3, R.element("ItemName", "later")).otherwise("")
+    )
+    xml = F.concat(F.lit("<"), tag, F.lit(">"), fields, F.lit("</"), tag, F.lit(">"))
+    rows = R.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("bucket"), F.struct("p_partkey", xml.alias("xml")).alias("row"))
+    docs = rows.groupBy("bucket").agg(R.element("Root", R.element("Items", R.joined(F.collect_list("row")))).alias("doc"))
+    return prices.parse_prices(docs, keep=("bucket",)).select("bucket", "pos", "itemCode", "itemName")
+
+
+@query(
+    "prc_08_outcomes",
+    """
+    SELECT p_partkey, CASE p_partkey % 10 WHEN 3 THEN 'not well-formed' WHEN 5 THEN 'no text' END AS reason,
+           CASE WHEN p_partkey % 10 NOT IN (3, 5) THEN CAST(p_partkey AS VARCHAR) END AS "itemCode"
+    FROM part""",
+)
+def outcomes(spark, sf_dir):
+    kind = F.col("p_partkey") % 10
+    code = R.element("ItemCode", R.text("p_partkey"))
+    whole = R.element("Root", R.element("Items", R.element("Item", code)))
+    # These need a second reading.
+    other = R.element("Root", R.element("Items", R.element("Line", code)))
+    doc = F.when(kind == 3, F.concat(whole, F.lit("<more>"))).when(kind == 7, other).when(kind != 5, whole)
+    docs = R.table(spark, sf_dir, "part").select("p_partkey", doc.alias("doc"))
+    return prices.price_outcomes(docs, keep=("p_partkey",)).select("p_partkey", "reason", "itemCode")
+
+
 def promotion_feed(spark, sf_dir):
     """Promotion documents as stored files, every other one gzipped."""
     files = R.as_files(R.promotion_documents(spark, sf_dir), F.col("bucket") % 2 == 0)
@@ -236,6 +275,28 @@ def promotion_rows(spark, sf_dir):
     return found.select("file", "promotionId", "providerId", "storeId", "description")
 
 
+@query(
+    "prm_01_mixed_promotions",
+    f"""
+    WITH {E.LINES}, items AS (
+      SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS codes FROM lines GROUP BY l_orderkey),
+    found AS (
+      SELECT o_orderkey, 0 AS inner_one, CAST(o_orderkey AS VARCHAR) AS id, coalesce(codes, '') AS codes, o_orderdate
+      FROM orders LEFT JOIN items ON o_orderkey = l_orderkey
+      UNION ALL SELECT o_orderkey, 1, o_orderkey || '-inner', 'inner', o_orderdate FROM orders WHERE o_orderkey % 4 = 2)
+    SELECT o_orderkey // {_N} AS bucket,
+           CAST(row_number() OVER (PARTITION BY o_orderkey // {_N} ORDER BY o_orderkey, inner_one) - 1 AS INTEGER) AS pos,
+           id AS "promotionId", codes,
+           CASE WHEN inner_one = 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00') END AS "startTime"
+    FROM found""",
+)
+def mixed_promotions(spark, sf_dir):
+    docs = R.mixed_promotion_documents(spark, sf_dir)
+    found = promotions.parse_promotions(docs, keep=("bucket",))
+    codes = F.array_join(F.transform("items", lambda i: i["itemCode"]), ",")
+    return found.select("bucket", "pos", "promotionId", codes.alias("codes"), "startTime")
+
+
 @query(
     "prm_02_group_shapes",
     f"""

@@ -283,6 +283,40 @@ def promotion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_promotion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bucket, doc``: promotions at the root, in wrappers and inside each other, items under three tags."""
+    tag = F.element_at(F.array(*[F.lit(t) for t in ("Line", "PromotionItem", "Item")]), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    item = F.concat(F.lit("<"), tag, F.lit(">"), element("ItemCode", text("l_partkey")), F.lit("</"), tag, F.lit(">"))
+    rows = order_lines(spark, sf_dir).select("l_orderkey", F.struct("l_linenumber", item.alias("xml")).alias("row"))
+    items = rows.groupBy("l_orderkey").agg(element("PromotionItems", joined(F.collect_list("row"))).alias("items"))
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    inner = element(
+        "promotion",
+        F.concat(
+            element("PromotionID", F.concat(text(key), F.lit("-inner"))),
+            element("PromotionItems", element("Row", element("ItemCode", "inner"))),
+        ),
+    )
+    promotion = element(
+        "Promotion",
+        F.concat(
+            # The later alias comes first in the document and counts.
+            element("PromotionStartDate", day),
+            element("PromotionStartDateTime", F.lit("1990-01-01 10:00:00")),
+            F.when(key % 4 == 2, inner).otherwise(""),
+            element("PromotionID", text(key)),
+            F.coalesce("items", F.lit("")),
+        ),
+    )
+    placed = F.when(key % 4 == 1, element("Envelope", element("Deals", promotion)))
+    placed = placed.when(key % 4 == 3, element("Promotions", promotion)).otherwise(promotion)
+    rows = orders.select(
+        F.floor(key / PROMOTIONS_PER_DOCUMENT).alias("bucket"), F.struct("o_orderkey", placed.alias("xml")).alias("row")
+    )
+    return rows.groupBy("bucket").agg(element("root", joined(F.collect_list("row"))).alias("doc"))
+
+
 # --- stored files ----------------------------------------------------------
 
 
@@ -311,9 +345,11 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_part_files(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """The part documents as files, one each, every other one gzipped."""
+def write_part_files(spark: SparkSession, sf_dir: str, path: str, doc: Column | None = None) -> None:
+    """The part documents, or another text of them, as files, one each, every other one gzipped."""
     docs = part_documents(spark, sf_dir).repartition("file")
+    if doc is not None:
+        docs = docs.withColumn("doc", doc)
     for codec, rest in (("gzip", 0), ("none", 1)):
         (
             docs.where(F.col("file") % 2 == rest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from feedline.plans import rendering as R
@@ -222,6 +224,28 @@ def advance_checkpoint(spark, sf_dir):
     return marks.advance_checkpoint(marks.clean_marks(_stored_marks(spark, sf_dir)), new)
 
 
+@query(
+    "src_10_commit_checkpoint",
+    f"""
+    WITH m AS (
+      SELECT s_name AS source, {_STORED} AS old, s_suppkey % 4 AS kind, s_suppkey % 3 AS k3 FROM supplier)
+    SELECT source, CASE k3 WHEN 0 THEN '20250101000000' WHEN 1 THEN '20250202000000' ELSE old END AS mark
+    FROM m WHERE kind <> 0 OR k3 < 2""",
+)
+def commit_checkpoint(spark, sf_dir):
+    path = new_scratch(spark, "marks")
+    marks.save_checkpoint(_stored_marks(spark, sf_dir), path)
+    key = F.col("s_suppkey") % 3
+    cycles = [
+        R.table(spark, sf_dir, "supplier").where(key == n).select(F.col("s_name").alias("source"), F.lit(mark).alias("mark"))
+        for n, mark in ((0, "20250101000000"), (1, "20250202000000"))
+    ]
+    # Both cycles start from the same version; the later one goes on from the earlier one's.
+    with ThreadPoolExecutor(2) as side_by_side:
+        list(side_by_side.map(lambda new: marks.commit_checkpoint(new, path), cycles))
+    return marks.load_checkpoint(spark, path)
+
+
 @query(
     "src_11_raw_layout",
     """

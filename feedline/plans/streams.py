@@ -35,6 +35,28 @@ def feed_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(
+    "str_01_feed_rejects",
+    f"""
+    SELECT CAST(f AS VARCHAR) AS file, CASE WHEN f % 5 = 2 THEN 'not well-formed' END AS reason,
+           CAST(CASE WHEN f % 5 = 2 THEN 0 ELSE n END AS BIGINT) AS n_items
+    FROM (SELECT p_partkey // {R.PARTS_PER_FILE} AS f, count(*) AS n FROM part GROUP BY ALL)""",
+)
+def feed_rejects(spark, sf_dir):
+    inbox, log, state = _folders(spark, "inbox", "log", "state")
+    cut = F.when(F.col("file") % 5 == 2, F.expr("left(doc, length(doc) - 9)")).otherwise(F.col("doc"))
+    R.write_part_files(spark, sf_dir, inbox, cut)
+    # The second run finds every file picked up already.
+    for _ in range(2):
+        outcomes = feeds.price_stream_outcomes(spark, inbox)
+        writer = feeds.route_stream(outcomes, log, state, ["storeId", "itemCode"], ["updateTime", "pos"])
+        feeds.once(writer).awaitTermination()
+    rows = feeds.routed_rows(spark, log, ["storeId", "itemCode"], ["updateTime", "pos"]).withColumn("reason", F.lit(None).cast("string"))
+    both = rows.select("path", "reason", "itemCode").unionByName(feeds.rejects(spark, log).select("path", "reason", "itemCode"))
+    file = F.regexp_extract("path", r"file=([0-9]+)/", 1).alias("file")
+    return both.groupBy(file, "reason").agg(F.count("itemCode").alias("n_items"))
+
+
 def _deliver(spark, sf_dir, inbox):
     """All messages, twice over."""
     messages = R.event_messages(spark, sf_dir)
@@ -59,6 +81,42 @@ def idempotent_loader(spark, sf_dir):
     return feeds.current_view(spark, log, KEYS, ORDER).drop("ts")
 
 
+@query(
+    "str_02_compacted_log",
+    "SELECT event_id, user_id, event_type, value AS amount FROM events WHERE event_id % 50 <> 49",
+)
+def compacted_log(spark, sf_dir):
+    inbox, log, runs, state = _folders(spark, "inbox", "log", "runs", "state")
+    messages = R.event_messages(spark, sf_dir)
+    for part in (0, 1, 2, 1):
+        messages.where(F.col("event_id") % 3 == part).select("value").write.mode("append").text(inbox)
+        feeds.once(feeds.load_stream(_decoded(spark, inbox), log, state, KEYS, ORDER)).awaitTermination()
+        # The last batch is not compacted: a reader takes it from the log.
+        if part != 2:
+            feeds.compact(spark, log, runs, KEYS, ORDER, fanout=2)
+            feeds.retire(spark, log, runs, 0)
+    return feeds.current_view(spark, log, KEYS, ORDER, runs).drop("ts")
+
+
+@query(
+    "str_02_routed_messages",
+    """
+    SELECT CAST(event_id AS VARCHAR) AS event, NULL AS reason, user_id FROM events WHERE event_id % 50 <> 49
+    UNION ALL
+    SELECT substr('{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type"', 1, 20), 'no JSON object', NULL
+    FROM events WHERE event_id % 50 = 49""",
+)
+def routed_messages(spark, sf_dir):
+    inbox, log, state = _folders(spark, "inbox", "log", "state")
+    _deliver(spark, sf_dir, inbox)
+    outcomes = load.message_outcomes(feeds.stream_messages(spark, inbox), SCHEMA, KEYS)
+    feeds.once(feeds.route_stream(outcomes, log, state, KEYS, ORDER)).awaitTermination()
+    rows = feeds.routed_rows(spark, log, KEYS, ORDER)
+    rows = rows.select(R.text("event_id").alias("event"), F.lit(None).cast("string").alias("reason"), "user_id")
+    bad = feeds.rejects(spark, log).select(F.col("message").alias("event"), "reason", F.lit(None).cast("bigint").alias("user_id"))
+    return rows.unionByName(bad)
+
+
 @query(
     "str_03_drop_redelivered",
     "SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS quote_hash FROM events WHERE event_id % 50 <> 49",

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from feedline.functions import enrich
 from feedline.functions.text import iso_ts
-from feedline.operators import load, prices, read
+from feedline.operators import buckets, load, prices, read
 from feedline.operators.dedup import dedup_last
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
 from feedline.plans.feeds import price_feed
 from feedline.plans.registry import query
+from feedline.session import new_scratch
 
 
 def price_rows(spark, sf_dir):
@@ -83,6 +84,17 @@ def upsert_prices(spark, sf_dir):
     return current_prices(spark, sf_dir)
 
 
+@query("lod_02_bucketed_upsert", f"WITH {PRICES} SELECT * FROM prices")
+def bucketed_upsert(spark, sf_dir):
+    path = new_scratch(spark, "prices")
+    rows = price_rows(spark, sf_dir)
+    # The last batch comes a second time.
+    for part in (0, 1, 2, 2):
+        batch = rows.where(F.col("file").cast("bigint") % 3 == part)
+        buckets.merge(batch, path, load.PRICE_KEY, load.PRICE_ORDER, buckets=8)
+    return buckets.read_table(spark, path)
+
+
 @query("lod_03_stores", """SELECT DISTINCT 'c' || (l_suppkey % 5) AS "superProvider", CAST(l_suppkey AS VARCHAR) AS "storeId" FROM lineitem""")
 def stores(spark, sf_dir):
     return load.stores(price_rows(spark, sf_dir))
@@ -270,6 +282,15 @@ def search_index(spark, sf_dir):
     return read.search_index(read.inverted_index(docs), _SEARCH)
 
 
+@query("qry_08_stored_index", _FOUND)
+def stored_index(spark, sf_dir):
+    path = new_scratch(spark, "index")
+    docs = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    for part in (0, 1, 1):
+        read.update_index(docs.where(F.col("id") % 2 == part), path, buckets=16)
+    return read.search_stored(spark, path, _SEARCH)
+
+
 @query(
     "qry_09_list_stores",
     """SELECT DISTINCT 'c' || (l_suppkey % 5) AS "superProvider", CAST(l_suppkey AS VARCHAR) AS "storeId"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedline.functions.text import strip
+from feedline.sources import versions
 
 MARK_SCHEMA = "source STRING, mark STRING"
 
@@ -16,19 +16,11 @@ def clean_marks(marks: DataFrame) -> DataFrame:
     return marks.select("source", F.nullif(strip(F.col("mark")), F.lit("")).alias("mark"))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """All complete versions, or nothing where no store exists yet."""
-    try:
-        return spark.read.schema(f"{MARK_SCHEMA}, version INT").parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _newest_version(stored: DataFrame | None) -> int:
-    """Number of the newest version, 0 where there is none."""
-    if stored is None:
-        return 0
-    return stored.agg(F.max("version").alias("v")).first()["v"] or 0
+def _stored(spark: SparkSession, content: dict | None) -> DataFrame:
+    """The marks of a version; none where there is none."""
+    if content is None:
+        return spark.createDataFrame([], MARK_SCHEMA)
+    return spark.read.schema(MARK_SCHEMA).parquet(content["folder"])
 
 
 def load_checkpoint(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
@@ -37,13 +29,7 @@ def load_checkpoint(spark: SparkSession, path: str, sources: DataFrame | None =
     With ``sources`` (a ``source`` column) every source gets a row, with a
     null mark where none is stored.
     """
-    versions = _stored(spark, path)
-    newest = _newest_version(versions)
-    if newest:
-        stored = versions.where(F.col("version") == newest)
-    else:
-        stored = spark.createDataFrame([], MARK_SCHEMA)
-    marks = clean_marks(stored)
+    marks = clean_marks(_stored(spark, versions.newest(spark, path)[1]))
     return marks if sources is None else marks_for(sources, marks)
 
 
@@ -60,12 +46,30 @@ def advance_checkpoint(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _written(marks: DataFrame, path: str) -> dict:
+    folder = versions.new_folder(path, "marks")
+    marks.select("source", "mark").write.parquet(folder)
+    return {"folder": folder}
+
+
 def save_checkpoint(marks: DataFrame, path: str) -> int:
-    """Write the marks as the next version and return its number.
+    """Write the marks as the next version, whatever the one before holds, and return its number.
 
     The version read before stays untouched, so a failed write loses nothing.
     """
-    version = _newest_version(_stored(marks.sparkSession, path)) + 1
-    target = f"{path.rstrip('/')}/version={version}"
-    marks.select("source", "mark").write.mode("overwrite").parquet(target)
-    return version
+    content = _written(marks, path)
+    return versions.update(marks.sparkSession, path, lambda _: content)
+
+
+def commit_checkpoint(new: DataFrame, path: str) -> int:
+    """:func:`advance_checkpoint` over the newest stored version, as the next one; returns its number.
+
+    Where another cycle stored its marks in between, the step is done again over
+    those, so cycles that ran side by side keep all their marks.
+    """
+    spark = new.sparkSession
+
+    def step(content: dict | None) -> dict:
+        return _written(advance_checkpoint(clean_marks(_stored(spark, content)), new), path)
+
+    return versions.update(spark, path, step)

@@ -131,3 +131,24 @@ def update(spark: SparkSession, path: str, step: Callable[[dict | None], dict |
         if commit(spark, path, number + 1, new):
             return number + 1
     raise RuntimeError(f"no version of {path} could be committed in {ATTEMPTS} attempts")
+
+
+def covered_since(spark: SparkSession, path: str, grace: float) -> dict | None:
+    """Content of the newest version that is at least ``grace`` seconds old."""
+    for number in sorted(numbers(spark, path), reverse=True):
+        content = _content(spark, _file(path, number))
+        if content is not None and time.time() - modified(spark, _file(path, number)) >= grace:
+            return content
+    return None
+
+
+def since(spark: SparkSession, path: str, grace: float) -> list[dict]:
+    """Contents a reader may still use: the versions of the last ``grace`` seconds and the one before them."""
+    found = []
+    for number in sorted(numbers(spark, path), reverse=True):
+        content = _content(spark, _file(path, number))
+        if content is not None:
+            found.append(content)
+            if time.time() - modified(spark, _file(path, number)) >= grace:
+                break
+    return found

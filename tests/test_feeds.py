@@ -57,9 +57,53 @@ def test_items_under_any_tag_in_document_order(spark):
     assert {r.superProvider for r in rows if r.path == "0"} == {"c"}
 
 
-def test_item_losses(spark):
-    odd = "<Root><Items><Item/><Article/><Product/></Items></Root>"
-    assert tuple(prices.item_losses(docs(spark, odd), keep=("path",)).first()) == ("0", 3, 2)
+def test_items_named_like_a_field(spark):
+    odd = "<Root><Items><Quantity><ItemCode>3</ItemCode></Quantity><Item><ItemCode>4</ItemCode><Quantity>2</Quantity></Item><ItemName/></Items></Root>"
+    rows = prices.parse_prices(docs(spark, odd)).orderBy("pos").collect()
+    assert [(r.itemCode, r.quantity) for r in rows] == [("3", None), ("4", 2.0), (None, None)]
+
+
+def test_rows_and_rejects_from_one_parse(spark, plan):
+    other = "<Root><Items><Line><ItemCode>3</ItemCode></Line></Items></Root>"
+    df = docs(spark, "<Root><Items><Item><ItemCode>1</ItemCode></Item></Items></Root>", "<Root><Items>", None, "<Root/>", other)
+    found = prices.price_outcomes(df, keep=("path",))
+    rows = {r.path: (r.itemCode, (r.reason or "").split(":")[0]) for r in found.collect()}
+    assert rows == {"0": ("1", ""), "1": (None, "not well-formed"), "2": (None, "no text"), "4": ("3", "")}
+    optimized = plan(found).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("from_xml(") == 2
+    assert {r.path for r in prices.quarantine(df, keep=("path",)).collect()} == {"1", "2"}
+
+
+def test_what_cannot_be_written_anew_has_a_reason(spark):
+    from feedline.functions.unify import unified_promotions
+
+    found = docs(spark, "<a><b></a>", None, "<a/>").select("path", unified_promotions("Item", [])(F.col("doc")).alias("u"))
+    rows = {r.path: (r.u.doc, bool(r.u.error)) for r in found.collect()}
+    assert rows == {"0": (None, True), "1": (None, False), "2": ("<Root></Root>", False)}
+
+
+def test_promotions_inside_promotions(spark):
+    nested = """<Root><StoreID>9</StoreID><Promotion><PromotionID>1</PromotionID><PromotionStartDate>2024-01-02</PromotionStartDate>
+    <PromotionStartDateTime>2020-01-01 01:00:00</PromotionStartDateTime>
+    <Promotion><PromotionID>2</PromotionID><PromotionItems><Item><ItemCode>b</ItemCode></Item></PromotionItems></Promotion>
+    <PromotionItems><Line><ItemCode>a</ItemCode></Line><Promotion><ItemCode>c</ItemCode><PromotionID>3</PromotionID></Promotion></PromotionItems>
+    <PromotionItems><Item><ItemCode>second list</ItemCode></Item></PromotionItems></Promotion>
+    <Deep><Deeper><Promotion><PromotionID>4</PromotionID></Promotion></Deeper></Deep></Root>"""
+    rows = promotions.parse_promotions(docs(spark, nested)).orderBy("pos").collect()
+    assert [(r.promotionId, r.storeId, [i.itemCode for i in r["items"]]) for r in rows] == [
+        ("1", "9", ["a", "c"]), ("2", "9", ["b"]), ("3", "9", []), ("4", "9", []),
+    ]
+    # The alias that comes first in the document counts.
+    assert rows[0].startTime == "2024-01-02T00:00:00"
+    assert promotions.promotion_outcomes(docs(spark, nested, "<a>"), keep=("path",)).where("reason IS NOT NULL").count() == 1
+
+
+def test_a_promotion_as_root_and_long_documents(spark):
+    root = "<Promotion><ChainID>7</ChainID><PromotionID>1</PromotionID></Promotion>"
+    many = "<Root>" + "<W><Promotion><PromotionID>x</PromotionID></Promotion></W>" * 5000 + "</Root>"
+    rows = promotions.parse_promotions(docs(spark, root, many), keep=("path",))
+    assert [(r.promotionId, r.providerId) for r in rows.where("path = '0'").collect()] == [("1", "7")]
+    assert rows.where("path = '1'").count() == 5000
 
 
 GROUPED = """<Root><ChainID>C</ChainID><StoreID>S</StoreID><Promotions><Promotion><PromotionID>1</PromotionID>
@@ -90,11 +134,11 @@ def test_promotions(spark):
 
 
 def test_one_parse_per_document(spark, plan):
-    # Prices hold a second one in a branch that only documents of mixed tags take.
+    # The second one only has what a document of mixed tags was written anew to.
     rows = prices.parse_prices(docs(spark, DRIFTED))
     items = promotions.promotion_items(promotions.parse_promotions(docs(spark, FLAT)))
     wide = rows.where("storeId = '1' and price > 2")
-    for df, parses in ((rows, 2), (wide, 2), (items, 1), (items.where("storeId = '1'"), 1)):
+    for df, parses in ((rows, 2), (wide, 2), (items, 2), (items.where("storeId = '1'"), 2)):
         optimized = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
         assert optimized.count("from_xml(") == parses
         # The parsed document does not travel with the exploded rows.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedline.operators import buckets
 from feedline.operators.dedup import dedup_last
-from feedline.sources import versions
+from feedline.sources import marks, versions
 
 SCHEMA = "k STRING, at INT, v STRING"
 KEYS, ORDER = ["k"], ["at"]
@@ -124,6 +124,7 @@ def test_sweep_keeps_what_versions_name(spark, tmp_path):
         buckets.merge(batch(spark, [("a", n, "x"), ("b", n, "y")]), path, KEYS, ORDER, buckets=1)
     assert buckets.sweep(spark, path, grace=3600) == []
     assert len(buckets.sweep(spark, path, grace=0)) == 2
+    assert buckets.sweep(spark, path, grace=0) == []
     assert len(state(spark, path)) == 2
 
 
@@ -136,3 +137,21 @@ def test_keys_are_read_from_their_buckets(spark, plan, tmp_path):
     assert len({Path(f).parent.name for f in found.inputFiles()}) <= 3
     whole = dedup_last(rows, ["k", "v"], ORDER)
     assert buckets.read_table(spark, path).count() == whole.count()
+
+
+def test_cycles_side_by_side_keep_their_marks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "marks")
+    marks.save_checkpoint(spark.createDataFrame([("a", "1"), ("b", "1")], marks.MARK_SCHEMA), path)
+    real, late = versions.commit, []
+
+    def overtaken(spark, path, number, content):
+        # Another cycle that read the same version commits first.
+        if not late:
+            late.append(number)
+            marks.commit_checkpoint(spark.createDataFrame([("b", "5"), ("c", "2")], marks.MARK_SCHEMA), path)
+        return real(spark, path, number, content)
+
+    monkeypatch.setattr(versions, "commit", overtaken)
+    assert marks.commit_checkpoint(spark.createDataFrame([("a", "9"), ("b", None)], marks.MARK_SCHEMA), path) == 3
+    assert dict(marks.load_checkpoint(spark, path).collect()) == {"a": "9", "b": "5", "c": "2"}
+    assert late == [2]
