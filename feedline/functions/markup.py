@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
-from itertools import chain
+import json
+from html.entities import html5
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,56 +22,85 @@ VOID_TAGS = (
 TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 TOKEN = rf"""{TAG}|[^<]++|<"""
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<![A-Za-z][^>]*>|<\?[^>]*>"
-_ATTRIBUTE = r"""[\s/]([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-_REFERENCE = r"&#?[0-9A-Za-z]+;|[^&]+|&"
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<![A-Za-z][^>]*>|<\?[^>]*>"
+ATTRIBUTE = r"""[\s/]([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
 def visible(html: Column) -> Column:
     """The markup without comments, declarations, scripts and styles."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
+    return F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
 
 
 # Windows-1252 for 128-159; what it leaves undefined stays as it is.
 _C1 = [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]
 
-
-def unescape(col: Column) -> Column:
-    """Decode character references, named or numeric."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(
-        [(f"&{n};", chr(c)) for n, c in {**name2codepoint, "apos": 39}.items()]
-    )])
+# Names that also count without a semicolon, longest first.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_PARTS = 64
+
+
+def _named(name: Column) -> Column:
+    """The text of a reference's name (with its semicolon, if any), else null."""
+    # A map is searched from its start, so the names are dealt to many small ones.
+    parts: list[dict[str, str]] = [{} for _ in range(_PARTS)]
+    for n, text in html5.items():
+        parts[crc32(n.encode()) % _PARTS][n] = text
+    table = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    return F.try_element_at(F.element_at(table, (F.crc32(name) % _PARTS + 1).cast("int")), name)
+
+
+def _numbered(piece: Column) -> Column:
+    """The character of a numeric reference, by HTML5's rules for numbers that are none."""
+    decimal = F.regexp_extract(piece, "^&#0*([0-9]*);?$", 1)
+    hexa = F.regexp_extract(piece, "^&#[xX]0*([0-9A-Fa-f]*);?$", 1)
+    stated = F.when(piece.rlike("^&#[xX]"), F.conv(F.when(F.length(hexa) < 7, hexa), 16, 10))
+    stated = stated.otherwise(F.when(F.length(decimal) < 8, decimal))
+    code = F.coalesce(stated.try_cast("bigint"), F.when((decimal == "") & (hexa == ""), 0).otherwise(0x110000))
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    # Control characters and what Unicode keeps free stand for nothing.
+    dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+    dropped |= code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE
+    old = F.try_element_at(F.array(*[F.lit(c) for c in _C1]), (code - 127).cast("int"))
+    digits = F.hex(F.when(none, F.lit(0xFFFD)).when(code.between(128, 159), old).otherwise(code).cast("bigint"))
+    char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    return F.when(none, F.lit("\ufffd")).when(dropped, F.lit("")).otherwise(char)
+
+
+def unescape(col: Column, attribute: bool = False) -> Column:
+    """Decode character references, named or numeric, as HTML5 does.
+
+    In text the longest name that fits counts, and some names need no semicolon.  In
+    an attribute one without a semicolon counts only if neither a letter, a digit nor
+    an equals sign follows, so that the parameters of a link stay what they are.
+    """
+    named = "&[A-Za-z][0-9A-Za-z]*+" + ("(?:;|(?!=))" if attribute else ";?")
+    reference = f"&#[xX][0-9A-Fa-f]++;?|&#[0-9]++;?|{named}|[^&]++|&"
 
     def decode(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
-        hexa = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
-        stated = F.when(decimal != "", decimal.try_cast("bigint")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("bigint"))
-        # As in HTML5: 128-159 are read as windows-1252, what is no character becomes U+FFFD.
-        none = (stated == 0) | stated.between(0xD800, 0xDFFF) | (stated > 0x10FFFF)
-        code = F.coalesce(F.try_element_at(F.array(*[F.lit(c) for c in _C1]), (stated - 127).cast("int")), stated)
-        digits = F.hex(F.when(none, F.lit(0xFFFD)).when(stated.between(128, 159), code).otherwise(stated))
-        return F.coalesce(
-            F.when(
-                piece.startswith("&#"),
-                F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"),
-            ).when(piece.startswith("&"), F.try_element_at(names, piece)),
-            piece,
-        )
-
-    pieces = F.regexp_extract_all(col, F.lit(_REFERENCE), F.lit(0))
+        name = F.substring(piece, F.lit(2), F.length(piece))
+        found = _named(name)
+        if not attribute:
+            start = F.regexp_extract(piece, "^&(" + "|".join(_OPEN_NAMES) + ")", 1)
+            rest = F.substring(piece, F.length(start) + 2, F.length(piece))
+            found = F.coalesce(found, F.when(start != "", F.concat(_named(start), rest)))
+        return F.when(piece.rlike("^&#[0-9xX]"), _numbered(piece)).when(
+            piece.rlike("^&[A-Za-z]"), F.coalesce(found, piece)
+        ).otherwise(piece)
+
+    pieces = F.regexp_extract_all(col, F.lit(reference), F.lit(0))
     return F.when(col.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(col)
 
 
 def attribute_values(tag: Column, name: str) -> Column:
     """All values of one attribute in a tag, decoded, in order."""
-    pattern = F.lit(_ATTRIBUTE)
+    pattern = F.lit(ATTRIBUTE)
     pairs = F.arrays_zip(
         F.regexp_extract_all(tag, pattern, F.lit(1)).alias("name"),
         F.regexp_extract_all(tag, pattern, F.lit(2)).alias("value"),
     )
     named = F.filter(pairs, lambda p: F.lower(p["name"]) == name)
     return F.transform(
-        named, lambda p: unescape(F.regexp_replace(p["value"], r"""(?s)^(["'])(.*)\1$""", "$2"))
+        named, lambda p: unescape(F.regexp_replace(p["value"], r"""(?s)^(["'])(.*)\1$""", "$2"), attribute=True)
     )
 
 

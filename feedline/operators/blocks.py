@@ -1,9 +1,8 @@
 """Repeated HTML blocks into rows.
 
-The markup is cut into tokens by one regular expression; everything after
-that is windows and aggregates over token rows.  All windows share the page
-key, so a page's markup is shuffled once and its tokens never again.  Cost is
-linear in the tokens, times the nesting depth of blocks for nested blocks.
+A page is read where it stands, in one pass with a stack of open elements, by an
+Arrow-batched function: the markup goes to no other task, and neither does a page's
+key.  A page must fit in a task.
 
 A block spec is a plain dict::
 
@@ -22,47 +21,13 @@ text of the block itself.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-from feedline.functions import markup
-from feedline.functions.text import strip
-
-_SEPARATOR = "\u0001"
-
-
-def _matches(selector: dict) -> Column:
-    """An opening tag row (``tag``, ``classes``) meets the selector."""
-    tests = [F.col("opens")]
-    if "tag" in selector:
-        tests.append(F.col("tag") == selector["tag"])
-    if "class" in selector:
-        tests.append(F.array_contains("classes", selector["class"]))
-    if "class_any" in selector:
-        tests.append(F.arrays_overlap("classes", F.array(*[F.lit(c) for c in selector["class_any"]])))
-    if "class_prefix" in selector:
-        prefix = selector["class_prefix"]
-        tests.append(F.exists("classes", lambda c: c.startswith(prefix)))
-    return reduce(lambda a, b: a & b, tests)
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-
-def page_tokens(pages: DataFrame, key: str, html: str, page_filter: str | None = None) -> DataFrame:
-    """Token rows: ``key, pos, token``, markup hidden from readers removed.
-
-    ``key`` must be unique per page.  Pages go to their partition as a whole
-    before they are cut up.
-    """
-    wanted = pages.select(key, F.col(html).alias("_html"))
-    if page_filter:
-        wanted = wanted.where(F.col("_html").contains(page_filter))
-    return (
-        wanted.repartition(key)
-        .select(key, F.regexp_extract_all(markup.visible(F.col("_html")), F.lit(markup.TOKEN), F.lit(0)).alias("_t"))
-        .select(key, F.posexplode("_t").alias("pos", "token"))
-    )
+from feedline.functions.page_blocks import page_blocks
 
 
 def extract_blocks(pages: DataFrame, key: str, html: str, spec: dict) -> DataFrame:
@@ -70,132 +35,19 @@ def extract_blocks(pages: DataFrame, key: str, html: str, spec: dict) -> DataFra
 
     Result: ``key, block`` (number of the block in its page, from 1) and one
     column per field; null where no element matches, empty where it has no
-    text.
+    text.  A page without blocks, or without markup, gives no row.
     """
-    block, fields = spec["block"], spec["fields"]
-    tokens = page_tokens(pages, key, html)
-    tagged = tokens.select(
-        key,
-        "pos",
-        "token",
-        markup.tag_name(F.col("token")).alias("tag"),
-        F.col("token").startswith("</").alias("closes"),
-    )
-    opens = (F.col("tag") != "") & ~F.col("closes")
-    hollow = F.col("tag").isin(*markup.VOID_TAGS) | F.col("token").endswith("/>")
-    nodes = tagged.select(
-        key,
-        "pos",
-        "tag",
-        "closes",
-        opens.alias("opens"),
-        (opens & hollow).alias("hollow"),
-        F.when(opens & F.lower("token").contains("class"), markup.class_tokens(F.col("token")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("classes"),
-        F.when(F.col("tag") == "", strip(markup.unescape(F.col("token")))).alias("text"),
-    ).where((F.col("tag") != "") | (F.col("text") != ""))
-
-    # Where an element ends: the next token of its tag name at its own depth.
-    by_tag = Window.partitionBy(key, "tag").orderBy("pos")
-    step = F.when(F.col("hollow"), 0).when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)
-    depth = F.sum(step).over(by_tag.rowsBetween(Window.unboundedPreceding, 0))
-    levelled = nodes.withColumn("level", F.when(F.col("closes"), depth + 1).otherwise(depth))
-    pair = Window.partitionBy(key, "tag", "hollow", "level").orderBy("pos")
-    is_block = _matches(block)
-    paired = levelled.select(
-        key,
-        "pos",
-        "tag",
-        "opens",
-        "classes",
-        "text",
-        F.when(F.col("hollow"), F.col("pos"))
-        .when(F.col("opens") & F.lead("closes").over(pair), F.lead("pos").over(pair))
-        .alias("end"),
-        is_block.alias("is_block"),
-        (F.col("closes") & F.lag(is_block & ~F.col("hollow"), 1, False).over(pair)).alias("block_closes"),
-    )
-
-    # Which blocks a token stands in: one level for each open block around it.
-    in_page = Window.partitionBy(key).orderBy("pos")
-    opened = F.when(F.col("is_block"), 1).when(F.col("block_closes"), -1).otherwise(0)
-    nested = paired.withColumn(
-        "blocks_open", F.sum(opened).over(in_page.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    selectors = {name: f for name, f in fields.items() if not f.get("self")}
-    hits = {f"hit_{name}": _matches(f) for name, f in selectors.items()}
-    hits |= {f"outer_{name}": _matches(f["within"]) for name, f in selectors.items() if "within" in f}
-    flagged = nested.select(
-        key, "pos", "end", "text", "is_block", "blocks_open", *[c.alias(n) for n, c in hits.items()]
-    )
-    of_use = reduce(lambda a, b: a | b, [F.col(n) for n in hits], F.col("text").isNotNull() | F.col("is_block"))
-    members = flagged.where(of_use & (F.col("blocks_open") > 0)).select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("blocks_open").cast("int"))).alias("at")
-    )
-    own = F.col("is_block") & (F.col("at") == F.col("blocks_open"))
-    in_level = Window.partitionBy(key, "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    owned = members.withColumn("block_pos", F.max(F.when(own, F.col("pos"))).over(in_level))
-
-    # The first matching element of each field, told to every token of its block.
-    here = Window.partitionBy(key, "block_pos")
-    span = F.struct(F.col("pos").alias("from"), F.coalesce("end", F.lit(2**31 - 1)).alias("to"))
-
-    def first(test: Column) -> Column:
-        return F.min(F.when(test & (F.col("pos") > F.col("block_pos")), span)).over(here)
-
-    spans = owned
-    outers = {n: first(F.col(n)) for n in hits if n.startswith("outer_")}
-    if outers:
-        spans = spans.withColumns({f"span_{n}": c for n, c in outers.items()})
-    firsts = {}
-    for name, field in selectors.items():
-        test = F.col(f"hit_{name}")
-        if "within" in field:
-            outer = F.col(f"span_outer_{name}")
-            test = test & (F.col("pos") > outer["from"]) & (F.col("pos") < outer["to"])
-        if field.get("all"):
-            so_far = here.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-            test = test & (F.col("pos") > F.col("block_pos"))
-            firsts[f"span_{name}"] = F.max(F.when(test, span)).over(so_far)
-        else:
-            firsts[f"span_{name}"] = first(test)
-    if firsts:
-        spans = spans.withColumns(firsts)
-
-    def piece(inside: Column) -> Column:
-        chosen = F.when(inside & F.col("text").isNotNull(), F.struct("pos", "text"))
-        return F.array_join(F.transform(F.array_sort(F.collect_list(chosen)), lambda x: x["text"]), " ")
-
-    def pieces(name: str) -> Column:
-        at = F.col(f"span_{name}")
-        chosen = F.when(
-            F.col("pos").between(at["from"], at["to"]),
-            F.struct(
-                "pos",
-                F.when(F.col("pos") == at["from"], F.lit(_SEPARATOR))
-                .otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))))
-                .alias("text"),
-            ),
-        )
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(chosen)), lambda x: x["text"]), "")
-        parts = F.split(joined, _SEPARATOR)
-        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip)
-
-    texts = []
-    for name, field in fields.items():
-        if field.get("self"):
-            texts.append(piece(F.lit(True)).alias(name))
-        elif field.get("all"):
-            texts.append(pieces(name).alias(name))
-        else:
-            at = F.col(f"span_{name}")
-            found = F.bool_or(at.isNotNull())
-            inside = (F.col("pos") > at["from"]) & (F.col("pos") < at["to"])
-            texts.append(F.when(found, piece(inside)).alias(name))
-    rows = spans.groupBy(key, "block_pos").agg(*texts)
-    numbered = F.row_number().over(Window.partitionBy(key).orderBy("block_pos"))
-    return rows.select(key, numbered.cast("bigint").alias("block"), *fields)
+    fields = spec["fields"]
+    kind = {n: ArrayType(StringType()) if f.get("all") else StringType() for n, f in fields.items()}
+    result = ArrayType(StructType([StructField(n, t) for n, t in kind.items()]))
+    shape = to_arrow_type(result)
+
+    @F.arrow_udf(result)
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([page_blocks(t.as_py(), spec) for t in texts], shape)
+
+    listed = pages.select(key, F.posexplode(found(F.col(html))).alias("_at", "_block"))
+    return listed.select(key, (F.col("_at") + 1).cast("bigint").alias("block"), "_block.*")
 
 
 def merge_detail(summary: DataFrame, detail: DataFrame, key: str) -> DataFrame:

@@ -166,3 +166,22 @@ def test_enrichment(spark):
     assert values(spark, ["(don't) -- U.S.A. é!"], enrich.tokens) == [["don't", "u.s.a", "é"]]
     same_text = values(spark, [" a ", "a", " a\n"], enrich.text_hash)
     assert len(set(same_text)) == 1
+
+
+def test_references_equal_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    texts = []
+    for name in sorted({n.rstrip(";") for n in html5}):
+        texts += [f"a&{name};b", f"a&{name} b", f"&{name}=3", f"&{name}x;", f"&{name.lower()}"]
+    texts += [f"&#{n};" for n in [*range(300), 0xD800, 0xFDD0, 0xFFFF, 0x10FFFF, 0x110000, 10**9]]
+    texts += [f"&#x{n:X}" for n in (65, 0, 128, 0xFFFE, 0x1F600, 0x1FFFE, 0xFFFFFFFF)]
+    texts += ["&#0000000000065;", "&#x00000000041", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "&a&b;&lt", "x", ""]
+    assert values(spark, texts, markup.unescape) == [html.unescape(t) for t in texts]
+
+
+def test_references_in_attributes(spark):
+    texts = ["/a?x=1&copy=3&lt=2", "&copy;=3 &copy; &lt", "&copyx; &notit;", "&amp;b&ampb", "&#65&#x42;=", "&NotEqualTilde;"]
+    want = ["/a?x=1&copy=3&lt=2", "©=3 © <", "&copyx; &notit;", "&b&ampb", "AB=", "\u2242\u0338"]
+    assert values(spark, texts, lambda c: markup.unescape(c, attribute=True)) == want

@@ -174,10 +174,36 @@ def test_blocks(spark):
     ]
 
 
-def test_blocks_shuffle_once(spark, plan):
+def test_blocks_need_no_shuffle(spark, plan):
     pages = frame(spark, [(1, JOBS)], "id INT, html STRING")
     shown = plan(blocks.extract_blocks(pages, "id", "html", SPEC), "simple")
-    assert shown.count("Exchange ") == 1 and "Join" not in shown
+    assert "Exchange" not in shown and "Join" not in shown and "Window" not in shown
+
+
+def test_blocks_of_broken_markup(spark):
+    html = """</div></p><div class="job-box"><p>a</p></div></div><div class=job-box><br class="T14"/>b<h2>c <!-- <div> --> d &ampe &lt;</h2>
+    <script><div class="job-box"></script><img class="job-box"><DIV CLASS="T14 x">open"""
+    spec = {"block": {"class": "job-box"}, "fields": {"whole": {"self": True}, "t14": {"class": "T14"}, "all14": {"class": "T14", "all": True}, "h": {"tag": "h2"}}}
+    rows = blocks.extract_blocks(frame(spark, [(1, html)], "id INT, html STRING"), "id", "html", spec).orderBy("block").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 1, "a", None, [], None),
+        (1, 2, "b c  d &e < open", "", ["", "open"], "c  d &e <"),
+        (1, 3, "", None, [], None),
+    ]
+
+
+def test_long_pages_take_linear_time(spark):
+    import time
+
+    from feedline.functions.page_blocks import page_blocks
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert len(page_blocks("<p>x</p><div class='job-box'><a class='tag'>y</a></div>" * n, SPEC)) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
 
 
 def test_upserts(spark):
