@@ -20,6 +20,7 @@ from feedline.functions.dates import normalize_mark
 from feedline.functions.urls import is_fresh
 from feedline.operators.dedup import dedup_last
 from feedline.operators.links import extract_links
+from feedline.session import new_scratch
 
 
 def newest_mark(listing: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -115,23 +116,26 @@ def page_cut(
       (undated counts as old); never by date where there is no mark,
     * after page ``cap``, if one is given.
 
-    The copies of a link collapse before the shuffle, and what is left per
-    source is one row per page.
+    The listing is read once: it is grouped by link and page (the copies of a link
+    on one page become a list) and stored in the scratch folder; pages, links and
+    result come from there.  What is ordered per source is one row per page.
     """
     capped = listing.where(F.col("page") >= 1)
     if cap is not None:
         capped = capped.where(F.col("page") <= cap)
-    first_seen = capped.groupBy("source", key).agg(F.min("page").alias("page"))
-    unseen = first_seen.select("source", "page").distinct()
-    old = (
-        _marked(capped.select("source", "page", "file_date"), checkpoint)
-        .groupBy("source", "page")
-        .agg(
-            F.bool_and(
-                F.coalesce(F.coalesce("file_date", F.lit("")) <= F.col("_mark"), F.lit(False))
-            ).alias("_old")
-        )
+    rest = [c for c in listing.columns if c not in ("source", key, "page")]
+    is_old = F.coalesce(F.coalesce("file_date", F.lit("")) <= F.col("_mark"), F.lit(False))
+    by_link = (
+        _marked(capped, checkpoint)
+        .groupBy("source", key, "page")
+        .agg(F.bool_and(is_old).alias("_old"), F.collect_list(F.struct(*rest)).alias("_rows"))
     )
+    scratch = new_scratch(listing.sparkSession, "pages")
+    by_link.write.parquet(scratch)
+    by_link = listing.sparkSession.read.schema(by_link.schema).parquet(scratch)
+    first_seen = by_link.groupBy("source", key).agg(F.min("page").alias("page"))
+    unseen = first_seen.select("source", "page").distinct()
+    old = by_link.groupBy("source", "page").agg(F.bool_and("_old").alias("_old"))
     in_order = Window.partitionBy("source").orderBy("page")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     walked = (
@@ -144,7 +148,8 @@ def page_cut(
     )
     # A link is gathered on its first page, with all its copies there.
     gathered = first_seen.join(walked, ["source", "page"], "left_semi")
-    return capped.join(gathered, ["source", key, "page"], "left_semi")
+    kept = by_link.join(gathered, ["source", key, "page"], "left_semi")
+    return kept.select("source", key, "page", F.inline("_rows")).select(*listing.columns)
 
 
 def completeness(totals: DataFrame) -> DataFrame:
@@ -174,17 +179,15 @@ def refresh_links(links: DataFrame, relisting: DataFrame, now: Column) -> DataFr
     Result: ``name, category, page, href, status`` with status ``fresh``,
     ``page``, ``category`` or ``vanished`` (``href`` null).
     """
-    on_page = dedup_last(
-        relisting.select("name", "category", "page", "pos", F.col("href").alias("_on_page")),
-        ["name", "category", "page"],
-        ["pos"],
-    ).drop("pos")
-    # The last row of a category is the last row of its last page.
-    last = dedup_last(on_page, ["name", "category"], ["page"])
-    in_category = last.select("name", "category", F.col("_on_page").alias("_in_category"))
+    # One row for each page of a name before anything is joined: a name with many copies is small then.
+    on_page = dedup_last(relisting.select("name", "category", "page", "pos", "href"), ["name", "category", "page"], ["pos"])
+    again = on_page.select("name", "category", F.col("page").alias("_page"), "pos", F.col("href").alias("_href"))
     judged = links.select("name", "category", "page", "href", is_fresh(F.col("href"), now).alias("_fresh"))
-    found = judged.join(on_page, ["name", "category", "page"], "left").join(
-        in_category, ["name", "category"], "left"
+    both = judged.join(again, ["name", "category"], "left")
+    found = both.groupBy("name", "category", "page", "href", "_fresh").agg(
+        F.max(F.when(F.col("_page") == F.col("page"), F.col("_href"))).alias("_on_page"),
+        # The last row of a category is the last row of its last page.
+        F.max(F.when(F.col("_href").isNotNull(), F.struct("_page", "pos", "_href")))["_href"].alias("_in_category"),
     )
     fresh = F.col("_fresh")
     return found.select(

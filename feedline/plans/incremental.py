@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedline.functions import dates, urls
-from feedline.operators import cycle, dedup, filters, selection
+from feedline.operators import cycle, dedup, filters, isolation, selection
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
 from feedline.plans.registry import query
@@ -308,6 +308,39 @@ def union_sources(spark, sf_dir):
     return selection.results_by_source(union, names)
 
 
+@query(
+    "inc_14_isolated_sources",
+    """
+    SELECT 's' || k AS source, CASE WHEN k IN (1, 3) THEN 'failed' ELSE 'complete' END AS state,
+           CASE WHEN k IN (1, 3) THEN 0 ELSE n END AS n_rows, CASE WHEN k IN (1, 3) THEN 0 ELSE n END AS n_stored,
+           CASE k WHEN 1 THEN 'USER_RAISED_EXCEPTION' WHEN 3 THEN 'ValueError' END AS reason
+    FROM (SELECT o_orderkey % 5 AS k, count(*) AS n FROM orders GROUP BY ALL)""",
+)
+def isolated_sources(spark, sf_dir):
+    orders = R.table(spark, sf_dir, "orders")
+
+    def job(k: int):
+        def rows():
+            if k == 3:
+                raise ValueError("no such page")
+            key = F.col("o_orderkey")
+            mine = orders.where(key % 5 == k).select(F.concat(F.lit(f"s{k}/"), R.text(key)).alias("key"))
+            if k == 1:
+                # Fails in a task, after other tasks have written.
+                mine = mine.withColumn("key", F.when(F.col("key").endswith("6"), F.raise_error(F.lit("broken row")).cast("string")).otherwise(F.col("key")))
+            return mine
+
+        return rows
+
+    path = new_scratch(spark, "sources")
+    outcomes = isolation.run_sources(spark, {f"s{k}": job(k) for k in range(5)}, path, "1")
+    stored = isolation.stored_rows(spark, path, "1").groupBy("source").agg(F.count("key").alias("n_stored"))
+    return outcomes.join(stored, "source", "left").select(
+        "source", "state", "n_rows", F.coalesce("n_stored", F.lit(0)).cast("bigint").alias("n_stored"),
+        F.substring_index("reason", ":", 1).alias("reason"),
+    )
+
+
 @query(
     "inc_15_plan_cycle",
     f"""

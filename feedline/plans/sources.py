@@ -74,6 +74,30 @@ def json_listing(spark, sf_dir):
     return listings.read_json_listing(responses(spark, sf_dir), "body", keep=("response",))
 
 
+@query(
+    "src_03_mixed_members",
+    f"""
+    WITH m AS (SELECT event_id // {R.ROWS_PER_RESPONSE} AS response, event_id, event_type, event_id % 7 AS kind FROM events)
+    SELECT response, CAST(row_number() OVER (PARTITION BY response ORDER BY event_id) - 1 AS INTEGER) AS pos,
+           CASE WHEN kind > 3 THEN 'PriceFull' || event_id END AS fname, CASE WHEN kind = 3 THEN '5' WHEN kind > 3 THEN event_type END AS row_type,
+           CASE kind WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'text ' || event_id WHEN 2 THEN '[' || event_id || ']' END AS odd
+    FROM m""",
+)
+def mixed_members(spark, sf_dir):
+    key, kind = R.text("event_id"), F.col("event_id") % 7
+    entry = F.to_json(F.struct(F.col("event_type").alias("type"), F.concat(F.lit("PriceFull"), key).alias("fname")))
+    # Numbers, texts, lists and objects of other types stand between the entries.
+    member = F.when(kind == 0, key).when(kind == 1, F.concat(F.lit('"text '), key, F.lit('"')))
+    member = member.when(kind == 2, F.concat(F.lit("["), key, F.lit("]"))).when(kind == 3, F.lit('{"type": 5, "fname": null}')).otherwise(entry)
+    rows = R.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / R.ROWS_PER_RESPONSE).alias("response"))
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("event_id", member.alias("m")))).alias("rows"))
+    body = F.concat(F.lit('{"aaData": ['), F.array_join(F.transform("rows", lambda r: r["m"]), ", "), F.lit("]}"))
+    found = listed.select("response", body.alias("body"))
+    read = listings.read_json_listing(found, "body", ("response",)).withColumn("odd", F.lit(None).cast("string"))
+    odd = listings.odd_members(found, "body", ("response",)).withColumnRenamed("member", "odd")
+    return read.unionByName(odd, allowMissingColumns=True)
+
+
 @query(
     "src_04_catalog_entries",
     f"""

@@ -10,22 +10,36 @@ from pyspark.sql import functions as F
 from feedline.functions.text import first_text, strip
 from feedline.operators.prices import PRICE_FIELDS, price_columns
 
-PAGED_SCHEMA = "aaData ARRAY<STRUCT<type STRING, fname STRING>>, iTotalRecords STRING"
+# Members stay raw text first, so that an odd one cannot empty the response.
+PAGED_SCHEMA = "aaData ARRAY<STRING>, iTotalRecords STRING"
+ENTRY_SCHEMA = "type STRING, fname STRING"
 
 # Where a catalog response may hold its list.
 WRAPPERS = ("files", "data", "items", "result")
 
 
+def _paged_members(responses: DataFrame, col: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, ``pos``, the raw ``member`` and the ``entry`` it is, null where it is no object."""
+    parsed = responses.select(*keep, F.from_json(col, PAGED_SCHEMA).alias("r"))
+    members = parsed.select(*keep, F.posexplode("r.aaData").alias("pos", "member"))
+    entry = F.when(F.ltrim("member").startswith("{"), F.from_json("member", ENTRY_SCHEMA))
+    return members.select(*keep, "pos", "member", entry.alias("entry"))
+
+
 def read_json_listing(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per entry of the offset-paged responses in ``col``.
 
     Rows: the ``keep`` columns, ``pos`` in the response, ``row_type``,
-    ``fname``.  A response without ``aaData`` gives none.
+    ``fname``.  A response without ``aaData`` gives none.  Members that are no
+    objects are left out and are in :func:`odd_members`.
     """
-    parsed = responses.select(*keep, F.from_json(col, PAGED_SCHEMA).alias("r"))
-    return parsed.select(*keep, F.posexplode("r.aaData").alias("pos", "entry")).select(
-        *keep, "pos", F.col("entry.type").alias("row_type"), F.col("entry.fname").alias("fname")
-    )
+    entries = _paged_members(responses, col, keep).where(F.col("entry").isNotNull())
+    return entries.select(*keep, "pos", F.col("entry.type").alias("row_type"), F.col("entry.fname").alias("fname"))
+
+
+def odd_members(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The members of offset-paged responses that are no objects: ``keep``, ``pos`` and ``member`` as text."""
+    return _paged_members(responses, col, keep).where(F.col("entry").isNull()).select(*keep, "pos", "member")
 
 
 def listing_totals(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -266,3 +266,13 @@ def test_promotions_at_any_depth_and_items_under_any_tag(spark):
         ("1", "C", ["a", "b", "c"]), (None, "C", []), ("2", "C", ["d"]), ("3", None, ["e"]),
     ]
     assert rows[0].description == "<b> & </Promotion>" and rows[2]["items"][0].minQty == 3
+
+
+def test_odd_members_of_a_listing(spark):
+    body = '{"aaData": [{"type": "a", "fname": "x"}, 17, null, "text", [1], {"fname": 5}, {"type": {"deep": 1}}], "iTotalRecords": 7}'
+    df = spark.createDataFrame([(1, body), (2, '{"aaData": "none"}'), (3, "oops"), (4, None)], "id INT, body STRING")
+    rows = listings.read_json_listing(df, "body", keep=("id",)).orderBy("pos").collect()
+    assert [(r.id, r.pos, r.row_type, r.fname) for r in rows] == [(1, 0, "a", "x"), (1, 5, None, "5"), (1, 6, '{"deep":1}', None)]
+    odd = listings.odd_members(df, "body", keep=("id",)).orderBy("pos").collect()
+    assert [(r.id, r.pos, r.member) for r in odd] == [(1, 1, "17"), (1, 2, None), (1, 3, "text"), (1, 4, "[1]")]
+    assert [r.n_rows for r in listings.listing_totals(df, "body", keep=("id",)).orderBy("id").collect()] == [7, 0, 0, 0]

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from feedline.operators import blocks, cycle, dedup, filters, links, load, read, selection
+from feedline.operators import blocks, cycle, dedup, filters, isolation, links, load, read, selection
 
 LISTING = "source STRING, page INT, pos INT, href STRING, file_date STRING"
 MARKS = "source STRING, mark STRING"
@@ -280,3 +280,60 @@ def test_first_pages_has_no_default_limit(spark):
     with pytest.raises(TypeError):
         blocks.first_pages(rows)
     assert blocks.first_pages(rows, 7).count() == 7
+
+
+def test_page_cut_scans_its_listing_once(spark, tmp_path):
+    path = str(tmp_path / "listing")
+    frame(spark, [("a", p, i, f"f{p}{i}", "20240101") for p in (1, 2) for i in range(3)], LISTING).write.parquet(path)
+    scanned = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scanned.add(batch.num_rows)
+            yield batch
+
+    listed = spark.read.parquet(path).mapInArrow(counted, LISTING)
+    cut = selection.page_cut(listed, frame(spark, [("a", None)], MARKS))
+    assert cut.count() == 6 and cut.columns == listed.columns
+    assert scanned.value == 6
+
+
+def test_refresh_links_shuffles_three_times(spark, plan):
+    links = frame(spark, [("n", 1, 1, "h?se=2024-01-01T00:00:00Z")], "name STRING, category INT, page INT, href STRING")
+    again = frame(spark, [("n", 1, 2, 0, "x")], "name STRING, category INT, page INT, pos INT, href STRING")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = selection.refresh_links(links, again, F.to_timestamp(F.lit("2024-06-01 00:00:00")))
+        assert plan(found, "simple").count("Exchange hashpartitioning") <= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [tuple(r) for r in found.collect()] == [("n", 1, 1, "x", "category")]
+
+
+def test_sources_fail_on_their_own(spark, tmp_path):
+    path = str(tmp_path / "out")
+
+    def broken_row():
+        key = F.when(F.col("id") == 7, F.raise_error(F.lit("row 7")).cast("string")).otherwise(F.col("id").cast("string"))
+        return spark.range(10).select(key.alias("key"))
+
+    def no_file():
+        return spark.read.parquet(str(tmp_path / "none"))
+
+    def odd():
+        raise KeyError("listing")
+
+    jobs = {"good": lambda: spark.range(3).selectExpr("string(id) AS key"), "row": broken_row, "file": no_file, "odd": odd}
+    jobs["empty"] = lambda: spark.range(0).selectExpr("string(id) AS key", "1 AS more")
+    found = {r.source: (r.state, r.n_rows, (r.reason or "").split(":")[0]) for r in isolation.run_sources(spark, jobs, path, "1").collect()}
+    assert found == {
+        "good": ("complete", 3, ""), "empty": ("complete", 0, ""), "row": ("failed", 0, "USER_RAISED_EXCEPTION"),
+        "file": ("failed", 0, "PATH_NOT_FOUND"), "odd": ("failed", 0, "KeyError"),
+    }
+    rows = isolation.stored_rows(spark, path, "1")
+    assert sorted((r.source, r.key, r.more) for r in rows.collect()) == [("good", str(n), None) for n in range(3)]
+    # A source that fails when its batch is run again has nothing left of the first run.
+    jobs["good"] = odd
+    assert isolation.run_sources(spark, jobs, path, "1").where("state = 'complete'").count() == 1
+    assert isolation.stored_rows(spark, path, "1").count() == 0
+    assert isolation.stored_rows(spark, str(tmp_path / "out"), "1").columns == ["key", "more", "source"]
