@@ -11,7 +11,7 @@ from feedline.plans import rendering as R
 from feedline.plans.registry import query
 from feedline.session import new_scratch
 from feedline.sources import listings
-from feedline.sources.marks import clean_marks, load_checkpoint
+from feedline.sources.marks import clean_marks, load_checkpoint, save_checkpoint
 
 
 def dated_listing(spark, sf_dir):
@@ -376,3 +376,159 @@ def run_cycle(spark, sf_dir):
     cycle.run_cycle(listed, style, marks, out, "2")
     counted = spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n_links"))
     return load_checkpoint(spark, marks).join(counted, "source")
+
+
+def _two_runs(wanted: str) -> str:
+    """Expected marks and links after a run over the years before 1998 and one over all."""
+    return f"""
+    WITH {E.LISTING},
+    wanted AS ({wanted}),
+    m1 AS (SELECT source, max(file_date) AS mark, count(*) AS n FROM wanted WHERE year < 1998 GROUP BY source),
+    n2 AS (SELECT source, count(*) AS n FROM wanted JOIN m1 USING (source) WHERE file_date > mark GROUP BY source),
+    m2 AS (SELECT source, max(file_date) AS mark FROM wanted GROUP BY source)
+    SELECT source, m2.mark, m1.n + coalesce(n2.n, 0) AS n_links
+    FROM m2 JOIN m1 USING (source) LEFT JOIN n2 USING (source)"""
+
+
+_ROOT = R.LINK_ROOT + "/"
+
+
+def _runs(spark, style: str, captures, first=F.col("year") < 1998, before=None, **options):
+    """Marks and links after two cycles over the captures that ``captures(condition)`` gives."""
+    marks, out = new_scratch(spark, "marks"), new_scratch(spark, "links")
+    if before is not None:
+        save_checkpoint(before, marks)
+    for batch, condition in (("1", first), ("2", F.lit(True))):
+        found = captures(condition)
+        pages = {"day_pages": found[1]} if isinstance(found, tuple) else {}
+        index = found[0] if pages else found
+        cycle.run_style(index, cycle.STYLES[style], marks, out, batch, _ROOT, **pages, **options)
+    counted = spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("n_links"))
+    return load_checkpoint(spark, marks).join(counted, "source")
+
+
+@query("inc_15_cycle_paged_json", _two_runs("SELECT * FROM listing WHERE fname NOT LIKE 'Stores%' AND pos % 10 <> 0"))
+def cycle_paged_json(spark, sf_dir):
+    kind = F.when(F.col("pos") % 10 == 0, "dir").otherwise("file").alias("type")
+    entry = F.to_json(F.struct(kind, "fname"))
+
+    def captures(condition):
+        rows = R.listing(spark, sf_dir).where(condition)
+        return R.captured(rows, ["source"], entry, '{"aaData": [', "]}", ",")
+
+    return _runs(spark, "paged_json", captures)
+
+
+@query(
+    "inc_15_cycle_catalog_json",
+    f"""
+    WITH {E.LISTING},
+    wanted AS (
+      SELECT DISTINCT source, replace(fname, '-19', '-20') AS fname, '20' || substr(file_date, 3) AS file_date
+      FROM listing WHERE fname NOT LIKE 'Stores%' AND pos % 3 <> 2),
+    marked AS (SELECT *, CASE WHEN source = 's3' THEN '20960615000000' END AS old FROM wanted),
+    fresh AS (SELECT * FROM marked WHERE CASE WHEN old IS NULL THEN coalesce(file_date, '') >= '20970101000000' ELSE file_date > old END)
+    SELECT source, max(file_date) AS mark, count(*) AS n_links FROM fresh GROUP BY source""",
+)
+def cycle_catalog_json(spark, sf_dir):
+    entry = F.to_json(F.struct(F.concat(F.lit(" "), "fname").alias("fileName"), F.lit(None).cast("string").alias("fileType")))
+
+    def captures(condition):
+        rows = R.listing(spark, sf_dir).where(condition).withColumn("fname", F.replace("fname", F.lit("-19"), F.lit("-20")))
+        # Each name is listed by the next chain as well; one chain is refused.
+        chains = F.array(F.col("pos") % 3, F.when(F.col("pos") % 3 == 0, 1))
+        rows = rows.withColumn("chain", F.explode(F.filter(chains, lambda c: c.isNotNull())))
+        listed = R.captured(rows, ["source", "chain"], entry, '{"count": 1, "files": [', "]}", ",")
+        answers = spark.range(3).select(F.col("id").alias("chain"), F.when(F.col("id") == 2, 400).otherwise(200).alias("status"))
+        return selection.skip_rejected(listed, answers, on="chain")
+
+    # A mark of eight digits, and a first day for the sources without one; the second run finds nothing new.
+    before = spark.createDataFrame([("s3", "20960615")], "source STRING, mark STRING")
+    return _runs(spark, "catalog_json", captures, first=F.lit(True), before=before, start="2097-01-01")
+
+
+_ANCHOR = F.concat(F.lit('<li><a href="'), "href", F.lit('">x</a></li>'))
+
+
+@query(
+    "inc_15_cycle_paged_html",
+    f"""
+    WITH RECURSIVE {_PAGED}, {E.MARKS},
+    firsts AS (SELECT *, min(page) OVER (PARTITION BY source, href) AS first FROM shown WHERE page <= 6),
+    p AS (
+      SELECT source, page, bool_or(first = page) AS unseen,
+             coalesce(bool_and(coalesce(file_date, '') <= mark), false) AS old
+      FROM firsts JOIN marks USING (source) GROUP BY source, page),
+    walked AS (
+      SELECT source, page, old FROM p WHERE page = 1 AND unseen
+      UNION ALL
+      SELECT p.source, p.page, p.old FROM walked w JOIN p ON p.source = w.source AND p.page = w.page + 1
+      WHERE NOT w.old AND p.unseen),
+    fresh AS (
+      SELECT source, file_date FROM firsts JOIN walked USING (source, page) JOIN marks USING (source)
+      WHERE first = page AND (mark IS NULL OR file_date > mark))
+    SELECT source, coalesce(max(file_date), any_value(mark)) AS mark, count(*) AS n_links
+    FROM fresh JOIN marks USING (source) GROUP BY source""",
+)
+def cycle_paged_html(spark, sf_dir):
+    def captures(_):
+        kind = F.substring("source", 2, 9).cast("int") % 3
+        rows = R.listing(spark, sf_dir).withColumn("page", F.lit(2002) - F.col("year"))
+        shown = rows.where(~((kind == 0) & (F.col("page") == 3)) & ~((kind == 1) & (F.col("page") == 4)))
+        repeated = F.when((kind == 0) & (F.col("page") == 2), F.array(F.lit(2), F.lit(3)))
+        pages = shown.withColumn("page", F.explode(F.coalesce(repeated, F.array("page"))))
+        found = R.captured(pages, ["source", "page"], _ANCHOR, "<ul>", "<li><a href='/about.html'></a></li></ul>")
+        return found.withColumnRenamed("body", "html").withColumn("url", F.lit(R.LINK_ROOT))
+
+    # The second run is over the same pages: it finds nothing new and moves no mark.
+    return _runs(spark, "paged_html", captures, before=stored_marks(spark, sf_dir), cap=6)
+
+
+@query("inc_15_cycle_signed_html", _two_runs("SELECT DISTINCT source, fname, file_date, year FROM listing WHERE category IN (2, 4)"))
+def cycle_signed_html(spark, sf_dir):
+    signed = F.concat(F.lit('<a href="'), "href", F.lit("?se=2024-01-01&amp;page="), R.text("page"), F.lit('"></a>'))
+    other = F.concat(signed, F.lit('<a href="https://elsewhere.example.net/'), "fname", F.lit('"></a>'))
+
+    def captures(condition):
+        rows = R.listing(spark, sf_dir).where(condition)
+        found = R.captured(rows, ["source", "category", "page"], other, "<div>", "</div>")
+        return found.withColumnRenamed("body", "html").withColumn("url", F.lit(R.LINK_ROOT))
+
+    return _runs(spark, "signed_html", captures, suffixes=None, host="files.example.net")
+
+
+@query("inc_15_cycle_table_html", _two_runs("SELECT * FROM listing"))
+def cycle_table_html(spark, sf_dir):
+    row = F.concat(F.lit("<tr>" + "<td>1</td>" * 5 + '<td><a href="/'), "source", F.lit("/"), "fname", F.lit('">d</a></td></tr>'))
+
+    def captures(condition):
+        rows = R.listing(spark, sf_dir).where(condition)
+        found = R.captured(rows, ["source"], row, '<table class="gzTable"><tbody>', "</tbody></table>")
+        return found.withColumnRenamed("body", "html").withColumn("url", F.lit(R.LINK_ROOT))
+
+    return _runs(spark, "table_html", captures)
+
+
+@query(
+    "inc_15_cycle_day_pages",
+    f"""
+    WITH {E.LISTING},
+    dated AS (SELECT * FROM listing WHERE file_date IS NOT NULL),
+    d1 AS (SELECT source, max(substr(file_date, 1, 8)) AS day FROM dated WHERE year < 1998 GROUP BY source),
+    m1 AS (SELECT source, max(file_date) AS mark, count(*) AS n FROM dated JOIN d1 USING (source) WHERE substr(file_date, 1, 8) = day GROUP BY source),
+    n2 AS (SELECT source, count(*) AS n FROM dated JOIN m1 USING (source) WHERE file_date > mark GROUP BY source),
+    m2 AS (SELECT source, max(file_date) AS mark FROM dated GROUP BY source)
+    SELECT source, m2.mark, m1.n + coalesce(n2.n, 0) AS n_links FROM m2 JOIN m1 USING (source) LEFT JOIN n2 USING (source)""",
+)
+def cycle_day_pages(spark, sf_dir):
+    def captures(condition):
+        rows = dated_listing(spark, sf_dir).where(condition).where(F.col("file_date").isNotNull())
+        day = F.substring("file_date", 1, 8)
+        page = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
+        dated = rows.withColumn("url", F.concat(F.lit(_ROOT), "source", F.lit("/"), page, F.lit(".html")))
+        pages = dated.groupBy("url").agg(R.joined(F.collect_list(F.struct("pos", "fname", _ANCHOR.alias("xml")))).alias("html"))
+        listed = dated.select("source", "url").distinct().withColumn("xml", F.concat(F.lit('<a href="'), "url", F.lit('">d</a>')))
+        index = listed.groupBy("source").agg(R.joined(F.collect_list(F.struct("url", "xml"))).alias("html"))
+        return index.withColumn("url", F.lit(R.LINK_ROOT)), pages
+
+    return _runs(spark, "day_pages", captures)

@@ -390,6 +390,15 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("href", F.concat_ws("/", F.lit(LINK_ROOT), "source", "fname"))
 
 
+def captured(rows: DataFrame, by: list[str], body: Column, before: str, after: str, between: str = "") -> DataFrame:
+    """``by`` and ``body``: the rows of a listing as captures of at most some hundred, in order."""
+    chunk = F.floor(F.col("pos") / 2000).alias("chunk")
+    held = rows.select(*by, chunk, F.struct("pos", "fname", body.alias("xml")).alias("row"))
+    grouped = held.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    inner = F.array_join(F.transform("rows", lambda r: r["xml"]), between)
+    return grouped.select(*by, "chunk", F.concat(F.lit(before), inner, F.lit(after)).alias("body"))
+
+
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored marks of the listing's sources; some null, some blank."""
     key = F.col("n_nationkey")
