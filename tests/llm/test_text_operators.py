@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from random import Random
 
 import public_tokenizers
 import pytest
@@ -132,3 +133,85 @@ def test_long_runs_are_linear(spark):
     found = pii.pii_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (found["n_email"], found["n_card"]) == (1, 0)
     assert hashlib.sha256(b"").hexdigest() != hashlib.sha256(found["base_spans"].encode()).hexdigest()
+
+
+def spans_by_definition(words):
+    """(label, base, exact, begin, end, held share) of each span, without Spark, hashes or windows."""
+    held = [(t, label, True, 2) for t, label in licenses.BASE.items()]
+    held += [(t, label, False, 2) for t, label in licenses.OWN.items()]
+    held += [(t, label, False, 4) for label, t in licenses.BODIES.items()]
+    found = set()
+    for text, label, base, k in held:
+        template = licenses.template_words(text)
+        seeds, slack = len(template) - k + 1, 2 if k == 2 else len(template) // 8
+        votes = {}
+        for i in range(len(words) - k + 1):
+            for j in range(seeds):
+                if words[i : i + k] == template[j : j + k]:
+                    votes.setdefault(i - j, set()).add(j)
+        chains = [[d] for d, v in votes.items() if len(v) == seeds]
+        last = None
+        for d in sorted(d for d, v in votes.items() if len(v) < seeds and not base and (k == 2 or len(v) > 1)):
+            if last is None or d - last > slack:
+                chains.append([])
+            chains[-1].append(d)
+            last = d
+        for n, chain in enumerate(chains):
+            exact = len(votes[chain[0]]) == seeds
+            positions = set().union(*(votes[d] for d in chain))
+            begin, end = min(d + min(votes[d]) for d in chain), max(d + max(votes[d]) + k for d in chain)
+            share = len(positions) / seeds
+            if exact or (share >= licenses.COVERAGE[k] and end - begin <= len(template) + slack):
+                found.add((label, base, exact, begin, end, round(share, 9)))
+    return found
+
+
+def edited(words, random, changes):
+    out = list(words)
+    for _ in range(changes):
+        at = random.randrange(len(out))
+        kind = random.choice(("put in", "left out", "changed"))
+        out[at : at + (kind != "put in")] = [] if kind == "left out" else [f"new{random.randrange(99)}"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def licensed(spark):
+    random, rows = Random(7), []
+    filler = "the of software and this license notice to use copy is provided in any form mit".split()
+    for n, (label, body) in enumerate(licenses.BODIES.items()):
+        words = licenses.template_words(body)
+        for changes in (0, 1, len(words) // 25):
+            around = [[random.choice(filler) for _ in range(random.randrange(120))] for _ in range(2)]
+            text = " ".join([*around[0], *edited(words, random, changes), *around[1]])
+            rows.append((len(rows), label if changes < 3 or len(words) > 40 else None, text))
+        rows.append((len(rows), label, f"{body} -- {body.upper()}"))
+        rows.append((len(rows), None, " ".join(words[: len(words) // 4])))
+    return spark.createDataFrame([*rows, *rows[:3]], "doc_id long, label string, text string").repartition(3), rows
+
+
+def test_license_wordings_are_found_with_edits(licensed):
+    docs, rows = licensed
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.license_scan(docs).collect()}
+    assert all(label in found[n] for n, label, _ in rows if label)
+
+
+def test_license_spans_equal_their_definition(docs, licensed):
+    for table in (docs, licensed[0]):
+        want = Counter()
+        for r in set((r["doc_id"], r["text"]) for r in table.collect()):
+            for span in spans_by_definition(licenses.template_words(r[1] or "")):
+                want[(r[0], *span)] += 1
+        spans = licenses.license_spans(table).collect()
+        got = Counter(
+            (r["doc_id"], r["label"], r["base"], r["exact"], r["begin"], r["end"], round(r["score"], 9)) for r in spans
+        )
+        assert got == want and len(want) > 5
+
+
+def test_templates_are_told_apart(spark):
+    table = licenses.templates(spark)
+    named = table.groupBy("template").agg(F.countDistinct("label", "k", "n_template").alias("n"), F.count("*").alias("rows"))
+    assert named.filter("n > 1").count() == 0
+    assert table.count() == table.select("template", "j").distinct().count()
+    assert named.count() == len(licenses.BASE) + len(licenses.OWN) + len(licenses.BODIES)
