@@ -14,7 +14,9 @@ without an id revisit the smallest id there is, or are responses if there is
 none.  A task writes an archive under a name of its own, and only the list that
 Spark commits names it.
 
-Null payloads are empty.  A null URL leaves the target out.
+Null payloads are empty.  A null URL leaves the target out.  Ids and URLs are quoted
+where they stand in headers.  The reader takes archives of other writers too (one
+gzip member for each record): see :func:`parse_record`.
 """
 
 from __future__ import annotations
@@ -48,14 +50,14 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}"]
     if page_id is not None:
-        head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
+        head.append(f"WARC-Record-ID: <urn:page:{quote(str(page_id), safe='')}>")
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     head += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http;msgtype=response"]
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: <urn:page:{quote(str(refers_to), safe='')}>")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -150,29 +152,34 @@ def members(store: pafs.FileSystem, path: str, begin: int, end: int, size: int)
                 if at >= end:
                     return
                 data, base = data[found:], at
-            unpacker, parts, fed, good = zlib.decompressobj(31), [], 0, known
-            have = 0
+            unpacker, parts, have, good = zlib.decompressobj(31), [], 0, known
+            chunk, reached = data, base + len(data)
             try:
-                while not unpacker.eof:
-                    if fed == len(data) and not more():
-                        break
-                    parts.append(unpacker.decompress(data[fed:]))
-                    fed = len(data)
+                while True:
+                    parts.append(unpacker.decompress(chunk))
                     have += len(parts[-1])
                     if not good and have >= len(PROOF):
                         good = b"".join(parts)[: len(PROOF)] == PROOF
                         if not good:
                             break
+                    if unpacker.eof:
+                        break
+                    chunk = source.read_at(min(READ_BYTES, size - reached), reached)
+                    if not chunk:
+                        break
+                    reached += len(chunk)
             except zlib.error:
                 good = False
             if not good or not unpacker.eof:
                 if known:
                     yield at, None
+                # What was read after the first piece is read again: only a false start does that.
                 known, at = False, at + 1
                 continue
             known = True
             yield at, b"".join(parts)
-            at += fed - len(unpacker.unused_data)
+            data = unpacker.unused_data
+            at = base = reached - len(data)
             if at >= size:
                 return
 
@@ -188,22 +195,65 @@ RECORDS_DDL = (
 )
 
 
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isdecimal() else None
+
+
+def dechunked(body: bytes) -> bytes | None:
+    """The content of a body in chunked transfer coding; None where it is none or is cut short."""
+    parts, at = [], 0
+    while True:
+        line, found, _ = body[at : at + 1024].partition(b"\r\n")
+        try:
+            size = int(line.split(b";")[0], 16)
+        except ValueError:
+            return None
+        at += len(line) + 2
+        if not found or size < 0 or at + size > len(body):
+            return None
+        if size == 0:
+            return b"".join(parts)
+        parts.append(body[at : at + size])
+        at += size + 2
+
+
 def parse_record(raw: bytes | None) -> tuple:
-    """Fields of a record; a response whose bytes are not those it states is ``damaged``."""
-    if raw is None:
-        return "damaged", None, None, None, None, None, None
-    head, _, rest = raw.partition(b"\r\n\r\n")
+    """Type, id, target, what it refers to, stated digest, payload size and payload of a record.
+
+    Any kind of WARC 1.0 or 1.1 record; a field it does not state is null.  Blocks
+    that are HTTP messages have the body as payload (out of its chunks), others the
+    whole block; a revisit has none, its size is the one its header states.  A
+    response with fewer bytes than it states, or with others than its SHA-1 says, is
+    ``damaged``, as is what has no header.
+    """
+    head, found, rest = (raw or b"").partition(b"\r\n\r\n")
     named = fields(head)
-    block = rest[: int(named["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated, kind = named["warc-payload-digest"].removeprefix("sha1:"), named["warc-type"]
-    size = int(fields(http)["content-length"])
+    kind = named.get("warc-type")
+    if not found or kind is None:
+        return "damaged", None, None, None, None, None, None
+    length = whole_number(named.get("content-length"))
+    block = rest if length is None else rest[:length]
+    short = length is not None and len(rest) < length
+    payload, size = block, len(block)
+    if block.startswith(b"HTTP/") or named.get("content-type", "").startswith("application/http"):
+        http, _, body = block.partition(b"\r\n\r\n")
+        message = fields(http)
+        stated_size = whole_number(message.get("content-length"))
+        content = dechunked(body) if message.get("transfer-encoding", "").lower() == "chunked" else None
+        payload = body if content is None else content
+        size = len(payload) if content is not None or stated_size is None else stated_size
+        short = short or len(payload) < size
+    algorithm, _, digest = named.get("warc-payload-digest", "").partition(":")
     if kind == "response":
-        if (len(payload), base32_sha1(payload)) != (size, stated):
+        # Writers differ in whether the digest is that of the chunks or of their content.
+        bodies = {payload, body} if block.startswith(b"HTTP/") else {payload}
+        checked = algorithm.lower() == "sha1" and len(digest) == 32
+        if (short and "warc-truncated" not in named) or (checked and digest.upper() not in map(base32_sha1, bodies)):
             kind = "damaged"
-    else:
+    elif kind == "revisit":
         payload = None
-    return kind, named.get("warc-record-id"), named.get("warc-target-uri"), named.get("warc-refers-to"), stated, size, payload
+    names = (named.get(n) for n in ("warc-record-id", "warc-target-uri", "warc-refers-to"))
+    return kind, *names, digest or None, size, payload
 
 
 def read_archives(archives: DataFrame, folder: str, *, range_bytes: int = RANGE_BYTES, payload: bool = True) -> DataFrame:
@@ -233,5 +283,6 @@ def read_archives(archives: DataFrame, folder: str, *, range_bytes: int = RANGE_
 
 
 def page_of(column: str, kind: str) -> Column:
-    """The page id in a record id."""
-    return F.regexp_extract(column, "^<urn:page:(.*)>$", 1).cast(kind)
+    """The page id in a record id; null for a record of another kind of id."""
+    found = F.regexp_extract(column, "^<urn:page:(.*)>$", 1)
+    return F.when(F.col(column).startswith("<urn:page:"), F.try_url_decode(found)).cast(kind)

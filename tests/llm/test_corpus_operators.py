@@ -1,9 +1,11 @@
 """Copies, contamination, media, archives and language against plain Python."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -190,6 +192,64 @@ def test_archives_by_range(spark, size):
     assert warc.write_archives(pages.limit(0), folder).count() == 0
 
 
+def member(kind, block, **named):
+    head = [f"WARC/1.0\r\nWARC-Type: {kind}"] + [f"{k.replace('_', '-')}: {v}" for k, v in named.items()]
+    if "Content_Length" not in named:
+        head.append(f"Content-Length: {len(block)}")
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1)
+
+
+def test_archives_of_other_writers(spark):
+    """Every kind of record, missing fields, chunked bodies, and a member of 40 MB."""
+    large = random.Random(2).randbytes(40 << 20)
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    chunks = b"5;x=y\r\nhello\r\n6\r\n world\r\n0\r\n\r\n"
+    http, chunked = b"HTTP/1.1 200 OK\r\n\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    long = b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n"
+    parts = [
+        (member("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:a>"), ("warcinfo", "<urn:a>", 13, b"software: x\r\n")),
+        (member("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type="application/http"), ("request", None, 0, b"")),
+        (member("response", http + b"no length"), ("response", None, 9, b"no length")),
+        (member("response", chunked + chunks, WARC_Payload_Digest=sha1(b"hello world")), ("response", None, 11, b"hello world")),
+        (member("response", chunked + chunks, WARC_Payload_Digest=sha1(chunks)), ("response", None, 11, b"hello world")),
+        (member("response", chunked + b"no chunks"), ("response", None, 9, b"no chunks")),
+        (member("response", http + b"x", WARC_Payload_Digest=sha1(b"y")), ("damaged", None, 1, b"x")),
+        (member("response", http + b"x", WARC_Payload_Digest="md5:00"), ("response", None, 1, b"x")),
+        (member("response", long + b"cut"), ("damaged", None, 99, b"cut")),
+        (member("response", long + b"cut", WARC_Truncated="length"), ("response", None, 99, b"cut")),
+        (member("resource", b"plain", WARC_Target_URI="f:x"), ("resource", None, 5, b"plain")),
+        (member("revisit", http), ("revisit", None, 0, None)),
+        (member("metadata", b"a: b", Content_Length="many"), ("metadata", None, 8, b"a: b\r\n\r\n")),
+        (gzip.compress(b"WARC/1.0\r\nno type\r\n\r\n"), ("damaged", None, None, None)),
+        (member("response", http + large), ("response", None, len(large), large)),
+        (member("response", http + b"last"), ("response", None, 4, b"last")),
+    ]
+    folder = uri(new_scratch(spark, "warc-test"))
+    store, base = pafs.FileSystem.from_uri(folder)
+    store.create_dir(base)
+    body = b"".join(p for p, _ in parts)
+    with store.open_output_stream(f"{base}/other.warc.gz", compression=None) as out:
+        out.write(body)
+    archives = spark.createDataFrame([("other.warc.gz", len(body))], "file string, bytes long")
+    start = time.perf_counter()
+    rows = warc.read_archives(archives, folder, range_bytes=16 << 20).orderBy("offset").collect()
+    assert time.perf_counter() - start < 60
+    got = [(r["record_type"], r["record_id"], r["payload_bytes"], None if r["payload"] is None else bytes(r["payload"])) for r in rows]
+    assert got == [want for _, want in parts]
+    assert rows[10]["target"] == "f:x"
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a\r\nWARC-Type: x", "> <", "ü/%20+", "plain"]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    folder = uri(new_scratch(spark, "warc-test"))
+    rows = warc.read_archives(warc.write_archives(pages, folder), folder)
+    found = rows.select(warc.page_of("record_id", "string").alias("i"), "record_type", warc.page_of("refers_to", "string").alias("r"))
+    assert {(r.i, r.record_type, r.r) for r in found.collect()} == {
+        (i, "response" if i == min(ids) else "revisit", None if i == min(ids) else min(ids)) for i in ids
+    }
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     folder = uri(new_scratch(spark, "warc-test"))
