@@ -3,9 +3,9 @@
 Documents are taken shard by shard.  Of a shard only the runs of words that the
 benchmark knows, as long as its shortest window, can hold a window; their
 suffixes are sorted into the shard's suffix array.  Every suffix of every
-benchmark item is then sought by binary search.  Its neighbours in the array
-give its longest verbatim match and where it is; where that is at least a window
-long, the array's range of the window gives all its places.
+benchmark item is then sought by binary search, many of them in step.  Its
+neighbours in the array give its longest verbatim match and where it is; where that
+is at least a window long, the array's range of the window gives all its places.
 
 A window is ``width`` consecutive words of an item; an item of fewer words, but
 not none, is one window.  A document word inside any window's occurrence is hit.
@@ -19,21 +19,24 @@ empty string.  Rows equal in id and text count as one document.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedline.llm.common import keyed, same_document, slices, utf8
+from feedline.llm.common import keyed, same_document, slices, stored, unused, utf8
 
 WIDTH = 13
 BLOCK_BYTES = 8 << 20
 # Text of one shard: its suffix array is built and searched in one go.
 SHARD_BYTES = 16 << 20
+# Words of a suffix that are compared at a time, and suffixes that are sought together.
+STEP = 16
+TOGETHER = 1 << 16
 # What does not belong to a word becomes a blank: all but 0-9, a-z and bytes beyond ASCII.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -45,23 +48,72 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Queries:
-    """The suffixes of some benchmark items, as big-endian word numbers so that bytes sort as words."""
+    """The suffixes of some benchmark items as positions in their numbered words, a zero after each item."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         self.numbers: dict[bytes, int] = {}
-        self.items, self.width = [], width
+        self.names, words, starts, owners, windows, lengths = [], [], [], [], [], []
         for name, text in items:
-            words = words_of(text)
-            if words:
-                ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-                self.items.append((name, np.array(ids, ">i4").tobytes(), min(width, len(words))))
-        self.shortest = min((w for _, _, w in self.items), default=width)
-        self.longest = max((len(s) // 4 for _, s, _ in self.items), default=0)
+            found = words_of(text)
+            if found:
+                window = min(width, len(found))
+                begin = sum(lengths) + len(lengths)
+                count = len(found) - window + 1
+                starts.append(np.arange(begin, begin + count))
+                owners.append(np.full(count, len(self.names)))
+                windows.append(np.full(count, window))
+                words += [self.numbers.setdefault(w, len(self.numbers) + 1) for w in found]
+                words.append(0)
+                lengths.append(len(found))
+                self.names.append(name)
+        empty = [np.empty(0, np.int64)]
+        self.starts, self.owners, self.windows = (np.concatenate(x or empty) for x in (starts, owners, windows))
+        self.begins = np.cumsum([0, *(n + 1 for n in lengths)])
+        self.longest = max(lengths, default=0)
+        self.shortest = int(self.windows.min(initial=width))
+        self.words = np.concatenate([np.array(words, np.int32), np.zeros(STEP, np.int32)])
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, len(words))
 
 
+def compared(text: np.ndarray, at: np.ndarray, queries: Queries, starts: np.ndarray, limits: np.ndarray) -> tuple:
+    """For each pair of places: words in common, and the sign of text against query at the first other word.
+
+    A pair ends at its limit or where the query's item ends; the sign is zero where
+    nothing differs up to there.  All pairs go on together, some words at a time.
+    """
+    same, sign = np.zeros(len(at), np.int64), np.zeros(len(at), np.int8)
+    going, step, done = np.arange(len(at)), np.arange(STEP), 0
+    while len(going):
+        left = text[np.minimum(at[going, None] + done + step, len(text) - 1)]
+        right = queries.words[np.minimum(starts[going, None] + done + step, len(queries.words) - 1)]
+        # Up to the limit, and no further than the zero that ends the item.
+        open_ = (done + step < limits[going, None]) & (np.cumsum(right == 0, axis=1) - (right == 0) == 0)
+        differ = (left != right) & open_
+        stops = differ | ~open_ | (right == 0)
+        first, some = stops.argmax(axis=1), stops.any(axis=1)
+        same[going] += np.where(some, first, STEP)
+        row = np.arange(len(going))
+        hit = differ[row, first] & some
+        sign[going[hit]] = np.sign(left[row, first] - right[row, first])[hit]
+        going = going[~some]
+        done += STEP
+    return same, sign
+
+
+def bound(text, array, queries, starts, limits, after: bool) -> np.ndarray:
+    """The first places in the suffix array not below the queries, or above them with ``after``; all at once."""
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(array), np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_]) // 2
+        _, sign = compared(text, array[middle], queries, starts[open_], limits[open_])
+        right = sign <= 0 if after else sign < 0
+        low[open_[right]] = middle[right] + 1
+        high[open_[~right]] = middle[~right]
+    return low
+
+
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes in the order of their first ``depth`` words, by prefix doubling."""
     rank = words.astype(np.int64)
@@ -80,13 +132,6 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common(left: bytes, right: bytes) -> int:
-    """Words that two byte strings share from their start."""
-    n = min(len(left), len(right)) // 4
-    differ = np.flatnonzero(np.frombuffer(left, ">i4", n) != np.frombuffer(right, ">i4", n))
-    return int(differ[0]) if len(differ) else n
-
-
 def search(numbered: list[np.ndarray], queries: Queries) -> list[tuple[int, int, str, int, int, int]]:
     """(document, item offset, item, match length, document offset, window) of all windows found in a shard.
 
@@ -94,7 +139,7 @@ def search(numbered: list[np.ndarray], queries: Queries) -> list[tuple[int, int,
     on; the places are those of its first window.
     """
     lengths = np.array([len(x) for x in numbered], np.int64)
-    if not queries.items or not lengths.sum():
+    if not queries.names or not lengths.sum():
         return []
     # A zero after each document: no run leads from one into the next.
     words = np.concatenate([np.append(x, np.int32(0)) for x in numbered])
@@ -107,31 +152,33 @@ def search(numbered: list[np.ndarray], queries: Queries) -> list[tuple[int, int,
     sizes = ends - begins + 1  # with the zero that ends the run
     at = np.repeat(begins - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
     text = words[at]
-    array = suffix_array(text, queries.longest).tolist()
-    body = text.astype(">i4").tobytes()
+    array = suffix_array(text, queries.longest)
     bounds = np.append(0, np.cumsum(lengths + 1))
+    whole = np.full(len(queries.starts), queries.longest)
     found = []
-    for name, item, window in queries.items:
-        for start in range(len(item) // 4 - window + 1):
-            suffix = item[4 * start :]
-            size = len(suffix)
-            place = bisect_left(array, suffix, key=lambda p, size=size: body[4 * p : 4 * p + size])
-            near = array[max(0, place - 1) : place + 1]
-            match = max(common(body[4 * p : 4 * p + size], suffix) for p in near)
-            if match < window:
-                continue
-            first, wide = suffix[: 4 * window], 4 * window
-            low = bisect_left(array, first, key=lambda p, wide=wide: body[4 * p : 4 * p + wide])
-            high = bisect_right(array, first, lo=low, key=lambda p, wide=wide: body[4 * p : 4 * p + wide])
-            places = at[array[low:high]]
-            owners = np.searchsorted(bounds, places, side="right") - 1
-            hits = zip(owners.tolist(), (places - bounds[owners]).tolist(), strict=True)
-            found.extend((doc, start, name, match, place, window) for doc, place in hits)
+    for begin_at in range(0, len(queries.starts), TOGETHER):
+        own = slice(begin_at, begin_at + TOGETHER)
+        starts, windows, owners = queries.starts[own], queries.windows[own], queries.owners[own]
+        place = bound(text, array, queries, starts, whole[own], after=False)
+        match = np.zeros(len(starts), np.int64)
+        for near in (place - 1, place):
+            there = np.flatnonzero((near >= 0) & (near < len(array)))
+            same, _ = compared(text, array[near[there]], queries, starts[there], whole[own][there])
+            match[there] = np.maximum(match[there], same)
+        good = np.flatnonzero(match >= windows)
+        low = bound(text, array, queries, starts[good], windows[good], after=False)
+        high = bound(text, array, queries, starts[good], windows[good], after=True)
+        for n, one, other in zip(good.tolist(), low.tolist(), high.tolist(), strict=True):
+            places = at[array[one:other]]
+            docs = np.searchsorted(bounds, places, side="right") - 1
+            offset, name = int(starts[n] - queries.begins[owners[n]]), queries.names[owners[n]]
+            hits = zip(docs.tolist(), (places - bounds[docs]).tolist(), strict=True)
+            found.extend((doc, offset, name, int(match[n]), place_in, int(windows[n])) for doc, place_in in hits)
     return found
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size; only one is with the driver at a time."""
+    """The benchmark in blocks of bounded size, one after another."""
     body = F.coalesce(F.col(text), F.lit(""))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), body.alias("text"))
     block, size = [], 0
@@ -164,8 +211,7 @@ def matches(
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     best = pa.struct([("words", pa.int64()), ("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64())])
 
-    def over(block: list[tuple[str, bytes]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    def over(shared: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries = Queries(shared.value, width)
             for part in slices(batches, "text", SHARD_BYTES):
@@ -199,12 +245,18 @@ def matches(
             "items array<string>, longest struct<words:long,item:string,item_at:long,at:long>",
         )
 
-    found, n = None, 0
-    for block in item_blocks(benchmark, item_id, item_text, block_bytes):
-        part = over(block)
-        found, n = (part if found is None else found.unionByName(part)), n + 1
-    if n == 1:
-        return found
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    context = docs.sparkSession.sparkContext
+    if second is None:
+        return over(context.broadcast(first))
+    # Each block's finds are stored before the next one comes, so that one is held at a time everywhere.
+    found = None
+    for block in chain([first, second], blocks):
+        shared = context.broadcast(block)
+        part = stored(over(shared), "matches")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
     # Several blocks: what they found of a document comes together, without its text.
     merged = found.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
@@ -241,6 +293,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str =
     shuffled only if those are too many to broadcast.
     """
     bad = contamination(docs, benchmark, doc_id=doc_id, text=text, **options).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    names = unused(docs, "bad_id"), unused(docs, "bad_key")
+    bad = bad.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1]))
     key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__id"]) & (key == bad["__key"]), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad[names[0]]) & (key == bad[names[1]]), "left_anti")

@@ -172,6 +172,43 @@ PAGES = [
 ]
 
 
+def test_many_items_take_little_more_time_than_few():
+    random.seed(9)
+    words = [f"w{i}".encode() for i in range(3000)]
+    items = [(str(n), b" ".join(random.choices(words, k=40))) for n in range(4000)]
+    texts = [b" ".join(random.choices(words, k=400)) for _ in range(500)]
+    for n in range(0, 4000, 40):
+        texts.append(b" ".join(random.choices(words, k=50)) + b" " + items[n][1] + b" " + items[n + 1][1][:150])
+
+    def timed(n):
+        start = time.perf_counter()
+        queries = decontam.Queries(items[:n], 13)
+        found = decontam.search([queries.numbered(decontam.words_of(t)) for t in texts], queries)
+        return time.perf_counter() - start, {f[2] for f in found if f[0] >= 500}
+
+    timed(10)
+    few, _ = timed(200)
+    many, names = timed(4000)
+    assert many < 12 * few
+    assert names >= {str(n) for n in range(0, 4000, 40)}
+
+
+def test_bounds_equal_plain_bisection():
+    random.seed(4)
+    items = [(str(n), " ".join(random.choices("abc", k=random.choice((1, 2, 20, 40)))).encode()) for n in range(30)]
+    queries = decontam.Queries(items, 5)
+    text = np.array([random.choice((0, 1, 2, 3)) for _ in range(600)] + [0], np.int32)
+    array = decontam.suffix_array(text, queries.longest)
+    limits = np.full(len(queries.starts), queries.longest)
+    stop = lambda start: start + list(queries.words[start:]).index(0)
+    for after, windows in ((False, limits), (False, queries.windows), (True, queries.windows)):
+        found = decontam.bound(text, array, queries, queries.starts, windows, after)
+        for start, width, place in zip(queries.starts.tolist(), windows.tolist(), found.tolist(), strict=True):
+            want = queries.words[start : min(start + width, stop(start))].tolist()
+            keys = [text[p : p + len(want)].tolist() for p in array.tolist()]
+            assert place == sum(k <= want if after else k < want for k in keys)
+
+
 @pytest.mark.parametrize("size", [64, 1000, 4 << 20])
 def test_archives_by_range(spark, size):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
