@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
