@@ -60,18 +60,6 @@ def decoded(content: Column, charset: str | None = None) -> Column:
     return _decoded(content, F.lit(charset).cast("string"))
 
 
-@F.pandas_udf(T.BinaryType())
-def gunzip(content: pd.Series) -> pd.Series:
-    """Gunzip what is gzipped, pass the rest through.
-
-    The sniffing is inside the function, not in a surrounding ``CASE``: Spark
-    may evaluate a Python function before the branch that guards it.
-    """
-    return content.map(
-        lambda raw: gzip.decompress(raw) if raw is not None and bytes(raw[:2]) == _GZIP_MAGIC else raw
-    )
-
-
 def document_text(content: Column, charset: str | None = None) -> Column:
     """Text of a raw feed file, without a byte order mark; null where it cannot be read (see ``decoded``)."""
     return decoded(content, charset)["doc"]
