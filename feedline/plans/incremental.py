@@ -393,12 +393,12 @@ def _two_runs(wanted: str) -> str:
 _ROOT = R.LINK_ROOT + "/"
 
 
-def _runs(spark, style: str, captures, first=F.col("year") < 1998, before=None, **options):
+def _runs(spark, style: str, captures, first: str = "year < 1998", before=None, **options):
     """Marks and links after two cycles over the captures that ``captures(condition)`` gives."""
     marks, out = new_scratch(spark, "marks"), new_scratch(spark, "links")
     if before is not None:
         save_checkpoint(before, marks)
-    for batch, condition in (("1", first), ("2", F.lit(True))):
+    for batch, condition in (("1", first), ("2", "true")):
         found = captures(condition)
         pages = {"day_pages": found[1]} if isinstance(found, tuple) else {}
         index = found[0] if pages else found
@@ -444,10 +444,11 @@ def cycle_catalog_json(spark, sf_dir):
 
     # A mark of eight digits, and a first day for the sources without one; the second run finds nothing new.
     before = spark.createDataFrame([("s3", "20960615")], "source STRING, mark STRING")
-    return _runs(spark, "catalog_json", captures, first=F.lit(True), before=before, start="2097-01-01")
+    return _runs(spark, "catalog_json", captures, first="true", before=before, start="2097-01-01")
 
 
-_ANCHOR = F.concat(F.lit('<li><a href="'), "href", F.lit('">x</a></li>'))
+def _anchor():
+    return F.concat(F.lit('<li><a href="'), "href", F.lit('">x</a></li>'))
 
 
 @query(
@@ -477,7 +478,7 @@ def cycle_paged_html(spark, sf_dir):
         shown = rows.where(~((kind == 0) & (F.col("page") == 3)) & ~((kind == 1) & (F.col("page") == 4)))
         repeated = F.when((kind == 0) & (F.col("page") == 2), F.array(F.lit(2), F.lit(3)))
         pages = shown.withColumn("page", F.explode(F.coalesce(repeated, F.array("page"))))
-        found = R.captured(pages, ["source", "page"], _ANCHOR, "<ul>", "<li><a href='/about.html'></a></li></ul>")
+        found = R.captured(pages, ["source", "page"], _anchor(), "<ul>", "<li><a href='/about.html'></a></li></ul>")
         return found.withColumnRenamed("body", "html").withColumn("url", F.lit(R.LINK_ROOT))
 
     # The second run is over the same pages: it finds nothing new and moves no mark.
@@ -526,7 +527,7 @@ def cycle_day_pages(spark, sf_dir):
         day = F.substring("file_date", 1, 8)
         page = F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2))
         dated = rows.withColumn("url", F.concat(F.lit(_ROOT), "source", F.lit("/"), page, F.lit(".html")))
-        pages = dated.groupBy("url").agg(R.joined(F.collect_list(F.struct("pos", "fname", _ANCHOR.alias("xml")))).alias("html"))
+        pages = dated.groupBy("url").agg(R.joined(F.collect_list(F.struct("pos", "fname", _anchor().alias("xml")))).alias("html"))
         listed = dated.select("source", "url").distinct().withColumn("xml", F.concat(F.lit('<a href="'), "url", F.lit('">d</a>')))
         index = listed.groupBy("source").agg(R.joined(F.collect_list(F.struct("url", "xml"))).alias("html"))
         return index.withColumn("url", F.lit(R.LINK_ROOT)), pages
