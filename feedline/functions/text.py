@@ -32,13 +32,19 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITE_SPACE))
 
 
+def _bare(text: Column) -> Column:
+    """:func:`strip`, which looks at nothing but the ends of a text where these are printable ASCII."""
+    ends = [F.ascii(text), F.ascii(F.substring(text, -1, 1))]
+    return F.when(ends[0].between(33, 126) & ends[1].between(33, 126), text).otherwise(strip(text))
+
+
 def first_text(*leaves: Column) -> Column:
     """First non-blank trimmed text among array-typed leaves, else null.
 
     Every leaf holds all occurrences of one tag in document order.  Where two
     different aliases occur in one element, the alias named first wins.
     """
-    found = [strip(F.get(F.filter(leaf, lambda t: strip(t) != ""), F.lit(0))) for leaf in leaves]
+    found = [F.get(F.filter(F.transform(leaf, _bare), lambda t: t != ""), F.lit(0)) for leaf in leaves]
     return found[0] if len(found) == 1 else F.coalesce(*found)
 
 

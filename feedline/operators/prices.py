@@ -101,9 +101,9 @@ def well_formed(doc: Column, parsed: Column) -> Column:
     empty_root = doc.rlike(r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*+<[^<>]*/>\s*$")
     closed = F.when(root == "", False).when(root == at_end, True).when(root == before_comments, True)
     # Nearly always the root's name is closed once, at the very end; only else follow its tags.
-    last = F.substring(doc, F.instr(doc, F.concat(F.lit("</"), root)), F.length(doc))
+    closings = F.regexp_count(doc, F.concat(F.lit(r"</\Q"), root, F.lit(r"\E")))
     opened = ~doc.rlike(r"""(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![A-Za-z][^>]*>)*+<(?:[^<>"']|"[^"]*"|'[^']*')*+(?<=/)>""")
-    plain = (root == at_end) & opened & last.rlike(r"^</[^\s<>]+\s*>\s*$")
+    plain = (root == at_end) & opened & (closings == 1)
     whole = F.when(root == "", F.lit(False)).when(plain, F.lit(True)).otherwise(_one_root(doc, root))
     return doc.isNotNull() & parsed[_CORRUPT].isNull() & closed.otherwise(empty_root) & whole
 
@@ -113,19 +113,26 @@ def filled(*arrays: Column) -> Column:
     return sum((F.when(F.size(a) > 0, 1).otherwise(0) for a in arrays), F.lit(0))
 
 
-def read_documents(
+def read_items(
     raw: DataFrame,
     schema: str,
+    head: dict[str, Callable[[Column], Column]],
+    items: Callable[[Column], Column],
     odd: Callable[[Column, Column], Column],
     unify: Callable[[Column], Column],
     doc: str = "doc",
     keep: tuple[str, ...] = (),
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """``keep`` columns, the parsed document ``x`` and ``reason``, null for a document that was read.
+    """``keep`` and ``head`` columns, ``reason``, ``pos`` and ``item``: a row for each item of a document that was read.
+
+    A document without items, and one that is rejected, has one row without ``pos``;
+    ``reason`` is null for all but the rejected ones.  ``head`` and ``items`` are
+    functions of the parsed document.
 
     A document for which ``odd(parsed, text)`` holds is written anew by ``unify`` and
-    parsed once more, no other is.  A rejected document has no ``x``.
+    parsed once more, no other is.  Only its text goes to Python, never a parsed
+    document: what goes there waits in memory for its batch.
     """
     # Generated from a one-element array: a filter on what was parsed then stays
     # above the parser instead of parsing once more below it.
@@ -134,15 +141,30 @@ def read_documents(
     )
     judged = parsed.select(*keep, "x", "_doc", well_formed(F.col("_doc"), F.col("x")).alias("_ok"))
     again = F.when(F.col("_ok") & F.coalesce(odd(F.col("x"), F.col("_doc")), F.lit(False)), F.col("_doc"))
-    reason = F.when(F.col("_doc").isNull(), "no text").when(~F.col("_ok"), "not well-formed")
-    written = judged.select(*keep, "x", reason.alias("_reason"), unify(again).alias("_again"))
-    reread = F.explode_outer(F.array(parse_xml(F.col("_again.doc"), schema, mode))).alias("_y")
-    both = written.select(*keep, "x", "_reason", F.col("_again.error").alias("_error"), F.col("_again.doc").isNotNull().alias("_odd"), reread)
+    refused = F.when(F.col("_doc").isNull(), "no text").when(~F.col("_ok"), "not well-formed")
+    told = judged.select(*keep, "x", refused.alias("_refused"), again.alias("_again"))
+    plain = F.when(F.col("_refused").isNull() & F.col("_again").isNull(), items(F.col("x")))
+    stated = [make(F.col("x")).alias(f"_h_{name}") for name, make in head.items()]
+    listed = told.select(*keep, *stated, "_refused", "_again", plain.alias("_items"))
+    held = (*keep, *[f"_h_{name}" for name in head], "_refused")
+    # An odd document has one row here, with its text; of the others only items go on.
+    first = listed.select(*held, "_again", F.posexplode_outer("_items").alias("_pos", "_item"))
+    written = first.select(*held, "_pos", "_item", unify(F.col("_again")).alias("_new"))
+    reread = F.explode_outer(F.array(parse_xml(F.col("_new.doc"), schema, mode))).alias("_y")
+    both = written.select(
+        *held, "_pos", "_item", F.col("_new.error").alias("_error"), F.col("_new.doc").isNotNull().alias("_odd"), reread
+    )
     failed = F.when(F.col("_error").isNotNull(), F.concat(F.lit("second reading: "), F.col("_error")))
     failed = failed.when(F.col("_odd") & F.col(f"_y.{_CORRUPT}").isNotNull(), "second reading: not parsed")
-    final = both.select(*keep, "x", "_odd", "_y", F.coalesce("_reason", failed).alias("reason"))
-    read = F.when(F.col("reason").isNull(), F.when(F.col("_odd"), F.col("_y")).otherwise(F.col("x")))
-    return final.select(*keep, read.alias("x"), "reason")
+    final = both.select(*held, "_pos", "_item", "_odd", "_y", F.coalesce("_refused", failed).alias("reason"))
+    anew = F.transform(items(F.col("_y")), lambda item, n: F.struct(n.alias("pos"), item.alias("item")))
+    own = F.array(F.struct(F.col("_pos").alias("pos"), F.col("_item").alias("item")))
+    found = F.when(F.col("_odd"), F.when(F.col("reason").isNull(), anew)).otherwise(own)
+    titled = {n: F.when(F.col("_odd"), make(F.col("_y"))).otherwise(F.col(f"_h_{n}")) for n, make in head.items()}
+    named = [F.when(F.col("reason").isNull(), text).alias(n) for n, text in titled.items()]
+    rows = final.select(*keep, *named, "reason", found.alias("_found"))
+    rows = rows.select(*keep, *head, "reason", F.explode_outer("_found").alias("_found"))
+    return rows.select(*keep, *head, "reason", "_found.pos", "_found.item")
 
 
 def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFrame:
@@ -155,20 +177,20 @@ def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFram
     return df.select(*rest, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
-def price_documents(
+def price_items(
     raw: DataFrame,
     doc: str = "doc",
     keep: tuple[str, ...] = (),
     item_tags: tuple[str, ...] = ITEM_TAGS,
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """One row per document: ``keep``, ``superProvider``, ``storeId``, ``_items`` and ``reason``.
+    """One row per item: ``keep``, ``superProvider``, ``storeId``, ``reason``, ``pos`` and ``item``.
 
-    ``reason`` says why a document is rejected whole, and is null for the others.
-    The items are all children of the first ``Items`` child of the root, whatever
-    their tag, in document order; where that takes a second parse (several item tags,
-    tags beyond ``item_tags``, two aliases of a field in one item), and only there,
-    the document is parsed again with one name for each.
+    ``reason`` says why a document is rejected whole, in a row without ``pos``, and is
+    null for the others.  The items are all children of the first ``Items`` child of
+    the root, whatever their tag, in document order; where that takes a second parse
+    (several item tags, tags beyond ``item_tags``, two aliases of a field in one item),
+    and only there, the document is parsed again with one name for each.
     """
     aliases = [tags for tags, _ in PRICE_FIELDS.values() if len(tags) > 1]
 
@@ -176,22 +198,17 @@ def price_documents(
         found = [filled(*[item[tag] for tag in tags]) > 1 for tags in aliases]
         return reduce(lambda a, b: a | b, found)
 
-    def odd(x: Column, _: Column) -> Column:
+    def children(x: Column) -> list[Column]:
         container = F.get(x["Items"], F.lit(0))
-        children = [container[tag] for tag in item_tags]
-        mixed = (filled(container[ANY]) > 0) | (filled(*children) > 1)
-        return mixed | F.coalesce(F.exists(join_arrays(*children), doubled), F.lit(False))
+        return [container[tag] for tag in item_tags]
 
+    def odd(x: Column, _: Column) -> Column:
+        mixed = (filled(F.get(x["Items"], F.lit(0))[ANY]) > 0) | (filled(*children(x)) > 1)
+        return mixed | F.coalesce(F.exists(join_arrays(*children(x)), doubled), F.lit(False))
+
+    head = {"superProvider": lambda x: first_text(x["ChainId"]), "storeId": lambda x: first_text(x["StoreId"])}
     unify = unified_prices(item_tags[0], aliases)
-    documents = read_documents(raw, price_schema(item_tags), odd, unify, doc, keep, mode)
-    container = F.get(F.col("x.Items"), F.lit(0))
-    return documents.select(
-        *keep,
-        first_text(F.col("x.ChainId")).alias("superProvider"),
-        first_text(F.col("x.StoreId")).alias("storeId"),
-        F.when(F.col("x").isNotNull(), join_arrays(*[container[tag] for tag in item_tags])).alias("_items"),
-        "reason",
-    )
+    return read_items(raw, price_schema(item_tags), head, lambda x: join_arrays(*children(x)), odd, unify, doc, keep, mode)
 
 
 def _price_rows(items: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -224,8 +241,7 @@ def parse_prices(
     it fails the query.
     """
     # Only the header texts travel with each item, never the whole document.
-    listed = price_documents(raw, doc, keep, item_tags, mode).drop("reason")
-    return _price_rows(exploded(listed, "_items", "item"), keep)
+    return _price_rows(price_items(raw, doc, keep, item_tags, mode).where("pos IS NOT NULL"), keep)
 
 
 def price_outcomes(
@@ -236,8 +252,7 @@ def price_outcomes(
     ``reason`` tells them apart: null for an item, else why the document was rejected
     (its record columns are null).
     """
-    listed = price_documents(raw, doc, keep, item_tags)
-    rows = listed.select(*keep, "superProvider", "storeId", "reason", F.posexplode_outer("_items").alias("pos", "item"))
+    rows = price_items(raw, doc, keep, item_tags)
     return _price_rows(rows.where("pos IS NOT NULL OR reason IS NOT NULL"), (*keep, "reason"))
 
 
@@ -247,10 +262,10 @@ def quarantine(raw: DataFrame, schema: str | None = None, doc: str = "doc", keep
     Price documents, unless the schema is that of promotions.
     """
     if schema is not None and schema != price_schema():
-        from feedline.operators.promotions import promotion_documents
+        from feedline.operators.promotions import promotion_list
 
-        return promotion_documents(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
-    return price_documents(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
+        return promotion_list(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
+    return price_items(raw, doc, keep).where("reason IS NOT NULL").select(*keep, "reason")
 
 
 def with_typed_times(prices: DataFrame) -> DataFrame:

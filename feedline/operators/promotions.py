@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedline.functions.text import first_text, iso_ts_hour, number_of
 from feedline.functions.unify import unified_promotions
-from feedline.operators.prices import ANY, exploded, filled, join_arrays, read_documents
+from feedline.operators.prices import ANY, exploded, filled, join_arrays, read_items
 
 # Fields a promotion or group states for its items.
 INHERITED = {
@@ -114,12 +114,13 @@ def _item_record(texts: Column) -> Column:
     )
 
 
-def promotion_documents(
+def promotion_list(
     raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), mode: str = "PERMISSIVE"
 ) -> DataFrame:
-    """One row per document: ``keep``, ``providerId``, ``storeId``, ``_promotions`` and ``reason``.
+    """One row per promotion: ``keep``, ``providerId``, ``storeId``, ``reason``, ``pos`` and ``p``.
 
-    ``reason`` says why a document is rejected whole, and is null for the others.
+    ``reason`` says why a document is rejected whole, in a row without ``pos``, and is
+    null for the others.
     Promotions are read at any depth, also inside each other, in the order they
     begin, and their items are all children of the first ``PromotionItems``.  The
     schema knows promotions below the root and its ``Promotions`` and two item tags;
@@ -139,15 +140,10 @@ def promotion_documents(
         mixed = (opened != F.size(listed)) | (filled(below, x["Promotion"]) > 1)
         return mixed | F.coalesce(F.exists(listed, lambda p: _odd_items(p) | _doubled(p)), F.lit(False))
 
+    head = {"providerId": lambda x: first_text(x["ChainID"]), "storeId": lambda x: first_text(x["StoreID"])}
     unify = unified_promotions(PROMOTION_ITEM_TAGS[0], list(_ALIASES))
-    documents = read_documents(raw, promotion_schema(), odd, unify, doc, keep, mode)
-    return documents.select(
-        *keep,
-        first_text(F.col("x.ChainID")).alias("providerId"),
-        first_text(F.col("x.StoreID")).alias("storeId"),
-        F.when(F.col("x").isNotNull(), near(F.col("x"))[1]).alias("_promotions"),
-        "reason",
-    )
+    rows = read_items(raw, promotion_schema(), head, lambda x: near(x)[1], odd, unify, doc, keep, mode)
+    return rows.withColumnRenamed("item", "p")
 
 
 def parse_promotions(
@@ -160,8 +156,7 @@ def parse_promotions(
     rows (see :func:`promotion_outcomes`).
     """
     # Only the header texts travel with each promotion, never the whole document.
-    listed = promotion_documents(raw, doc, keep, mode).drop("reason")
-    return _promotion_rows(exploded(listed, "_promotions", "p"), keep)
+    return _promotion_rows(promotion_list(raw, doc, keep, mode).where("pos IS NOT NULL"), keep)
 
 
 def promotion_outcomes(raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -169,8 +164,7 @@ def promotion_outcomes(raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] =
 
     ``reason`` is null for a promotion, else why the document was rejected.
     """
-    listed = promotion_documents(raw, doc, keep)
-    rows = listed.select(*keep, "providerId", "storeId", "reason", F.posexplode_outer("_promotions").alias("pos", "p"))
+    rows = promotion_list(raw, doc, keep)
     return _promotion_rows(rows.where("pos IS NOT NULL OR reason IS NOT NULL"), (*keep, "reason"))
 
 
