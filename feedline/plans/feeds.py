@@ -9,14 +9,14 @@ from feedline.operators import prices, promotions
 from feedline.plans import expected as E
 from feedline.plans import rendering as R
 from feedline.plans.registry import query
-from feedline.sources.raw import document_text
+from feedline.sources.raw import documents
 
 
 def price_feed(spark, sf_dir):
     """Price documents as stored files, every other supplier's gzipped."""
     docs = R.price_documents(spark, sf_dir)
     files = R.as_files(docs, F.col("l_suppkey") % 2 == 0)
-    return files.select("file", document_text(F.col("content")).alias("doc"))
+    return documents(files, ("file",)).drop("error")
 
 
 _KEY = """'72900' || s_nationkey AS "superProvider", lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS "storeId",
@@ -246,7 +246,7 @@ def outcomes(spark, sf_dir):
 def promotion_feed(spark, sf_dir):
     """Promotion documents as stored files, every other one gzipped."""
     files = R.as_files(R.promotion_documents(spark, sf_dir), F.col("bucket") % 2 == 0)
-    return files.select("file", document_text(F.col("content")).alias("doc"))
+    return documents(files, ("file",)).drop("error")
 
 
 _N = R.PROMOTIONS_PER_DOCUMENT

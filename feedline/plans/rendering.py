@@ -8,8 +8,11 @@ never by a key alone.
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +46,19 @@ def element(tag: str, value: str | Column) -> Column:
     return F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))
 
 
-@F.pandas_udf(T.BinaryType())
-def gzipped(content: pd.Series) -> pd.Series:
-    return content.map(lambda raw: None if raw is None else gzip.compress(bytes(raw), 1, mtime=0))
+# Bytes of files a Python task holds at once; a larger file is held alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of about ``SLICE_BYTES`` of a column, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def joined(rows: Column) -> Column:
@@ -170,8 +183,20 @@ def price_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_files(documents: DataFrame, zipped: Column, keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """``content`` bytes of documents, gzipped where the flag says so."""
-    raw = documents.withColumn("_plain", F.encode("doc", "UTF-8")).withColumn("_gz", gzipped("_plain"))
-    return raw.select(*keep, F.when(zipped, F.col("_gz")).otherwise(F.col("_plain")).alias("content"))
+    rows = documents.select(*keep, F.encode("doc", "UTF-8").alias("content"), zipped.alias("_zipped"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "content"):
+                flags = part.column("_zipped").to_pylist()
+                stored = [
+                    gzip.compress(raw, 1, mtime=0) if raw is not None and flag else raw
+                    for raw, flag in zip(part.column("content").to_pylist(), flags, strict=True)
+                ]
+                held = part.select(list(keep)).columns
+                yield pa.RecordBatch.from_arrays([*held, pa.array(stored, pa.binary())], [*keep, "content"])
+
+    return rows.mapInArrow(packed, T.StructType([*[rows.schema[c] for c in keep], T.StructField("content", T.BinaryType())]))
 
 
 # --- promotion feeds -------------------------------------------------------

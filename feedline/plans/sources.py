@@ -24,11 +24,11 @@ def raw_scan(spark, sf_dir):
     path = new_scratch(spark, "raw")
     R.write_part_files(spark, sf_dir, path)
     files = raw.read_raw(spark, path)
-    doc = raw.document_text(F.col("content"))
-    return files.select(
+    zipped = files.withColumn("zipped", F.hex(F.substring("content", 1, 2)) == "1F8B")
+    return raw.documents(zipped, ("path", "zipped")).select(
         F.regexp_extract("path", r"file=([0-9]+)/", 1).alias("file"),
-        (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("zipped"),
-        F.size(F.regexp_extract_all(doc, F.lit("<Item>"), F.lit(0))).cast("bigint").alias("n_items"),
+        "zipped",
+        F.size(F.regexp_extract_all("doc", F.lit("<Item>"), F.lit(0))).cast("bigint").alias("n_items"),
     )
 
 
@@ -36,11 +36,8 @@ def raw_scan(spark, sf_dir):
 def sniffed(spark, sf_dir):
     pages = R.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("doc"))
     files = R.as_files(pages, F.col("page_id") % 2 == 0, keep=("page_id",))
-    return files.select(
-        "page_id",
-        (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("zipped"),
-        F.sha2(raw.document_text(F.col("content")), 256).alias("digest"),
-    )
+    zipped = files.withColumn("zipped", F.hex(F.substring("content", 1, 2)) == "1F8B")
+    return raw.documents(zipped, ("page_id", "zipped")).select("page_id", "zipped", F.sha2("doc", 256).alias("digest"))
 
 
 def responses(spark, sf_dir):

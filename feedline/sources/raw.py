@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import re
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,37 @@ def document_text(content: Column, charset: str | None = None) -> Column:
     return decoded(content, charset)["doc"]
 
 
+# Characters of text a Python task holds at once; a longer file is held alone.
+SLICE = 4 << 20
+
+
+def documents(
+    raw: DataFrame, keep: tuple[str, ...] = (), charset: str | None = None, content: str = "content"
+) -> DataFrame:
+    """``keep``, ``doc`` and ``error`` of raw feed files: :func:`decoded` for tables of any size.
+
+    A batch of packed files is many times as large unpacked, so its texts leave
+    Python in slices.
+    """
+    told = [T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, files = batch.select(list(keep)), batch.column(content)
+            start, texts, size = 0, [], 0
+            for n in range(batch.num_rows):
+                texts.append(_text(files[n].as_py(), charset))
+                size += len(texts[-1][0] or "")
+                if size >= SLICE or n + 1 == batch.num_rows:
+                    found = [pa.array(column, pa.string()) for column in zip(*texts, strict=True)]
+                    held = kept.slice(start, len(texts)).columns
+                    yield pa.RecordBatch.from_arrays([*held, *found], [*keep, "doc", "error"])
+                    start, texts, size = n + 1, [], 0
+
+    schema = T.StructType([*[raw.schema[c] for c in keep], *told])
+    return raw.select(*keep, content).mapInArrow(read, schema)
+
+
 def read_raw(
     spark: SparkSession, path: str | list[str], glob: str | None = None, text: bool = False
 ) -> DataFrame:
@@ -100,7 +133,7 @@ def stream_raw(
 
 
 def _with_text(raw: DataFrame) -> DataFrame:
-    return raw.select("path", "length", document_text(F.col("content")).alias("doc"))
+    return documents(raw, ("path", "length")).drop("error")
 
 
 def read_pages(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from feedline.operators.dedup import dedup_last
 from feedline.operators.prices import parse_prices, price_outcomes
 from feedline.operators.promotions import parse_promotions, promotion_outcomes
 from feedline.sources import versions
-from feedline.sources.raw import decoded, stream_raw
+from feedline.sources.raw import documents, stream_raw
 
 EVERY = "6 hours"
 # Runs of one level that become one of the next.
@@ -46,8 +46,7 @@ def promotion_stream_outcomes(spark: SparkSession, path: str, glob: str | None =
 
 
 def _readable(raw: DataFrame) -> DataFrame:
-    read = raw.select("path", decoded(F.col("content")).alias("_read"))
-    return read.select("path", "_read.doc", "_read.error")
+    return documents(raw, ("path",))
 
 
 def stream_messages(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
