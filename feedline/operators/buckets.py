@@ -104,7 +104,8 @@ def merge(
             merged = _read(spark, content, touched).unionByName(held, allowMissingColumns=True)
         rows = upsert(merged, merged.limit(0), keys, order).withColumn(BUCKET, place)
         target = versions.new_folder(path)
-        rows.repartition(len(touched), BUCKET).write.partitionBy(BUCKET).parquet(target)
+        # One task would write a large bucket alone: AQE splits such a one and joins small ones.
+        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(target)
         schema = content["schema"] if content else held.schema.jsonValue()
         return {**known, "schema": schema, "folders": {**known["folders"], **{str(b): target for b in touched}}}
 

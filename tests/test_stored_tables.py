@@ -155,3 +155,18 @@ def test_cycles_side_by_side_keep_their_marks(spark, tmp_path, monkeypatch):
     assert marks.commit_checkpoint(spark.createDataFrame([("a", "9"), ("b", None)], marks.MARK_SCHEMA), path) == 3
     assert dict(marks.load_checkpoint(spark, path).collect()) == {"a": "9", "b": "5", "c": "2"}
     assert late == [2]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "32KB")
+        spark.conf.set(names[1], "false")
+        batch = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")).repartition(4)
+        buckets.merge(batch, str(tmp_path / "t"), ["id"], ["v"], buckets=1)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) > 1
+    assert buckets.read_table(spark, str(tmp_path / "t")).distinct().count() == 40_000
