@@ -154,14 +154,14 @@ def test_no_parsed_document_waits_for_python(spark, plan):
         assert inputs and not any(name in line for line in inputs for name in (" x#", "[x#", "_items#"))
 
 
-def test_packed_files_leave_python_in_slices(spark, plan):
+def test_packed_files_leave_python_in_slices(spark, plan, tmp_path):
     texts = ["a" * (raw.SLICE + 1), "é", None, "b" * (raw.SLICE // 2), "c" * raw.SLICE, "d"]
     rows = [(i, None if t is None else gzip.compress(t.encode())) for i, t in enumerate(texts)] + [(6, b"\x1f\x8bno"), (7, b"plain")]
     found = raw.documents(spark.createDataFrame(rows, "id INT, content BINARY").coalesce(1), ("id",))
     assert {r.id: (r.doc, bool(r.error)) for r in found.collect()} == {
         **{i: (t, t is None) for i, t in enumerate(texts)}, 6: (None, True), 7: ("plain", False)
     }
-    assert "ArrowEvalPython" not in plan(raw.read_raw(spark, "/root/testdata/sf0.001", text=True), "formatted")
+    assert "ArrowEvalPython" not in plan(raw.read_raw(spark, str(tmp_path), text=True), "formatted")
 
 
 def test_misnamed_files(spark, tmp_path):
