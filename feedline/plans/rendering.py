@@ -21,6 +21,8 @@ from feedline.operators.dedup import dedup_last
 
 ITEMS_PER_DOCUMENT = 500
 PROMOTIONS_PER_DOCUMENT = 50
+# Documents are written, packed and read in tasks of about so many promotions.
+PROMOTIONS_PER_TASK = 20_000
 PARTS_PER_FILE = 100
 ROWS_PER_RESPONSE = 1000
 PAGES_PER_CAPTURE = 50
@@ -63,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def joined(rows: Column) -> Column:
     """The ``xml`` of collected ``(order, xml)`` rows, in order."""
-    return F.array_join(F.transform(F.array_sort(rows), lambda r: r["xml"]), "")
+    return F.array_join(F.sort_array(rows)["xml"], "")
 
 
 # --- price feeds -----------------------------------------------------------
@@ -296,7 +298,9 @@ def promotion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(key / PROMOTIONS_PER_DOCUMENT).alias("bucket"),
         F.struct("o_orderkey", promotion.alias("xml")).alias("row"),
     )
-    docs = rows.groupBy("bucket").agg(joined(F.collect_list("row")).alias("xml"))
+    # Packing and reading follow in the same task, so that its size is what memory has to hold.
+    tasks = table(spark, sf_dir, "orders").count() // PROMOTIONS_PER_TASK + spark.sparkContext.defaultParallelism
+    docs = rows.repartition(tasks, "bucket").groupBy("bucket").agg(joined(F.collect_list("row")).alias("xml"))
     root = F.concat(
         element("ChainID", F.concat(F.lit("C"), text(F.col("bucket") % 7))),
         element("StoreID", F.concat(F.lit("S"), text(F.col("bucket") % 11))),
@@ -419,8 +423,8 @@ def captured(rows: DataFrame, by: list[str], body: Column, before: str, after: s
     """``by`` and ``body``: the rows of a listing as captures of at most some hundred, in order."""
     chunk = F.floor(F.col("pos") / 2000).alias("chunk")
     held = rows.select(*by, chunk, F.struct("pos", "fname", body.alias("xml")).alias("row"))
-    grouped = held.groupBy(*by, "chunk").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    inner = F.array_join(F.transform("rows", lambda r: r["xml"]), between)
+    grouped = held.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    inner = F.array_join(F.col("rows")["xml"], between)
     return grouped.select(*by, "chunk", F.concat(F.lit(before), inner, F.lit(after)).alias("body"))
 
 

@@ -294,3 +294,23 @@ def test_odd_members_of_a_listing(spark):
     odd = listings.odd_members(df, "body", keep=("id",)).orderBy("pos").collect()
     assert [(r.id, r.pos, r.member) for r in odd] == [(1, 1, "17"), (1, 2, None), (1, 3, "text"), (1, 4, "[1]")]
     assert [r.n_rows for r in listings.listing_totals(df, "body", keep=("id",)).orderBy("id").collect()] == [7, 0, 0, 0]
+
+
+def test_promotion_documents_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Packing and reading hold a task's documents in memory, so a task has a bounded number of them."""
+    from feedline.plans import rendering as R
+
+    n = F.col("id")
+    spark.range(2000).select(
+        n.alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), n.cast("double").alias("o_totalprice"),
+        F.lit("1998-01-01").cast("timestamp").alias("o_orderdate"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(2000).select(
+        n.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), n.alias("l_partkey"), n.alias("l_suppkey"),
+        F.lit(1.0).alias("l_quantity"), F.lit(2.0).alias("l_extendedprice"),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(R, "PROMOTIONS_PER_TASK", 50, raising=False)
+    docs = R.promotion_documents(spark, str(tmp_path))
+    held = docs.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert held.sum() == 40
+    assert held.max() <= 8
