@@ -26,9 +26,14 @@ HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<![A-Za-z][^>]*>|<
 ATTRIBUTE = r"""[\s/]([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
+# How anything hidden begins; most pages are only searched for it.
+_HIDDEN_START = r"(?i)<(?:[!?]|script|style)"
+
+
 def visible(html: Column) -> Column:
     """The markup without comments, declarations, scripts and styles."""
-    return F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
+    text = F.coalesce(html, F.lit(""))
+    return F.when(text.rlike(_HIDDEN_START), F.regexp_replace(text, HIDDEN, "")).otherwise(text)
 
 
 # Windows-1252 for 128-159; what it leaves undefined stays as it is.
@@ -88,20 +93,26 @@ def unescape(col: Column, attribute: bool = False) -> Column:
         ).otherwise(piece)
 
     pieces = F.regexp_extract_all(col, F.lit(reference), F.lit(0))
-    return F.when(col.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(col)
+    # The most frequent reference, where no other is, needs no table of names.
+    amp, only_amp = F.lit("&amp;"), ~F.replace(col, F.lit("&amp;"), F.lit("")).contains("&")
+    decoded = F.when(only_amp, F.replace(col, amp, F.lit("&"))).otherwise(F.array_join(F.transform(pieces, decode), ""))
+    return F.when(col.contains("&"), decoded).otherwise(col)
 
 
 def attribute_values(tag: Column, name: str) -> Column:
     """All values of one attribute in a tag, decoded, in order."""
+    # Most tags that are looked at have this attribute alone, in quotes and without references.
+    alone = rf"""^<[A-Za-z][0-9A-Za-z]*\s+(?i:{name})="([^"&]*+)"\s*>\z"""
     pattern = F.lit(ATTRIBUTE)
     pairs = F.arrays_zip(
         F.regexp_extract_all(tag, pattern, F.lit(1)).alias("name"),
         F.regexp_extract_all(tag, pattern, F.lit(2)).alias("value"),
     )
     named = F.filter(pairs, lambda p: F.lower(p["name"]) == name)
-    return F.transform(
+    values = F.transform(
         named, lambda p: unescape(F.regexp_replace(p["value"], r"""(?s)^(["'])(.*)\1$""", "$2"), attribute=True)
     )
+    return F.when(tag.rlike(alone), F.array(F.regexp_extract(tag, alone, 1))).otherwise(values)
 
 
 def class_tokens(tag: Column) -> Column:

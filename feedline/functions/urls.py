@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # The component pattern of RFC 3986, appendix B.
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
+# Printable ASCII without parameters, whose last segment is neither empty nor a dot.
+_PLAIN = r"""^https?://[!-"$-:<->@-~]+/(?!\.\z)[!-"$-.0-:<->@-~]+\z"""
+
 
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
@@ -77,8 +80,19 @@ def resolve_url(href: Column, base: Column | None) -> Column:
         .when(link.startswith("/"), F.concat(root, _collapse_dots(absolute), tail))
         .otherwise(F.concat(root, _collapse_dots(relative), tail))
     )
-    tidy = F.regexp_replace(resolved, r"\?(?=#|$)|#$", "")
-    return F.when(base.isNull() | (base == "") | foreign, href).otherwise(tidy)
+    def tidy(url: Column) -> Column:
+        return F.when(url.contains("?") | url.contains("#"), F.regexp_replace(url, r"\?(?=#|$)|#$", "")).otherwise(url)
+
+    # Nearly all links are whole or begin at the root of a web page: these need not be taken apart.
+    secure, open_ = (href.startswith(s) & base.startswith(s) for s in ("https://", "http://"))
+    web = (base.startswith("https://") | base.startswith("http://")) & ~base.contains("?") & ~base.contains("#")
+    rooted = web & href.startswith("/") & ~href.startswith("//") & ~href.contains("/.")
+    return (
+        F.when(secure | open_, tidy(href))
+        .when(rooted, tidy(F.concat(F.substring_index(base, "/", 3), href)))
+        .when(base.isNull() | (base == "") | foreign, href)
+        .otherwise(tidy(resolved))
+    )
 
 
 def has_suffix(url: Column, suffixes: tuple[str, ...]) -> Column:
@@ -93,6 +107,8 @@ def has_suffix(url: Column, suffixes: tuple[str, ...]) -> Column:
 def file_name(url: Column, fallback: str | None = "download") -> Column:
     """Last path segment; closing slashes and ``.`` segments do not count."""
     name = F.regexp_extract(F.regexp_replace(url_path(url), r"(?:/+\.?)+$", ""), r"([^/]*)$", 1)
+    # A plain web address without parameters ends with the name.
+    name = F.when(url.rlike(_PLAIN), F.substring_index(url, "/", -1)).otherwise(name)
     if fallback is None:
         return name
     return F.when(name == "", F.lit(fallback)).otherwise(name)

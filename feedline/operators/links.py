@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedline.functions import markup
 from feedline.functions.urls import has_suffix, resolve_url
+from feedline.operators.prices import exploded
 
 
 def extract_links(
@@ -29,7 +30,7 @@ def extract_links(
         (F.lit(None).cast("string") if base is None else base).alias("_base"),
         markup.hrefs(F.col(html)).alias("_hrefs"),
     )
-    found = based.select(*keep, "_base", F.posexplode("_hrefs").alias("pos", "href"))
+    found = exploded(based.select(*keep, "_base", "_hrefs"), "_hrefs", "href")
     links = found.select(
         *keep, "pos", "href", resolve_url(F.col("href"), F.col("_base")).alias("link")
     )
@@ -52,7 +53,7 @@ def table_links(
     whole = F.lit(0)
     tables = F.filter(
         F.regexp_extract_all(
-            markup.visible(F.col(html)), F.lit(r"(?is)<table\b[^>]*>.*?</table\s*>"), whole
+            markup.visible(F.col(html)), F.lit(r"(?is)<table\b[^>]*>(?:[^<]+|<(?!/table\s*>))*+</table\s*>"), whole
         ),
         lambda t: F.array_contains(
             markup.class_tokens(F.regexp_extract(t, r"(?is)^<table\b[^>]*>", 0)), table_class
@@ -60,21 +61,19 @@ def table_links(
     )
 
     def inner(part: Column, tag: str) -> Column:
-        return F.regexp_extract_all(part, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+        return F.regexp_extract_all(part, F.lit(rf"(?is)<{tag}\b[^>]*>((?:[^<]+|<(?!/{tag}\s*>))*+)</{tag}\s*>"), F.lit(1))
 
     bodies = F.flatten(F.transform(tables, lambda t: inner(t, "tbody")))
     rows = F.flatten(F.transform(bodies, lambda b: inner(b, "tr")))
-    based = pages.select(
-        *keep,
-        (F.lit(None).cast("string") if base is None else base).alias("_base"),
-        F.transform(rows, lambda r: inner(r, "td")).alias("_rows"),
-    )
-    cells = based.select(*keep, "_base", F.posexplode("_rows").alias("pos", "_cells"))
+    # Step by step, since a value that is used twice would be computed twice.
+    cells = F.transform(rows, lambda r: inner(r, "td"))
+    linked = F.transform(cells, lambda c: F.when(F.size(c) >= min_cells, F.get(c, F.lit(link_cell - 1))))
     # Only the first anchor of the cell counts, whether or not it has a link.
-    anchor = F.regexp_extract(F.get("_cells", F.lit(link_cell - 1)), r"(?is)<a\b[^>]*>", 0)
-    rows_with = cells.where(F.size("_cells") >= min_cells).select(
-        *keep, "_base", "pos", F.get(markup.attribute_values(anchor, "href"), F.lit(0)).alias("href")
+    anchors = F.transform(linked, lambda cell: F.regexp_extract(cell, r"(?is)<a\b[^>]*>", 0))
+    hrefs = F.transform(anchors, lambda anchor: F.get(markup.attribute_values(anchor, "href"), F.lit(0)))
+    based = pages.select(
+        *keep, (F.lit(None).cast("string") if base is None else base).alias("_base"), hrefs.alias("_hrefs")
     )
-    return rows_with.where(F.col("href") != "").select(
+    return exploded(based, "_hrefs", "href").where(F.col("href") != "").select(
         *keep, "pos", "href", resolve_url(F.col("href"), F.col("_base")).alias("link")
     )

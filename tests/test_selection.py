@@ -337,3 +337,18 @@ def test_sources_fail_on_their_own(spark, tmp_path):
     assert isolation.run_sources(spark, jobs, path, "1").where("state = 'complete'").count() == 1
     assert isolation.stored_rows(spark, path, "1").count() == 0
     assert isolation.stored_rows(spark, str(tmp_path / "out"), "1").columns == ["key", "more", "source"]
+
+
+def test_pages_of_links_are_taken_apart_once(spark, plan):
+    """No filter computes a page's rows or links a second time."""
+    row = "<tr>" + "<td>1</td>" * 5 + '<td><a href="{}">d</a></td></tr>'
+    html = '<table class="gzTable"><tbody>' + "".join(map(row.format, ("/a.gz", "b.gz", "/c/../d.gz?x=1&amp;y=2#", ""))) + "</tbody></table>"
+    pages = spark.createDataFrame([(html,)], "html string")
+    base = F.lit("https://h.example.net/s/i.html")
+    found = {"tbody": links.table_links(pages, base=base), "[aA]": links.extract_links(pages, base=base, suffixes=(".gz",))}
+    for pattern, rows in found.items():
+        optimised = plan(rows).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert optimised.count(f"<{pattern}") == 1
+    whole = ["https://h.example.net/a.gz", "https://h.example.net/s/b.gz", "https://h.example.net/d.gz?x=1&y=2"]
+    assert [r["link"] for r in found["tbody"].collect()] == whole
+    assert [r["link"] for r in found["[aA]"].collect()] == whole[:2]
