@@ -21,8 +21,9 @@ from feedline.operators.dedup import dedup_last
 
 ITEMS_PER_DOCUMENT = 500
 PROMOTIONS_PER_DOCUMENT = 50
-# Documents are written, packed and read in tasks of about so many promotions.
-PROMOTIONS_PER_TASK = 20_000
+# Documents are written, packed and read in tasks of about so many promotions: 100 documents, which an
+# aggregation groups without a sort, and which are one batch of some MB for each Python worker.
+PROMOTIONS_PER_TASK = 5_000
 PARTS_PER_FILE = 100
 ROWS_PER_RESPONSE = 1000
 PAGES_PER_CAPTURE = 50
@@ -213,51 +214,49 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def promotion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file, doc``: promotions of a range of orders; even orders grouped, odd flat."""
-    n, order = F.col("l_linenumber"), F.col("l_orderkey")
-    grouped = order % 2 == 0
+    """``file, doc``: promotions of a range of orders; even orders grouped, odd flat.
+
+    Lines and orders go once, as they are, to the task that writes and packs the documents
+    of their range, so that no text is shuffled and a task holds no more than its range.
+    """
+    key = F.col("o_orderkey")
+    grouped = key % 2 == 0
     item_tag = F.when(grouped, "PromotionItem").otherwise("Item")
-    inner = F.concat(
-        element("ItemCode", text("l_partkey")),
-        element("ItemType", F.when(n % 3 == 2, "x").otherwise(text(n % 3))),
-        F.when(n % 3 == 0, element("MinQty", text("l_quantity"))).otherwise(""),
-        element("MaxQty", F.when(n % 2 == 0, "").otherwise(text("l_quantity"))),
-        F.when(n % 2 == 0, element("DiscountedPrice", text("l_extendedprice"))).otherwise(""),
-    )
-    items = order_lines(spark, sf_dir).select(
-        "l_orderkey",
-        F.when(grouped, F.col("l_suppkey") % 2).otherwise(0).alias("g"),
-        F.struct(
-            "l_linenumber", F.concat(F.lit("<"), item_tag, F.lit(">"), inner, F.lit("</"), item_tag, F.lit(">")).alias("xml")
-        ).alias("row"),
-    )
-    containers = items.groupBy("l_orderkey", "g").agg(
-        element("PromotionItems", joined(F.collect_list("row"))).alias("xml")
+
+    def item(line: Column) -> Column:
+        n = line["l_linenumber"]
+        inner = F.concat(
+            element("ItemCode", text(line["l_partkey"])),
+            element("ItemType", F.when(n % 3 == 2, "x").otherwise(text(n % 3))),
+            F.when(n % 3 == 0, element("MinQty", text(line["l_quantity"]))).otherwise(""),
+            element("MaxQty", F.when(n % 2 == 0, "").otherwise(text(line["l_quantity"]))),
+            F.when(n % 2 == 0, element("DiscountedPrice", text(line["l_extendedprice"]))).otherwise(""),
+        )
+        xml = F.concat(F.lit("<"), item_tag, F.lit(">"), inner, F.lit("</"), item_tag, F.lit(">"))
+        g = F.when(grouped, line["l_suppkey"] % 2).otherwise(0)
+        return F.struct(n.alias("n"), xml.alias("xml"), g.alias("g"))
+
+    def group(g: Column) -> Column:
+        container = element("PromotionItems", joined(F.filter("items", lambda i: i["g"].eqNullSafe(g))))
+        group_min = F.when(key % 5 == 0, "n/a").when(key % 5 == 1, " ").otherwise(text(g + 3))
+        stated = F.concat(element("MinQty", group_min), element("DiscountedPricePerMida", text(g + F.lit(0.5))), container)
+        return F.struct(g.alias("g"), F.when(grouped, element("Group", stated)).otherwise(container).alias("xml"))
+
+    lines = order_lines(spark, sf_dir).where("l_orderkey IS NOT NULL")
+    orders = table(spark, sf_dir, "orders")
+    stated = F.struct("o_orderdate", "o_orderpriority", "o_totalprice")
+    both = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", *LINE_ORDER).alias("line")).unionByName(
+        orders.select("o_orderkey", stated.alias("stated")), allowMissingColumns=True
     )
-    group_min = F.when(order % 5 == 0, "n/a").when(order % 5 == 1, " ").otherwise(text(F.col("g") + 3))
-    groups = containers.select(
-        "l_orderkey",
-        F.struct(
-            "g",
-            F.when(
-                grouped,
-                element(
-                    "Group",
-                    F.concat(
-                        element("MinQty", group_min),
-                        element("DiscountedPricePerMida", text(F.col("g") + F.lit(0.5))),
-                        F.col("xml"),
-                    ),
-                ),
-            )
-            .otherwise(F.col("xml"))
-            .alias("xml"),
-        ).alias("row"),
+    tasks = orders.count() // PROMOTIONS_PER_TASK + spark.sparkContext.defaultParallelism
+    dealt = both.withColumn("bucket", F.floor(key / PROMOTIONS_PER_DOCUMENT)).repartition(tasks, "bucket")
+    held = dealt.groupBy("bucket", "o_orderkey").agg(F.collect_list("line").alias("lines"), F.collect_list("stated").alias("stated"))
+    # A line without an order is in no document.
+    found = held.select("bucket", "o_orderkey", "lines", F.explode("stated").alias("stated")).select(
+        "bucket", "o_orderkey", F.transform("lines", item).alias("items"), "stated.*"
     )
-    bodies = groups.groupBy("l_orderkey").agg(joined(F.collect_list("row")).alias("body"))
-
-    orders = table(spark, sf_dir, "orders").join(bodies, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    key = F.col("o_orderkey")
+    groups = F.transform(F.array_distinct(F.transform("items", lambda i: i["g"])), group)
+    orders = found.withColumn("body", F.when(F.size("items") > 0, joined(groups)))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     stray = element("PromotionItems", element("Item", element("ItemCode", "stray")))
     body = F.coalesce("body", F.lit(""))
@@ -294,13 +293,8 @@ def promotion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             shaped,
         ),
     )
-    rows = orders.select(
-        F.floor(key / PROMOTIONS_PER_DOCUMENT).alias("bucket"),
-        F.struct("o_orderkey", promotion.alias("xml")).alias("row"),
-    )
-    # Packing and reading follow in the same task, so that its size is what memory has to hold.
-    tasks = table(spark, sf_dir, "orders").count() // PROMOTIONS_PER_TASK + spark.sparkContext.defaultParallelism
-    docs = rows.repartition(tasks, "bucket").groupBy("bucket").agg(joined(F.collect_list("row")).alias("xml"))
+    rows = orders.select("bucket", F.struct("o_orderkey", promotion.alias("xml")).alias("row"))
+    docs = rows.groupBy("bucket").agg(joined(F.collect_list("row")).alias("xml"))
     root = F.concat(
         element("ChainID", F.concat(F.lit("C"), text(F.col("bucket") % 7))),
         element("StoreID", F.concat(F.lit("S"), text(F.col("bucket") % 11))),

@@ -1,6 +1,8 @@
 """Price and promotion documents, file handling and CSV."""
 
+import datetime
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -314,3 +316,29 @@ def test_promotion_documents_are_dealt_by_size(spark, tmp_path, monkeypatch):
     held = docs.groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert held.sum() == 40
     assert held.max() <= 8
+
+
+def test_promotion_documents_shuffle_no_text(spark, plan, tmp_path):
+    """Rows go once, as they are, to the task of their documents; repeated, missing and odd rows are written as ever."""
+    from feedline.plans import rendering as R
+
+    columns = "o_orderkey long, o_orderdate date, o_orderpriority string, o_totalprice double"
+    day = datetime.date(1996, 1, 2)
+    orders = [(2, day, "1-<A>", 9.5), (2, day, "1-<A>", 9.5), (3, day, None, 7.0), (60, None, "x", 1.0)]
+    spark.createDataFrame(orders, columns).write.parquet(f"{tmp_path}/orders.parquet")
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int, l_extendedprice double"
+    lines = [(2, 2, 11, 5, 4, 1.5), (2, 1, 12, 4, 6, 2.5), (2, 1, 12, 3, 6, 2.5), (2, 3, 13, None, 1, 2.0)]
+    lines += [(3, 1, 14, 1, 2, 3.5), (None, 1, 15, 1, 1, 1.0), (7, 1, 16, 1, 1, 1.0)]
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = R.promotion_documents(spark, str(tmp_path))
+    text = plan(made).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")
+    assert "Join" not in text[0] and text[1].count("Exchange") <= 2
+    docs = {r["file"]: r["doc"] for r in made.collect()}
+    assert set(docs) == {"PromoFull-0.gz", "PromoFull-1.gz"}
+    first = docs["PromoFull-0.gz"]
+    assert first.count("<PromotionID>2</PromotionID>") == 2 and "1-&lt;A&gt;" in first
+    # Groups in the order of their key, null first; lines in the order of their number; one line of two of a number.
+    groups = re.findall(r"<Groups>(.*?)</Groups>", first)
+    assert groups[0] == groups[1] and re.findall(r"<ItemCode>(\d+)</ItemCode>", groups[0]) == ["13", "12", "11"]
+    assert "<ItemCode>14</ItemCode>" in first and "15</ItemCode>" not in first and "16</ItemCode>" not in first
+    assert "<PromotionItems>" not in docs["PromoFull-1.gz"] and "<Groups></Groups>" in docs["PromoFull-1.gz"]
