@@ -60,15 +60,19 @@ def _wanted(kind: str | None) -> Column:
     raise ValueError(f"unknown filter {kind!r}")
 
 
-def prepare_listing(listing: DataFrame, style: dict) -> DataFrame:
-    """The wanted rows of a listing with their ``file_date``."""
+def _dated(rows: DataFrame, style: dict) -> DataFrame:
     link = F.col("href")
     read = {
         "link": link,
         "last": F.substring_index(link, "/", -1),
         "name": file_name(link, fallback=None),
     }[style["date_on"]]
-    return listing.where(_wanted(style["wanted"])).withColumn("file_date", file_date(read, style["date"]))
+    return rows.withColumn("file_date", file_date(read, style["date"]))
+
+
+def prepare_listing(listing: DataFrame, style: dict) -> DataFrame:
+    """The wanted rows of a listing with their ``file_date``."""
+    return _dated(listing.where(_wanted(style["wanted"])), style)
 
 
 def quoted(name: Column) -> Column:
@@ -121,12 +125,14 @@ def read_listing(
         raise ValueError(f"unknown reader {reader!r}")
     if host is not None:
         rows = rows.where(filters.on_host(F.col("href"), host))
-    rows = prepare_listing(rows, style)
+    rows = rows.where(_wanted(style["wanted"]))
+    # The date is that of the link, so it is read after the copies of a link are gone.
     named = rows.withColumn("_name", file_name(F.col("href"), fallback=None))
     if "keep_first" in style:
         rows = dedup_first(named, ["source", "_name"], list(style["keep_first"])).drop("_name")
     if "keep_last" in style:
         rows = dedup_last(named, ["source", "_name"], list(style["keep_last"])).drop("_name")
+    rows = _dated(rows, style)
     return page_cut(rows, marks, cap) if style.get("cut") else rows
 
 

@@ -67,13 +67,15 @@ def read_catalog_entries(responses: DataFrame, col: str, keep: tuple[str, ...] =
     if strict:
         odd = F.raise_error(F.lit("unexpected catalog response")).cast("array<string>")
         members = members.withColumn("_members", F.coalesce("_members", odd))
-    entries = members.select(*keep, F.posexplode("_members").alias("pos", "member"))
-    return entries.where(F.ltrim("member").startswith("{")).select(
-        *keep,
-        "pos",
+    # Outer and filtered afterwards, and the fields generated from a one-element array: else the
+    # optimizer reads the list once more to see whether it is empty, and a member once more for each filter on it.
+    entries = members.select(*keep, F.posexplode_outer("_members").alias("pos", "member"))
+    fields = F.struct(
         strip(F.get_json_object("member", "$.fileName")).alias("fname"),
         F.get_json_object("member", "$.fileType").alias("file_type"),
     )
+    found = entries.where(F.ltrim("member").startswith("{")).select(*keep, "pos", F.explode_outer(F.array(fields)).alias("_entry"))
+    return found.select(*keep, "pos", "_entry.fname", "_entry.file_type")
 
 
 def odd_catalogs(responses: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:

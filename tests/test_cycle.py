@@ -74,3 +74,19 @@ def test_day_pages_from_the_mark_on(spark, tmp_path):
 def test_unknown_readers_are_refused(spark):
     with pytest.raises(ValueError):
         cycle.read_listing(spark.range(1), {"reader": "ftp"}, spark.range(1), ROOT)
+
+
+def test_catalog_entries_are_read_once(spark, plan):
+    """Filters on the fields of an entry do not read the entry, nor its list, once more."""
+    from pyspark.sql import functions as F
+
+    from feedline.sources import listings
+
+    body = '{"files": [{"fileName": " a.gz "}, 5, {"fileName": "", "fileType": "x"}, {"fileType": "y"}]}'
+    answers = spark.createDataFrame([(body,), ("[]",), ("{}",), (None,)], "body string")
+    found = listings.read_catalog_entries(answers, "body")
+    kept = found.where(F.col("fname") != "").where(F.lower("file_type").isNull())
+    text = plan(kept).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert text.count("$.fileName") == 1 and text.count("$.fileType") == 1 and "size(" not in text
+    assert [tuple(r) for r in found.collect()] == [(0, "a.gz", None), (2, "", "x"), (3, None, "y")]
+    assert [r["fname"] for r in kept.collect()] == ["a.gz"]
