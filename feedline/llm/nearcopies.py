@@ -1,6 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more.
 
-An exact prefix-filter join finds the candidates.  All texts list their shingles in
+SimHash prints of the five-word shingles find the first candidates, by the ball hashing
+of :mod:`feedline.llm.simhash`: texts of one print, and each print with the smallest one
+within its radius.  No radius over a print reaches 0.8, so an exact prefix-filter join
+finds the rest, between texts that are not connected by then.  All texts list their shingles in
 one order, common ones last.  Two texts x and y, y not larger, that are 0.8 alike share
 a shingle that is among the first fifth of x and the first ninth of y (each rounded
 down, plus one); so only these are posted, only a ninth can be met, and what many
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedline.llm import simhash
 from feedline.llm.common import LOWER, keyed, slices, stored, utf8
 from feedline.llm.simhash import components
 
@@ -165,6 +169,20 @@ def verified(pairs: DataFrame, docs: DataFrame, *, doc_id: str, text: str) -> Da
     return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(proved, "a long, b long")
 
 
+def print_pairs(docs: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """Pairs ``a < b`` of text keys of one print or of near ones, at most one for each text and one for each print."""
+    found = simhash.fingerprints(docs, doc_id=doc_id, text=text, words=WORDS)
+    prints = stored(found.select("text_key", "print").distinct(), "prints")
+    firsts = stored(prints.groupBy("print").agg(F.min("text_key").alias("first")), "firsts")
+    same = prints.join(firsts, "print").select(F.col("first").alias("a"), F.col("text_key").alias("b"))
+    near = simhash.links(firsts).groupBy("b").agg(F.min("a").alias("a"))
+    of_a = firsts.select(F.col("print").alias("a"), F.col("first").alias("first_a"))
+    of_b = firsts.select(F.col("print").alias("b"), F.col("first").alias("first_b"))
+    near = near.join(of_a, "a").join(of_b, "b").select("first_a", "first_b")
+    x, y = F.col("a"), F.col("b")
+    return same.union(near).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
+
+
 def shared_postings(texts: DataFrame) -> DataFrame:
     """``h``, ``text_key``, ``n`` and ``pos`` where several texts post a shingle and one of them can be met."""
     posted = texts.select("text_key", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -209,7 +227,9 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", few: i
     texts = stored(prefixes(rows), "prefixes")
     posted = stored(shared_postings(texts), "postings")
     most = few * texts.count()
-    joined, checked, found, turn = None, None, None, 0
+    checked = stored(print_pairs(docs, doc_id=doc_id, text=text), "pairs")
+    joined = stored(verified(checked, docs, doc_id=doc_id, text=text), "verified")
+    found, turn = None if joined.isEmpty() else stored(components(joined), "roots"), 0
     while True:
         members = open_postings(posted, found)
         groups = members.groupBy("h", "root").agg(F.count("*").cast("double").alias("n"))
@@ -221,13 +241,10 @@ def links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", few: i
         pairs = all_pairs(members) if last else centre_pairs(members, turn)
         x, y = F.col("x.text_key"), F.col("y.text_key")
         pairs = pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         fresh = stored(verified(pairs, docs, doc_id=doc_id, text=text), "verified")
         fresh_links = fresh.count()
-        joined = fresh if joined is None else joined.union(fresh)
-        checked = pairs if checked is None else checked.union(pairs)
+        joined, checked = joined.union(fresh), checked.union(pairs)
         if fresh_links:
             found = stored(components(joined), "roots")
         if last:

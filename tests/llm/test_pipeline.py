@@ -133,6 +133,19 @@ def test_a_group_of_near_copies_is_not_paired_all_with_all(spark, monkeypatch):
     assert sum(sizes) < 10 * 300
 
 
+def test_prints_link_near_copies(spark, monkeypatch):
+    """Without the join that finds the rest, most texts with one changed word still meet by their prints."""
+    monkeypatch.setattr(nearcopies, "open_postings", lambda posted, found: posted.withColumn("root", F.col("h")).limit(0))
+    random, rows = Random(3), []
+    for n in range(20):
+        words = [f"p{n}x{random.randrange(10**9)}" for _ in range(1500)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:700], "changed", *words[701:]]))]
+    groups = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = {r["doc_id"]: r["component_id"] for r in groups.collect()}
+    assert len(found) == 40 and all(c in (i, i - i % 2) for i, c in found.items())
+    assert sum(i != c for i, c in found.items()) >= 10
+
+
 def test_order_of_shingles_changes_no_result(spark, docs, monkeypatch):
     rows = [(r["doc_id"], r["text_key"], r["component_id"]) for r in nearcopies.near_copies(docs).collect()]
     monkeypatch.setattr(nearcopies, "COMMON", 3)
