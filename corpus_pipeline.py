@@ -56,8 +56,12 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digest of what they decode to."""
-    coded = bpe.decode(bpe.encode(docs))
+    """Token ids of every text, with the digest of what they decode to.
+
+    The ids are stored in between.  A task of both would hold two Python workers, and an
+    executor keeps all of them, with their memory, for the stages that follow in its session.
+    """
+    coded = bpe.decode(stored(bpe.encode(docs), "ids"))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -74,6 +74,30 @@ def test_repeated_rows_leave_one(spark, docs, folder):
     ]
 
 
+def test_no_task_has_two_python_workers(spark, docs, folder, monkeypatch):
+    """Between two Python operators of a plan lies an exchange or a stored table."""
+    monkeypatch.setattr(langid, "STEPS", 5)
+
+    def chained(node, inside):
+        name = node.nodeName()
+        python = re.search("Arrow|Python|Pandas", name) is not None
+        if "Exchange" in name or name.startswith("AdaptiveSparkPlan"):
+            inside = python = False
+        below = [node.inputPlan()] if name.startswith("AdaptiveSparkPlan") else list(node_children(node))
+        return python and inside or any(chained(c, inside or python) for c in below)
+
+    def node_children(node):
+        children = node.children()
+        return (children.apply(n) for n in range(children.size()))
+
+    twice = docs.mapInArrow(lambda rows: rows, docs.schema).mapInArrow(lambda rows: rows, docs.schema)
+    assert chained(twice._jdf.queryExecution().executedPlan(), False)
+    # The plan that near_duplicates returns only reads what it has stored.
+    for stage in (corpus_pipeline.tokens, corpus_pipeline.language, corpus_pipeline.decontaminated, corpus_pipeline.private):
+        plan = stage(spark, docs, folder)._jdf.queryExecution().executedPlan()
+        assert not chained(plan, False), stage.__name__
+
+
 def test_no_documents(spark, none, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0, name
