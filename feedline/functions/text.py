@@ -72,7 +72,12 @@ def number_of(text: Column) -> Column:
 
 def to_bool(col: Column) -> Column:
     """True for a true literal, false for any other text, null for null."""
-    return strip(col).isin(*TRUE_LITERALS)
+    return bool_of(strip(col))
+
+
+def bool_of(text: Column) -> Column:
+    """:func:`to_bool` of text already trimmed."""
+    return text.isin(*TRUE_LITERALS)
 
 
 def iso_ts(col: Column) -> Column:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedline.functions.text import first_text, iso_ts, number_of, to_bool, typed_ts
+from feedline.functions.batches import slices
+from feedline.functions.plain_prices import PlainPrices
+from feedline.functions.text import WHITE_SPACE, bool_of, first_text, iso_ts, number_of, typed_ts
 from feedline.functions.unify import unified_prices
 
 # Output name, accepted tags, kind of value.
@@ -42,10 +47,15 @@ ITEM_TAGS = ("Item", "Product")
 # Children under tags that a schema does not name, as texts.
 ANY = "xs_any"
 
-_KINDS = {"text": lambda c: c, "number": number_of, "bool": to_bool, "time": iso_ts}
+_KINDS = {"text": lambda c: c, "number": number_of, "bool": bool_of, "time": iso_ts}
 
 _CORRUPT = "_corrupt"
 
+# Bytes of plain documents whose tags are in memory at once.
+PLAIN_BYTES = 1 << 20
+# Items of a plain document in one row: the rows of a batch wait for Python together.
+PLAIN_ITEMS = 16
+
 
 def price_columns() -> list[Column]:
     """The item columns of a price record, from text columns of the same names."""
@@ -177,6 +187,44 @@ def exploded(df: DataFrame, array: str, item: str, pos: str = "pos") -> DataFram
     return df.select(*rest, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
 
 
+def read_plain(
+    raw: DataFrame, doc: str = "doc", keep: tuple[str, ...] = (), item_tags: tuple[str, ...] = ITEM_TAGS
+) -> DataFrame:
+    """``keep``, ``_doc`` and ``_plain``: the plain documents in rows of a few items, the others as they are.
+
+    ``_plain`` has the header texts of a document and ``items``, each with its position
+    and field texts; a plain document without items has one row of none.  ``_doc`` has
+    the text of a document that only the XML parser reads.
+    """
+    names = ("superProvider", "storeId")
+    fields = [tags for tags, _ in PRICE_FIELDS.values()]
+    item = T.StructType([T.StructField("pos", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in PRICE_FIELDS]])
+    told = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("items", T.ArrayType(item))])
+    rows = raw.select(*keep, F.col(doc).alias("_doc"))
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("_doc", T.StringType()), T.StructField("_plain", told)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = PlainPrices(fields, item_tags, ("ChainId", "StoreId"), WHITE_SPACE)
+        for batch in batches:
+            for part in slices(batch, "_doc", PLAIN_BYTES):
+                docs = part.column("_doc").cast(pa.string())
+                plain, of, texts, head = reader.read(docs)
+                counts = np.bincount(of, minlength=len(docs))
+                first = np.cumsum(counts) - counts
+                pos = np.arange(len(of)) - np.repeat(first, counts)
+                items = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), *texts], ["pos", *PRICE_FIELDS])
+                each = np.maximum(-(-counts // PLAIN_ITEMS), 1)
+                row = np.repeat(np.arange(len(docs)), each)
+                start = first[row] + PLAIN_ITEMS * (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(of)), pa.int32()), items)
+                at = pa.array(row)
+                found = pa.StructArray.from_arrays([*[h.take(at) for h in head], lists], [*names, "items"], mask=pa.array(~plain[row]))
+                left = docs.take(pa.array(row, mask=plain[row]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(at) for c in keep], left, found], [*keep, "_doc", "_plain"])
+
+    return rows.mapInArrow(read, schema)
+
+
 def price_items(
     raw: DataFrame,
     doc: str = "doc",
@@ -184,13 +232,14 @@ def price_items(
     item_tags: tuple[str, ...] = ITEM_TAGS,
     mode: str = "PERMISSIVE",
 ) -> DataFrame:
-    """One row per item: ``keep``, ``superProvider``, ``storeId``, ``reason``, ``pos`` and ``item``.
+    """One row per item: ``keep``, ``reason``, ``superProvider``, ``storeId``, ``pos`` and the text of each field.
 
     ``reason`` says why a document is rejected whole, in a row without ``pos``, and is
     null for the others.  The items are all children of the first ``Items`` child of
-    the root, whatever their tag, in document order; where that takes a second parse
-    (several item tags, tags beyond ``item_tags``, two aliases of a field in one item),
-    and only there, the document is parsed again with one name for each.
+    the root, whatever their tag, in document order.  Plain documents are read as
+    columns (:func:`read_plain`), the others by the XML parser; where that takes a
+    second parse (several item tags, tags beyond ``item_tags``, two aliases of a field
+    in one item), and only there, the document is parsed again with one name for each.
     """
     aliases = [tags for tags, _ in PRICE_FIELDS.values() if len(tags) > 1]
 
@@ -208,23 +257,22 @@ def price_items(
 
     head = {"superProvider": lambda x: first_text(x["ChainId"]), "storeId": lambda x: first_text(x["StoreId"])}
     unify = unified_prices(item_tags[0], aliases)
-    return read_items(raw, price_schema(item_tags), head, lambda x: join_arrays(*children(x)), odd, unify, doc, keep, mode)
+    found = read_plain(raw, doc, keep, item_tags)
+    rows = read_items(
+        found, price_schema(item_tags), head, lambda x: join_arrays(*children(x)), odd, unify, "_doc", (*keep, "_plain"), mode
+    )
+    plain = F.col("_plain").isNotNull()
+    texts = [first_text(*[F.col(f"item.{tag}") for tag in tags]).alias(name) for name, (tags, _) in PRICE_FIELDS.items()]
+    listed = F.when(plain, F.col("_plain.items")).otherwise(F.array(F.struct("pos", *texts)))
+    told = [F.when(plain, F.col(f"_plain.{name}")).otherwise(F.col(name)).alias(name) for name in head]
+    reason = F.when(~plain, F.col("reason")).alias("reason")
+    return rows.select(*keep, reason, *told, F.explode_outer(listed).alias("_found")).select(*keep, "reason", *head, "_found.*")
 
 
 def _price_rows(items: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The record columns of exploded items."""
     # Texts first, values second: the values look at their text several times.
-    texts = items.select(
-        *keep,
-        "pos",
-        "superProvider",
-        "storeId",
-        *[
-            first_text(*[F.col(f"item.{tag}") for tag in tags]).alias(name)
-            for name, (tags, _) in PRICE_FIELDS.items()
-        ],
-    )
-    return texts.select(*keep, "pos", "superProvider", "storeId", *price_columns())
+    return items.select(*keep, "pos", "superProvider", "storeId", *price_columns())
 
 
 def parse_prices(

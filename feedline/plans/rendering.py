@@ -10,13 +10,12 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedline.functions.batches import slices
 from feedline.operators.dedup import dedup_last
 
 ITEMS_PER_DOCUMENT = 500
@@ -49,21 +48,6 @@ def element(tag: str, value: str | Column) -> Column:
     return F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))
 
 
-# Bytes of files a Python task holds at once; a larger file is held alone.
-SLICE_BYTES = 4 << 20
-
-
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in pieces of about ``SLICE_BYTES`` of a column, at least one row each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def joined(rows: Column) -> Column:
     """The ``xml`` of collected ``(order, xml)`` rows, in order."""
     return F.array_join(F.sort_array(rows)["xml"], "")

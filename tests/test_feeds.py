@@ -342,3 +342,37 @@ def test_promotion_documents_shuffle_no_text(spark, plan, tmp_path):
     assert groups[0] == groups[1] and re.findall(r"<ItemCode>(\d+)</ItemCode>", groups[0]) == ["13", "12", "11"]
     assert "<ItemCode>14</ItemCode>" in first and "15</ItemCode>" not in first and "16</ItemCode>" not in first
     assert "<PromotionItems>" not in docs["PromoFull-1.gz"] and "<Groups></Groups>" in docs["PromoFull-1.gz"]
+
+
+PLAIN = """<?xml version="1.0" encoding="utf-8"?>
+<Root v="1"><ChainId> 7290 </ChainId><StoreId>001</StoreId><Other>x</Other><ITEMS Count='3'>
+<Item><ItemCode>007</ItemCode><ItemNm> </ItemNm><itemnm> Milk &amp; א </itemnm><Quantity>1_0.5</Quantity><bIsWeighted>1</bIsWeighted><LastSaleDate/></Item>
+<item><PRICEUPDATEDATE>2024-01-02 03:04:05</PRICEUPDATEDATE><Unknown>a</Unknown><ItemCode></ItemCode></item>
+</ITEMS></Root>
+"""
+
+
+def test_plain_documents_do_not_need_the_parser(spark):
+    """The usual documents are read as columns, with the rows the XML parser gives for the same document."""
+    swaps = [
+        ("007", "<![CDATA[007]]>"), ("007", "&#48;07"), ("007", "0\r\n7"), ("<ItemCode>", "<ItemCode a='1'>"), ("<LastSaleDate/>", "<ItemName/>"),
+        ("<item>", "<Product>"), ("<StoreId>001</StoreId>", "<Items/>"), ("7290", "7<b>290</b>"), ("<Other>x</Other>", "text"), ("<Item>", "<Item>text"),
+        ("&amp;", "&"), ("</Item>", "</item>"), ("</item>", ""), ("007", "\x01"), ("v=", "corrupt="), ("Unknown", "Unknown:x"), ("1.0", "1.1"),
+    ]
+    odd = [PLAIN.replace(old, new) for old, new in swaps] + [PLAIN + PLAIN, PLAIN[:-10], " " + PLAIN]
+    empty = "<Root><ChainId>1</ChainId><Items></Items></Root>"
+    many = "<Root><Items>" + "".join(f"<Item><ItemCode>{n}</ItemCode></Item>" for n in range(40)) + "</Items></Root>"
+    plain = [PLAIN, PLAIN.replace("Item>", "Product>").replace("item>", "product>"), empty, many]
+    left = prices.read_plain(docs(spark, *plain, *odd, None), keep=("path",)).where("_plain IS NULL")
+    assert sorted(int(r.path) for r in left.collect()) == list(range(len(plain), len(plain) + len(odd) + 1))
+    # A comment leaves a document to the parser and changes nothing else.
+    told = [t.replace("</Root>", "<!-- c --></Root>") for t in plain]
+    assert prices.read_plain(docs(spark, *told)).where("_plain IS NULL").count() == len(told)
+    both = [sorted(map(str, prices.price_outcomes(docs(spark, *texts), keep=("path",)).collect())) for texts in (plain, told)]
+    assert both[0] == both[1] and len(both[0]) == 44
+    first = prices.parse_prices(docs(spark, PLAIN)).orderBy("pos").collect()
+    assert [(r.pos, r.itemCode, r.itemName, r.quantity, r.weighted, r.updateTime) for r in first] == [
+        (0, "007", "Milk & א", 10.5, True, None), (1, None, None, None, None, "2024-01-02T03:04:05")
+    ]
+    assert {(r.superProvider, r.storeId) for r in first} == {("7290", "001")}
+    assert [r.pos for r in prices.parse_prices(docs(spark, many)).orderBy("pos").collect()] == list(range(40))
