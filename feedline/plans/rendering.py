@@ -10,7 +10,9 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from feedline.operators.dedup import dedup_last
 
 ITEMS_PER_DOCUMENT = 500
 PROMOTIONS_PER_DOCUMENT = 50
+# Offers are written into documents, packed and read in tasks of about so many: 60 MB of text. With a
+# quarter of it, starting the tasks in each Python worker took a third more time.
+OFFERS_PER_TASK = 100_000
 # Documents are written, packed and read in tasks of about so many promotions: 100 documents, which an
 # aggregation groups without a sort, and which are one batch of some MB for each Python worker.
 PROMOTIONS_PER_TASK = 5_000
@@ -61,7 +66,8 @@ OFFER_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_exte
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each supplier currently sells: the newest line per supplier and part."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", *OFFER_ORDER)
-    newest = dedup_last(lines, ["l_suppkey", "l_partkey"], OFFER_ORDER)
+    # The part first: it has more values, so fewer rows are told apart by a second look when sorted.
+    newest = dedup_last(lines, ["l_partkey", "l_suppkey"], OFFER_ORDER)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return newest.join(part, newest["l_partkey"] == part["p_partkey"]).join(
@@ -129,29 +135,94 @@ def _by_kind(make) -> Column:
     return picked.otherwise(make(3))
 
 
-def _offer_xml(kind: int) -> Column:
+def _item_pieces(kind: int) -> list[str]:
+    """What stands before, between and after the fields of an item, with the names of those written."""
     renamed, dropped, case, item = _DRIFT[kind]
-    fields = _offer_fields()
-    parts = []
-    for tag, value in fields.items():
+    pieces = [f"<{item}>"]
+    for tag in _offer_fields():
         if tag in dropped:
             continue
         name = case(renamed.get(tag, tag))
-        if kind == 3 and tag == "ItemName":
-            parts.append(element(name, " "))
-        parts.append(element(name, value))
-    return element(item, F.concat(*parts))
+        blank = f"<{name}> </{name}>" if kind == 3 and tag == "ItemName" else ""
+        pieces[-1] += f"{blank}<{name}>"
+        pieces += [tag, f"</{name}>"]
+    pieces[-1] += f"</{item}>"
+    return pieces
+
+
+_DOCUMENT = ["l_suppkey", "s_nationkey", "bucket"]
+
+
+def _starts(rows: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before in one of the columns; the first does."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for name in columns:
+        column = rows.column(name)
+        held, null = pc.fill_null(column, 0).to_numpy(zero_copy_only=False), pc.is_null(column).to_numpy(zero_copy_only=False)
+        new[1:] |= (held[1:] != held[:-1]) | (null[1:] != null[:-1])
+    return new
+
+
+def _written_items(pieces: list[list[str]]):
+    """A function of batches of offers, those of a document in a row by part: one row for each document, with its items."""
+
+    def written(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key = np.fmod(rows.column("l_suppkey").to_numpy(zero_copy_only=False), 4)
+        kind = np.where((key >= 0) & (key < 3), key, 3)
+        xml, places = [], []
+        for k in np.unique(kind):
+            place = np.flatnonzero(kind == k)
+            some = rows.take(pa.array(place))
+            parts = [pc.fill_null(some.column(p), "") if n % 2 else p for n, p in enumerate(pieces[k])]
+            xml.append(pc.binary_join_element_wise(*parts, ""))
+            places.append(place)
+        order = np.argsort(np.concatenate(places), kind="stable")
+        new, part = _starts(rows, _DOCUMENT), _starts(rows, [*_DOCUMENT, "l_partkey"])
+        if not part.all():
+            # Rows of one part come in the order of their text.
+            found = pa.concat_arrays(xml)
+            edges = np.append(np.flatnonzero(part), rows.num_rows)
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                if last - first > 1:
+                    order[first:last] = sorted(order[first:last], key=lambda n: found[n].as_py())
+        items = pa.concat_arrays(xml).take(pa.array(order))
+        begun = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begun, rows.num_rows), pa.int32()), items)
+        held = rows.select(_DOCUMENT).take(pa.array(begun)).columns
+        return pa.RecordBatch.from_arrays([*held, pc.binary_join(lists, "")], [*_DOCUMENT, "items"])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                edge = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)])
+            last = int(np.flatnonzero(_starts(batch, _DOCUMENT))[-1])
+            # The last document may go on in the next batch.
+            if last or (held and _starts(edge, _DOCUMENT)[1]):
+                yield written(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield written(pa.concat_batches(held))
+
+    return documents
 
 
 def price_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file, l_suppkey, doc``: one price document per supplier and part range."""
-    rows = offers(spark, sf_dir).select(
-        "l_suppkey",
-        "s_nationkey",
-        F.floor(F.col("l_partkey") / ITEMS_PER_DOCUMENT).alias("bucket"),
-        F.struct("l_partkey", _by_kind(_offer_xml).alias("xml")).alias("row"),
-    )
-    grouped = rows.groupBy("l_suppkey", "s_nationkey", "bucket").agg(joined(F.collect_list("row")).alias("items"))
+    """``file, l_suppkey, doc``: one price document per supplier and part range.
+
+    Offers go as they are to the task that writes the documents of their supplier and
+    part range, so that no text is shuffled, and are sorted there before they are text.
+    """
+    tasks = table(spark, sf_dir, "lineitem").count() // OFFERS_PER_TASK + spark.sparkContext.defaultParallelism
+    placed = offers(spark, sf_dir).withColumn("bucket", F.floor(F.col("l_partkey") / ITEMS_PER_DOCUMENT))
+    dealt = placed.repartition(tasks, "l_suppkey", "bucket").sortWithinPartitions(F.xxhash64(*_DOCUMENT), *_DOCUMENT, "l_partkey")
+    rows = dealt.select(*_DOCUMENT, "l_partkey", *[value.alias(tag) for tag, value in _offer_fields().items()])
+    schema = T.StructType([*[rows.schema[c] for c in _DOCUMENT], T.StructField("items", T.StringType())])
+    grouped = rows.mapInArrow(_written_items([_item_pieces(kind) for kind in range(len(_DRIFT))]), schema)
 
     def document(kind: int) -> Column:
         case = _DRIFT[kind][2]
@@ -170,7 +241,7 @@ def price_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_files(documents: DataFrame, zipped: Column, keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """``content`` bytes of documents, gzipped where the flag says so."""
-    rows = documents.select(*keep, F.encode("doc", "UTF-8").alias("content"), zipped.alias("_zipped"))
+    rows = documents.select(*keep, F.col("doc").cast("binary").alias("content"), zipped.alias("_zipped"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +47,10 @@ def _text(raw: bytes | None, charset: str | None) -> tuple[str | None, str | Non
         return None, f"charset: {bad}"
 
 
-@F.pandas_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
-def _decoded(content: pd.Series, charset: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_text(raw, name) for raw, name in zip(content, charset, strict=True)], columns=["doc", "error"])
+@F.arrow_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
+def _decoded(content: pa.Array, charset: pa.Array) -> pa.Array:
+    told = [_text(raw.as_py(), name.as_py()) for raw, name in zip(content, charset, strict=True)]
+    return pa.array([{"doc": doc, "error": error} for doc, error in told], pa.struct([("doc", pa.string()), ("error", pa.string())]))
 
 
 def decoded(content: Column, charset: str | None = None) -> Column:

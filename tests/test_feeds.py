@@ -376,3 +376,30 @@ def test_plain_documents_do_not_need_the_parser(spark):
     ]
     assert {(r.superProvider, r.storeId) for r in first} == {("7290", "001")}
     assert [r.pos for r in prices.parse_prices(docs(spark, many)).orderBy("pos").collect()] == list(range(40))
+
+
+def test_price_documents_shuffle_no_text(spark, plan, tmp_path):
+    """Offers go as they are to the task of their documents; repeated and odd rows are written as ever."""
+    from feedline.plans import rendering as R
+
+    day = datetime.datetime(1996, 1, 2)
+    spark.createDataFrame([(1, "b<x>", "B", "T", 3), (2, "a", "B", "T", 1), (2, "A", None, "T", 1), (700, "z", "B", "T", 2)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(3, None), (4, 1), (4, 2), (5, 7)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(3, 2), (3, 1), (4, 2), (4, 700), (3, 1), (9, 1), (None, 1), (4, None)]
+    spark.createDataFrame([(s, p, day, n, 1, 2.5, 9.25, "A", None) for n, (s, p) in enumerate(lines)],
+        "l_suppkey long, l_partkey long, l_shipdate timestamp, l_orderkey long, l_linenumber int, l_quantity double,"
+        "l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = R.price_documents(spark, str(tmp_path))
+    nodes = plan(made, "formatted").split("\n\n")
+    inputs = [line for node in nodes if ") Exchange" in node for line in node.splitlines() if line.startswith("Input")]
+    assert inputs and not any(name in line for line in inputs for name in ("buf#", "items#", "xml#", "row#"))
+    found = sorted((r["file"], r["doc"]) for r in made.collect())
+    # Supplier 4 is there under two nations.
+    assert [f for f, _ in found] == ["PriceFull-3-0.gz", *["PriceFull-4-0.gz"] * 2, *["PriceFull-4-1.gz"] * 2]
+    third, fourth = found[0][1], found[1][1]
+    # Parts in order, two rows of a part by their text; null texts are empty; tags by the kind of the supplier.
+    assert re.findall(r"<ItemName>([^ ]*?)</ItemName>", third) == ["b&lt;x&gt;", "A", "a"]
+    assert third.startswith("<Root><ChainId></ChainId><StoreId>00003</StoreId><Items><Product><ItemCode>0000001</ItemCode>")
+    assert "<ManufactureName></ManufactureName>" in third and "<LastSaleDateTime>" not in third
+    assert fourth.startswith("<Root><ChainId>729001</ChainId>") and fourth.count("<Item>") == 2 and "<ItemPrice>9.25</ItemPrice>" in fourth
