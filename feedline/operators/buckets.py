@@ -12,6 +12,8 @@ that knows its values read their buckets only.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,6 +24,8 @@ from feedline.sources import versions
 
 BUCKETS = 64
 BUCKET = "_bucket"
+# Stored bytes of table and batch that are merged, and so shuffled, at once; a larger bucket is merged alone.
+GROUP_BYTES = 512 << 20
 
 
 def bucket_of(columns: list[str], buckets: int) -> Column:
@@ -82,34 +86,70 @@ def merge(
     are null.
     """
     spark = batch.sparkSession
-    # Written once: it says which buckets are touched, and a retry on conflict needs the same rows.
     scratch = new_scratch(spark, "batch")
-    batch.write.parquet(scratch)
-    held = spark.read.schema(batch.schema).parquet(scratch)
+    _, there = versions.newest(spark, path)
+    dealt = (there["within"], there["buckets"]) if there else (within or keys, buckets)
+    # Written once: it says which buckets are touched, and a retry on conflict needs the same rows.
+    batch.withColumn(BUCKET, bucket_of(*dealt)).write.partitionBy(BUCKET).parquet(scratch)
+    _free_shuffles(spark)
+
+    def arrived(wanted: list[int]) -> DataFrame:
+        return spark.read.schema(batch.schema).parquet(*[f"{scratch}/{BUCKET}={b}" for b in wanted])
 
     def step(content: dict | None) -> dict | None:
         known = content or {"keys": keys, "within": within or keys, "buckets": buckets, "folders": {}}
         if known["keys"] != list(keys):
             raise ValueError(f"the table is keyed by {known['keys']}")
-        extra = [c for c in held.columns if content and c not in schema_of(content).names]
+        extra = [c for c in batch.columns if content and c not in schema_of(content).names]
         if extra:
             raise ValueError(f"the table has no columns {extra}")
-        place = bucket_of(known["within"], known["buckets"])
-        # One row for each bucket, so bounded by the table's number of them.
-        touched = [r["b"] for r in held.select(place.alias("b")).distinct().collect()]
-        if not touched:
+        written = sorted(int(n.split("=")[1]) for n in versions.children(spark, scratch) if n.startswith(f"{BUCKET}="))
+        if not written:
             return None
-        merged = held
-        if content:
-            merged = _read(spark, content, touched).unionByName(held, allowMissingColumns=True)
-        rows = upsert(merged, merged.limit(0), keys, order).withColumn(BUCKET, place)
+        place, touched = bucket_of(known["within"], known["buckets"]), written
+        same = dealt == (known["within"], known["buckets"])
+        if not same:
+            # Another writer made the table meanwhile, with buckets of its own.
+            touched = sorted(r["b"] for r in arrived(written).select(place.alias("b")).distinct().collect())
         target = versions.new_folder(path)
-        # One task would write a large bucket alone: AQE splits such a one and joins small ones.
-        rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(target)
-        schema = content["schema"] if content else held.schema.jsonValue()
+        for group in _groups(spark, known, touched, scratch if same else None):
+            held = arrived(group) if same else arrived(written).where(place.isin(group))
+            merged = _read(spark, content, group).unionByName(held, allowMissingColumns=True) if content else held
+            rows = upsert(merged, merged.limit(0), keys, order).withColumn(BUCKET, place)
+            if len(group) > 1:
+                # Each task would write a file for every bucket: AQE joins small buckets and splits large ones.
+                rows = rows.hint("rebalance", BUCKET)
+            rows.write.mode("append").partitionBy(BUCKET).parquet(target)
+            _free_shuffles(spark)
+        schema = content["schema"] if content else batch.schema.jsonValue()
         return {**known, "schema": schema, "folders": {**known["folders"], **{str(b): target for b in touched}}}
 
-    return versions.update(spark, path, step)
+    try:
+        return versions.update(spark, path, step)
+    finally:
+        versions.remove(spark, scratch)
+
+
+def _groups(spark: SparkSession, known: dict, touched: list[int], scratch: str | None) -> list[list[int]]:
+    """The touched buckets in groups of about ``GROUP_BYTES``, at least one each; the batch's bytes by bucket below ``scratch``."""
+    groups: list[list[int]] = []
+    left = 0
+    for b in touched:
+        folder = known["folders"].get(str(b))
+        size = versions.size(spark, f"{folder}/{BUCKET}={b}") if folder else 0
+        size += versions.size(spark, f"{scratch}/{BUCKET}={b}") if scratch else 0
+        if not groups or size > left:
+            groups.append([])
+            left = GROUP_BYTES
+        groups[-1].append(b)
+        left -= size
+    return groups
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is done: it does once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def sweep(spark: SparkSession, path: str, grace: float) -> list[str]:

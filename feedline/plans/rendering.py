@@ -23,7 +23,7 @@ from feedline.operators.dedup import dedup_last
 ITEMS_PER_DOCUMENT = 500
 PROMOTIONS_PER_DOCUMENT = 50
 # Offers are written into documents, packed and read in tasks of about so many: 60 MB of text. With a
-# quarter of it, starting the tasks in each Python worker took a third more time.
+# quarter of it, starting the tasks in each Python worker took a fifth more CPU time.
 OFFERS_PER_TASK = 100_000
 # Documents are written, packed and read in tasks of about so many promotions: 100 documents, which an
 # aggregation groups without a sort, and which are one batch of some MB for each Python worker.

@@ -92,6 +92,8 @@ def bucketed_upsert(spark, sf_dir):
     for part in (0, 1, 2, 2):
         batch = rows.where(F.col("file").cast("bigint") % 3 == part)
         buckets.merge(batch, path, load.PRICE_KEY, load.PRICE_ORDER, buckets=8)
+        # Nobody else reads this table, so the version before is not needed any more.
+        buckets.sweep(spark, path, grace=0)
     return buckets.read_table(spark, path)
 
 

@@ -42,6 +42,12 @@ def modified(spark: SparkSession, path: str) -> float:
     return files.getFileStatus(file).getModificationTime() / 1000
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder; none where there is no folder."""
+    folder, files = _at(spark, path)
+    return files.getContentSummary(folder).getLength() if files.exists(folder) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all it holds; nothing where there is none."""
     folder, files = _at(spark, path)

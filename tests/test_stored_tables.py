@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedline.operators import buckets
 from feedline.operators.dedup import dedup_last
+from feedline.session import shared_folder
 from feedline.sources import marks, versions
 
 SCHEMA = "k STRING, at INT, v STRING"
@@ -170,3 +171,48 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
             spark.conf.set(name, value)
     assert len(list((tmp_path / "t").rglob("*.parquet"))) > 1
     assert buckets.read_table(spark, str(tmp_path / "t")).distinct().count() == 40_000
+
+
+def test_a_merge_in_groups_leaves_no_files_behind(spark, tmp_path, monkeypatch):
+    """Large buckets are merged group by group; what a merge wrote for itself is gone after it."""
+    scratch = Path(shared_folder(spark)) / "feedline"
+    before = set(scratch.glob("batch-*"))
+    rows = batch(spark, [(f"k{n}", n % 5, f"v{n % 3}") for n in range(300)] + [(None, 1, "n"), ("k1", 9, "new")])
+    states = []
+    for size in (buckets.GROUP_BYTES, 1, 3000):
+        monkeypatch.setattr(buckets, "GROUP_BYTES", size)
+        path = str(tmp_path / f"t{size}")
+        for part in (rows.where("at < 3"), rows.where("at >= 2"), rows.where("at >= 2")):
+            buckets.merge(part, path, KEYS, ORDER, buckets=8)
+        states.append(sorted(map(str, buckets.read_table(spark, path).collect())))
+    assert states[0] == states[1] == states[2] == sorted(map(str, dedup_last(rows, KEYS, ORDER).collect()))
+    assert set(scratch.glob("batch-*")) == before
+    with pytest.raises(ValueError):
+        buckets.merge(rows, path, ["k", "v"], ORDER)
+    assert set(scratch.glob("batch-*")) == before
+
+
+def test_an_upsert_in_batches_keeps_one_version(spark, sf_dir):
+    from feedline.plans import tables
+
+    scratch = Path(shared_folder(spark)) / "feedline"
+    before = set(scratch.glob("prices-*"))
+    found = tables.bucketed_upsert(spark, sf_dir)
+    (made,) = set(scratch.glob("prices-*")) - before
+    assert len(list((made / "data").iterdir())) == 1
+    assert found.count() == tables.current_prices(spark, sf_dir).count()
+
+
+def test_buckets_of_another_number_made_meanwhile(spark, tmp_path, monkeypatch):
+    path, real, late = str(tmp_path / "t"), versions.update, []
+
+    def overtaken(spark, at, step):
+        if not late:
+            late.append(at)
+            buckets.merge(batch(spark, [("a", 1, "x"), ("z", 3, "y")]), path, KEYS, ORDER, buckets=3)
+        return real(spark, at, step)
+
+    monkeypatch.setattr(versions, "update", overtaken)
+    buckets.merge(batch(spark, [("a", 2, "later"), ("b", 1, "x")]), path, KEYS, ORDER, buckets=8)
+    assert state(spark, path) == [("a", 2, "later"), ("b", 1, "x"), ("z", 3, "y")]
+    assert versions.newest(spark, path)[1]["buckets"] == 3
